@@ -23,11 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.unify import canonical_words, words_of
+from tessera.sources.tables import cut_lineage
 
 #: Items' q-grams may be broadcast up to this many; beyond it they are joined.
 BROADCAST_QGRAMS = 2_000_000
-MISMATCH = 2.0
-GAP = 2.0
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -61,22 +60,11 @@ class Passages:
     def q(self) -> int:
         return max(2, min(12, self.chars // (self.edits + 1) - 1))
 
-    @property
-    def bound(self) -> int:
-        return max(1, self.chars + 1 - self.q - self.edits * self.q)
-
     @property
     def band(self) -> int:
-        """Half the width of a band; neighbours overlap by this much."""
-        return 4 * (self.edits + 1)
-
-
-def shortest_window(words: list[str], n: int) -> int:
-    """Characters of the shortest run of ``n`` words; 0 if there are fewer."""
-    if len(words) < n:
-        return 0
-    ends = np.cumsum([0, *[len(w) for w in words]])
-    return int((ends[n:] - ends[:-n]).min()) + n - 1
+        """Half the width of a band; neighbours overlap by this much, so that
+        diagonals at most ``edits`` apart lie together in one of them."""
+        return self.edits + 1
 
 
 def canonical_items(items: DataFrame, item_id: str, text: str) -> DataFrame:
@@ -87,11 +75,13 @@ def canonical_items(items: DataFrame, item_id: str, text: str) -> DataFrame:
     ).distinct()
 
 
-def _shortest(items: DataFrame, n_words: int) -> int:
+def with_shortest(items: DataFrame, n_words: int) -> DataFrame:
+    """Items of at least ``n_words`` words with ``least``, the characters of
+    their shortest run of so many words."""
     words = F.split("item_words", " ")
     n = F.size(words)
     spans = F.transform(F.sequence(F.lit(1), n - (n_words - 1)), lambda i: F.length(F.array_join(F.slice(words, i, n_words), " ")))
-    return items.where(n >= n_words).select(F.array_min(spans).alias("m")).agg(F.min("m")).first()[0] or 0
+    return items.where(n >= n_words).withColumn("least", F.array_min(spans))
 
 
 def item_qgrams(items: DataFrame, q: int) -> DataFrame:
@@ -134,7 +124,7 @@ def document_hits(docs: DataFrame, known: np.ndarray | None, q: int) -> DataFram
 
 
 def candidate_bands(docs: DataFrame, items: DataFrame, passages: Passages) -> DataFrame:
-    """``doc_id, item_id, diagonal``: bands that reach the q-gram bound.
+    """``doc_id, item_id, item_words, least, diagonal``: bands that reach the bound.
 
     A band covers diagonals ``diagonal`` to ``diagonal + 2 * band``; a diagonal
     is document position less item position.
@@ -145,37 +135,66 @@ def candidate_bands(docs: DataFrame, items: DataFrame, passages: Passages) -> Da
         # Proven by the count above: 8 bytes each.
         known = np.unique(grams.select("h").toPandas()["h"].to_numpy(dtype=np.int64)) if n else np.empty(0, dtype=np.int64)
         if not n:
-            return docs.select("doc_id").where(F.lit(False)).select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("diagonal"))
+            return docs.join(items, F.lit(False)).select("doc_id", "item_id", "item_words", "least", F.lit(0).cast("long").alias("diagonal"))
         hits = document_hits(docs, known, passages.q).join(F.broadcast(grams), "h")
     else:
         hits = document_hits(docs, None, passages.q).join(grams, "h")
     w = passages.band
     at = F.floor((F.col("dpos") - F.col("ipos")) / F.lit(w))
     counted = hits.select("doc_id", "item_id", F.explode(F.array(at, at - 1)).alias("b")).groupBy("doc_id", "item_id", "b").agg(F.count(F.lit(1)).alias("shared"))
-    return counted.where(F.col("shared") >= passages.bound).select("doc_id", "item_id", (F.col("b") * w).cast("long").alias("diagonal"))
+    # The lemma's bound, by the item's own shortest passage.
+    bound = F.greatest(F.lit(1), F.col("least") + 1 - passages.q - passages.edits * passages.q)
+    return counted.join(items.select("item_id", "item_words", "least"), "item_id").where(F.col("shared") >= bound).select(
+        "doc_id", "item_id", "item_words", "least", (F.col("b") * w).cast("long").alias("diagonal")
+    )
+
 
+def aligned_chars(doc: str, item: str, low: int, high: int, edits: int, need: int) -> int:
+    """Characters of ``item`` that match in the best alignment with ``doc`` of at
+    most ``edits`` edits on diagonals low..high; 0 where that is under ``need``.
 
-def banded_score(doc: str, item: str, low: int, high: int) -> float:
-    """Best local alignment of ``item`` with ``doc`` on diagonals low..high:
-    +1 a match, less MISMATCH or GAP an edit.  Rows are vectorised over the band."""
+    Runs of matches along each diagonal of the band are computed at once.  Of
+    the ``edits + 1`` runs of an alignment one is at least an equal share of
+    ``need``, so alignments grow from such runs, over one edit after another, to
+    the furthest character on the diagonal that the edit leads to.
+    """
     d = np.frombuffer(doc.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     t = np.frombuffer(item.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    width = high - low + 1
-    pad = np.zeros(len(t) + width, dtype=np.uint32)
+    n, width = len(t), high - low + 1
+    pad = np.zeros(n + width, dtype=np.uint32)
     a, b = max(0, low), min(len(d), low + len(pad))
     if b > a:
         pad[a - low : b - low] = d[a:b]
-    score = np.zeros(width)
-    slope = np.arange(width) * GAP
-    best = 0.0
-    for r in range(len(t)):
-        step = np.where(pad[r : r + width] == t[r], 1.0, -MISMATCH)
-        new = score + step
-        new[:-1] = np.maximum(new[:-1], score[1:] - GAP)  # a character of the item is missing
-        new = np.maximum.accumulate(new + slope) - slope  # characters of the document are extra
-        score = np.maximum(new, 0.0)
-        best = max(best, float(score.max()))
-    return best
+    equal = np.lib.stride_tricks.sliding_window_view(pad, width)[:n] == t[:, None]
+    rows = np.arange(n)[:, None]
+    ahead = np.minimum.accumulate(np.where(equal, n, rows)[::-1])[::-1] - rows  # matches from a row on
+    behind = rows - np.maximum.accumulate(np.where(equal, -1, rows))  # matches up to a row
+
+    def forward(r: int, c: int, k: int) -> int:
+        best = 0
+        if k:
+            for r2, c2 in ((r + 1, c), (r, c + 1), (r + 1, c - 1)):  # another, an extra, a missing character
+                if 0 <= c2 < width and r2 < n:
+                    run = int(ahead[r2, c2])
+                    best = max(best, run + forward(r2 + run, c2, k - 1))
+        return best
+
+    def backward(r: int, c: int, k: int) -> int:
+        best = 0
+        if k:
+            for r2, c2 in ((r - 1, c), (r, c - 1), (r - 1, c + 1)):
+                if 0 <= c2 < width and r2 > 0:
+                    run = int(behind[r2 - 1, c2])
+                    best = max(best, run + backward(r2 - run, c2, k - 1))
+        return best
+
+    starts = (ahead >= -(-need // (edits + 1))) & (behind == 1)
+    best = 0
+    for r, c in zip(*np.nonzero(starts)):
+        run = int(ahead[r, c])
+        for k in range(edits + 1):
+            best = max(best, backward(int(r), int(c), k) + run + forward(int(r) + run, int(c), edits - k))
+    return best if best >= need else 0
 
 
 def common_run(region: list[str], item: list[str], n: int) -> bool:
@@ -184,36 +203,35 @@ def common_run(region: list[str], item: list[str], n: int) -> bool:
     return any(tuple(region[i : i + n]) in windows for i in range(len(region) - n + 1))
 
 
-def leaked_passages(docs: DataFrame, items: DataFrame, *, min_words: int = 13, edits: int = 2) -> DataFrame:
+def leaked_passages(docs: DataFrame, items: DataFrame, *, min_words: int = 13, edits: int = 1) -> DataFrame:
     """``doc_id, item_id, score, exact`` of documents that hold a passage of an item.
 
     ``docs`` has ``doc_id, text`` and ``items`` has ``item_id, text``; other
     columns are not read.  A pair counts if a region aligns with a passage of at
     least ``min_words`` words with at most ``edits`` edits; ``exact`` says that
-    ``min_words`` consecutive words agree.  ``score`` is the best local
-    alignment score.  Null ids and null or empty texts give no pair, items of
+    ``min_words`` consecutive words agree.  ``score`` is the number
+    of the item's characters that match.  Null ids and null or empty texts give no pair, items of
     fewer words neither; repeated rows count once.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
-    items = canonical_items(items.select(F.col("item_id").cast("long").alias("item_id"), "text"), "item_id", "text").where(F.size(F.split("item_words", " ")) >= min_words)
-    passages = Passages(min_words, _shortest(items, min_words) or min_words * 2 - 1, edits)
-    bands = candidate_bands(docs, items, passages)
+    items = canonical_items(items.select(F.col("item_id").cast("long").alias("item_id"), "text"), "item_id", "text")
+    items = cut_lineage(with_shortest(items, min_words))
+    passages = Passages(min_words, items.agg(F.min("least")).first()[0] or min_words * 2 - 1, edits)
     # The documents' texts move only for documents with a band.
-    found = bands.join(items, "item_id").join(docs, "doc_id")
+    found = candidate_bands(docs, items, passages).join(docs, "doc_id")
     width, n = 2 * passages.band, min_words
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict[str, str] = {}
-        last: tuple[str, str] = ("", "")
         for b in batches:
-            rows = []
-            for doc_id, item_id, low, item, text in zip(b["doc_id"], b["item_id"], b["diagonal"], b["item_words"], b["text"]):
-                if last[0] is not text and last[0] != text:
-                    last = (text, canonical_words(text, cache))
-                doc = last[1]
-                need = shortest_window(item.split(" "), n) - edits * (1.0 + max(MISMATCH, GAP))
-                score = banded_score(doc, item, low - edits, low + width + edits)
-                if score < need:
+            rows, words = [], {}
+            for doc_id, item_id, low, item, least, text in zip(b["doc_id"], b["item_id"], b["diagonal"], b["item_words"], b["least"], b["text"]):
+                doc = words.get(text)
+                if doc is None:
+                    doc = words[text] = canonical_words(text, cache)
+                # A passage of ``least`` characters keeps all but one for each edit.
+                score = aligned_chars(doc, item, low - edits, low + width + edits, edits, least - edits)
+                if not score:
                     continue
                 # The band's region, out to whole words.
                 start = doc.rfind(" ", 0, max(0, low - edits)) + 1
@@ -222,5 +240,5 @@ def leaked_passages(docs: DataFrame, items: DataFrame, *, min_words: int = 13, e
                 rows.append((doc_id, item_id, score, exact))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "exact"])
 
-    verified = found.select("doc_id", "item_id", "diagonal", "item_words", "text").mapInPandas(verify, "doc_id long, item_id long, score double, exact boolean")
+    verified = found.select("doc_id", "item_id", "diagonal", "item_words", "least", "text").mapInPandas(verify, "doc_id long, item_id long, score int, exact boolean")
     return verified.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("exact").alias("exact"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tessera.llm.leakage import leaked_passages
 from tessera.llm.packing import pack_documents
 from tessera.llm.parsing import check_syntax, syntax_rates
-from tessera.llm.secrets import scan_secrets
+from tessera.llm.provenance import file_origins
+from tessera.llm.credentials import scan_secrets
 from tessera.llm.unify import unify
 from tessera.sources.tables import table
 
@@ -57,6 +58,15 @@ def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
     return one.groupBy("table_name", "record_id").agg(F.max(F.struct("n_cases", "redacted")).alias("r")).select("table_name", "record_id", "r.n_cases", "r.redacted")
 
 
+def p7_origins(spark: SparkSession, d: str) -> DataFrame:
+    """Files that are not hand-written, by origin and evidence."""
+    return file_origins(table(spark, d, "source_files").select("file_id", "repository_id", "repository", "rel_path", "text"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_origins(spark, d).select("file_id").distinct()
+
+
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     return pack_documents(table(spark, d, "documents").select("doc_id", "text"))
 
@@ -82,5 +92,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return unify(docs, "text").where(F.size("oddities") > 0).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p1_causes, p2_found, p2_redacted, p8_packed, p9_found, p9_pairs, p10_found, p10_unified)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p1_causes, p2_found, p2_redacted, p7_found, p7_origins, p8_packed, p9_found, p9_pairs, p10_found, p10_unified)}
 ORACLES: dict[str, str] = {}
