@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import problems, problems_sql
+from tessera.plans import bindings, bindings_sql, problems, problems_sql, streams
 
-_MODULES = ((problems, problems_sql),)
+_MODULES = ((problems, problems_sql), (bindings, bindings_sql), (streams, streams))
 
 
 def queries():
