@@ -135,7 +135,8 @@ def candidate_bands(docs: DataFrame, items: DataFrame, passages: Passages) -> Da
         # Proven by the count above: 8 bytes each.
         known = np.unique(grams.select("h").toPandas()["h"].to_numpy(dtype=np.int64)) if n else np.empty(0, dtype=np.int64)
         if not n:
-            return docs.join(items, F.lit(False)).select("doc_id", "item_id", "item_words", "least", F.lit(0).cast("long").alias("diagonal"))
+            nothing = docs.where(F.lit(False)).select("doc_id")
+            return nothing.selectExpr("doc_id", "0L AS item_id", "'' AS item_words", "0 AS least", "0L AS diagonal")
         hits = document_hits(docs, known, passages.q).join(F.broadcast(grams), "h")
     else:
         hits = document_hits(docs, None, passages.q).join(grams, "h")
