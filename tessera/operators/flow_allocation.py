@@ -23,38 +23,36 @@ def max_flow_events(events: list[tuple[str, str, str]], decreases: dict[str, int
     used_old: dict[str, int] = {}
     holder: dict[str, list[int]] = {}  # new id -> events that hold a unit of it
     chosen: set[int] = set()
-    # Paths start at an unused event whose old id has room or can give one up.
-    for start in range(len(events)):
-        if start in chosen:
-            continue
-        before: dict[int, int | None] = {start: None}
-        queue = deque([start]) if used_old.get(events[start][1], 0) < decreases.get(events[start][1], 0) else deque()
-        end = None
-        while queue and end is None:
+
+    def augment(start: int) -> bool:
+        """Give ``start`` a unit, moving others to events of the same old id."""
+        if start in chosen or used_old.get(events[start][1], 0) >= decreases.get(events[start][1], 0):
+            return False
+        came: dict[int, tuple[int, int] | None] = {start: None}  # event -> (event before, event that gives way)
+        queue = deque([start])
+        while queue:
             i = queue.popleft()
             new = events[i][2]
             if len(holder.get(new, [])) < increases.get(new, 0):
-                end = i
-                break
-            for j in holder.get(new, []):  # j gives its unit to i; its old id gets one back
+                while True:
+                    chosen.add(i)
+                    holder.setdefault(events[i][2], []).append(i)
+                    if came[i] is None:
+                        used_old[events[i][1]] = used_old.get(events[i][1], 0) + 1
+                        return True
+                    i, gone = came[i]
+                    chosen.discard(gone)
+                    holder[events[gone][2]].remove(gone)
+            for j in holder.get(new, []):
                 for k in by_old[events[j][1]]:
-                    if k not in chosen and k not in before:
-                        before[k] = i
-                        before.setdefault(("out", k), j)
+                    if k not in chosen and k not in came:
+                        came[k] = (i, j)
                         queue.append(k)
-        if end is None:
-            continue
-        used_old[events[start][1]] = used_old.get(events[start][1], 0) + 1
-        i: int | None = end
-        while i is not None:
-            chosen.add(i)
-            holder.setdefault(events[i][2], []).append(i)
-            prior = before[i]
-            if prior is not None:
-                out = before[("out", i)]
-                chosen.discard(out)
-                holder[events[out][2]].remove(out)
-            i = prior
+        return False
+
+    # An event that gave way may get a unit again later.
+    while any([augment(i) for i in range(len(events))]):
+        pass
     return {events[i][0] for i in chosen}
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def clean_cells(df: DataFrame) -> DataFrame:
     """Text columns without zero bytes, carriage returns written as ``\\r``."""
     return df.select(
-        *[F.regexp_replace(F.regexp_replace(F.col(f"`{c}`"), "\\x00", ""), "\r", r"\\\\r").alias(c) if t == "string" else F.col(f"`{c}`") for c, t in df.dtypes]
+        *[F.regexp_replace(F.regexp_replace(F.col(f"`{c}`"), "\\x00", ""), "\r", r"\\r").alias(c) if t == "string" else F.col(f"`{c}`") for c, t in df.dtypes]
     )
 
 
