@@ -44,7 +44,15 @@ _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<bod
 _URL = re.compile(r"\b[A-Za-z][A-Za-z0-9+.-]*://(?P<user>[^\s:/@\"'`<>]*):(?P<login>[^\s/@\"'`<>]+)@(?=[\w\[.$-])")
 _COMMAND_USER = re.compile(r"(?:(?<![\w-])-u|--user|--proxy-user)(?:\s+|=)[\"']?(?P<user>[^\s:\"'`]+):(?P<login>[^\s\"'`]+)")
 _COMMAND_FLAG = re.compile(r"--(?P<name>[A-Za-z][\w-]*)(?:\s+|=)(?P<login>[^\s\"'`-][^\s\"'`]*)")
-_HINT = re.compile(r"(?i)pass|pwd|pw\b|secret|token|key|auth|bearer|credential|pem\b|PRIVATE|://[^\s/]*@|-u\s|--user|jwt|_pat\b|" + _ISSUED + "|" + _MARKED)
+# Searches of lower-cased text that decide whether the costly patterns run.
+_HINT = re.compile(r"pass|pwd|pw\b|secret|token|key|auth|bearer|credential|pem\b|private|://|-u\s|--user|jwt|_pat\b|akia|asia|aiza|eyj|ya29|sg\.|[-_][a-z0-9]{20}")
+_MARK = re.compile(r"akia|asia|aiza|eyj|ya29|sg\.|sk-|xox|pypi-|glpat-|github_pat|[-_][a-z0-9]{16}")
+_PROSE = re.compile(r"(?:key|secret|token|passw(?:or)?d|pwd)\s*(?:is|was)?\s*[:=]")
+#: A credential word at the end of a name, and something that binds or passes it.
+_BINDS = re.compile(
+    r"(?:passw(?:or)?d|pwd|pass|pw|passphrase|passcode|token|secret|authorization|auth|bearer|credentials?|key|pem|pat|jwt)\d*[\"'`\])]*\s*(?::\s*\w+\s*=|:=|=>|[=:,])(?!=)"
+)
+_ISSUER = re.compile(r"[\"'](?:A[KS]IA|gh[pousr]_|github_pat|glpat-|sk-|[sr]k_|hf_|xox|gsk_|AIza|ya29|npm_|pypi-|SG\.|dop_v1|eyJ)")
 
 _LEX = re.compile(
     r"(?P<str>(?P<pre>\b[rRbBuUfF]{1,2})?(?:\"\"\"(?P<d3>(?:[^\\\"]|\\.|\"(?!\"\"))*)\"\"\"|'''(?P<s3>(?:[^\\']|\\.|'(?!''))*)'''"
@@ -59,9 +67,10 @@ _PROPERTY = re.compile(r"<[A-Za-z_][\w.:-]*\s[^<>]*?\b(?:name|key)\s*=\s*[\"'](?
 _CODE = re.compile(r"^\s*(?:def |class |import |from \w+ import|return\b|function\b|const |let |export )", re.M)
 _PLACEHOLDER = re.compile(
     r"<[^>]*>|\$\{|\{\{|\$\(|%\(|^\$\w+$|^%\w+%$|\.\.\.|(.)\1{5,}|^\*+$"
-    r"|(?i:(?:^|[\W_])(?:your|yours|replace|replaceme|change|changeme|placeholder|example|sample|dummy|todo|fixme|redacted|insert|none|null|undefined|true|false|xxx+)(?:$|[\W_]))"
+    r"|(?i:(?:^|[\W_])(?:your|yours|replace|replaceme|change|changeme|placeholder|example|sample|dummy|todo|fixme|redacted|insert|none|null|undefined|true|false|xxx+)(?:$|[\W_]))|EXAMPLE"
 )
 _WORDS = re.compile(r"^[A-Za-z]+(?:[ _./:-][A-Za-z]+)*$")
+_ORDINARY = re.compile(r"^(?:[A-Z]?[a-z]{3,})+$")
 _MODEL = re.compile(r"^(?:[a-z][a-z0-9-]*/)?[a-z]+-\d+(?:\.\d+)?(?:-[a-z0-9]+)*(?::[a-z]+)?$")
 _PATHLIKE = re.compile(r"^(?:\.{0,2}/|~/|[A-Za-z]:\\)|^[\w.-]+(?:/[\w.-]+)+\.\w{1,5}$")
 _SPLIT = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -86,7 +95,15 @@ def name_kind(name: str) -> str | None:
 def _mixed(value: str) -> bool:
     """Looks random: a run of letters and digits that no word has."""
     kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]"))
-    return kinds >= 2 and bool(re.search("[0-9]", value)) and len(set(value)) >= min(10, len(value) // 2)
+    return kinds >= 2 and bool(re.search("[0-9]", value)) and len(set(value)) >= min(10, len(value) // 2) or _scrambled(value)
+
+
+def _scrambled(value: str) -> bool:
+    """Letters of both cases in an order that no joined words have."""
+    if len(value) < 8 or not re.search("[a-z]", value) or not re.search("[A-Z]", value):
+        return False
+    pieces = _SPLIT.findall(value)
+    return sum(map(len, pieces)) <= 3.2 * len(pieces) and len(pieces) >= 3
 
 
 def is_secret(value: str, kind: str, encoded: bool = False) -> bool:
@@ -97,8 +114,10 @@ def is_secret(value: str, kind: str, encoded: bool = False) -> bool:
             value = base64.b64decode(re.sub(r"\s", "", value), validate=True).decode("utf-8")
         except (binascii.Error, ValueError):
             return False
-    if len(value) < 6 or _PLACEHOLDER.search(value) or _WORDS.match(value) or re.search(r"\s", value):
+    if len(value) < 6 or _PLACEHOLDER.search(value) or re.search(r"\s", value):
         return False
+    if _WORDS.match(value):
+        return value.isalpha() and _scrambled(value) and not _ORDINARY.match(value) or bool(_ISSUED_ONLY.fullmatch(value))
     if _ISSUED_ONLY.match(value):
         return True
     if value.startswith(("http://", "https://", "vault:", "arn:", "projects/", "secret/")) or _PATHLIKE.match(value):
@@ -188,26 +207,29 @@ def _lex(text: str) -> list[tuple]:
 def _scan(text: str, code: bool, depth: int = 0) -> list[tuple[int, int, str]]:
     """Spans (start, end, kind) of credentials' contents."""
     spans: list[tuple[int, int, str]] = []
-    for m in _PEM.finditer(text):
+    low = text.lower()
+    for m in _PEM.finditer(text) if "PRIVATE KEY" in text else ():
         body = m.group("body").replace("\\n", "")
         if re.search(r"[^\sx.*]", body) and not _PLACEHOLDER.search(body) or not body.strip():
             spans.append((m.start(), m.end("body"), "private_key"))
-    for m in _URL.finditer(text):
+    for m in _URL.finditer(text) if "://" in text else ():
         p = m.group("login")
         if not _PLACEHOLDER.search(p) and "{" not in p and not p.startswith("$") and p.lower() not in PASSWORD_WORDS | {"secret", "token"} and p != m.group("user"):
             spans.append((m.start("login"), m.end("login"), "url_login"))
-    for m in _COMMAND_USER.finditer(text):
+    for m in _COMMAND_USER.finditer(text) if "-u" in text else ():
         p = m.group("login")
         if not _PLACEHOLDER.search(p) and "{" not in p and not p.startswith("$") and p.lower() not in PASSWORD_WORDS:
             spans.append((m.start("login"), m.end("login"), "command_login"))
-    for m in _COMMAND_FLAG.finditer(text):
+    for m in _COMMAND_FLAG.finditer(text) if "--" in text else ():
         if (kind := name_kind(m.group("name"))) and is_secret(m.group("login"), kind):
             spans.append((m.start("login"), m.end("login"), "command_login"))
-    for m in _TOKEN.finditer(text):
+    for m in _TOKEN.finditer(text) if _MARK.search(low) else ():
         v = m.group()
-        if not _PLACEHOLDER.search(v) and (_ISSUED_ONLY.match(v) and _mixed(v) or _mixed(re.split("[-_]", v)[-1].rstrip("=")) and re.search("[A-Z]", v) and re.search("[a-z]", re.split("[-_]", v)[-1])):
+        if not _PLACEHOLDER.search(v) and (_ISSUED_ONLY.match(v) and (_mixed(v) or v.startswith(("AKIA", "ASIA"))) or _mixed(re.split("[-_]", v)[-1].rstrip("=")) and re.search("[A-Z]", v) and re.search("[a-z]", re.split("[-_]", v)[-1])):
             spans.append((m.start(), m.end(), "issued"))
-    tokens = _lex(text)
+    # Lexing costs most; it is needed only where a name may bind a literal, or
+    # where an issuer's mark starts a literal of several pieces.
+    tokens = _lex(text) if _BINDS.search(low) or _ISSUER.search(text) else []
     i = 0
     while i < len(tokens):
         kind, _, start, body, prefix = tokens[i]
@@ -230,19 +252,19 @@ def _scan(text: str, code: bool, depth: int = 0) -> list[tuple[int, int, str]]:
         literal = "f" not in prefix or "{" not in whole
         if bound and literal and "PRIVATE KEY-----" not in whole and "\n" not in whole and is_secret(whole, bound, encoded):
             spans += [(s, s + len(b), "literal" if n == 0 else "piece") for n, (s, b) in enumerate(pieces)]
-        elif len(pieces) > 1 and literal and (m := _TOKEN.match(whole)) and m.end() == len(whole) and _ISSUED_ONLY.match(whole) and _mixed(whole):
+        elif len(pieces) > 1 and literal and (m := _TOKEN.match(whole)) and m.end() == len(whole) and _ISSUED_ONLY.match(whole):
             spans += [(s, s + len(b), "literal" if n == 0 else "piece") for n, (s, b) in enumerate(pieces)]
         elif depth < 2:
             for s, b in pieces:
-                if "\n" in b or "=" in b or ":" in b:
+                if _BINDS.search(b.lower()):
                     spans += [(s + x, s + y, z) for x, y, z in _scan(b, True, depth + 1) if z in ("literal", "piece")]
         i = k
-    for pattern, kinds in ((_ELEMENT, None), (_PROPERTY, None), (_NAMED_PROSE, "token")):
-        for m in pattern.finditer(text):
+    for pattern, kinds, there in ((_ELEMENT, None, "</" in text), (_PROPERTY, None, "<" in text and "value" in low), (_NAMED_PROSE, "token", _PROSE.search(low))):
+        for m in pattern.finditer(text) if there else ():
             kind = kinds or name_kind(m.group("name"))
             if kind and is_secret(m.group("value"), kind):
                 spans.append((m.start("value"), m.end("value"), "literal"))
-    if depth == 0:
+    if depth == 0 and _BINDS.search(low):
         for m in _BARE.finditer(text):
             kind = name_kind(m.group("name"))
             value = m.group("value")
@@ -254,7 +276,7 @@ def _scan(text: str, code: bool, depth: int = 0) -> list[tuple[int, int, str]]:
 def find_secrets(text: str) -> list[tuple[int, int, str]]:
     """Disjoint spans of credentials in text order; ``piece`` continues the
     credential before it."""
-    if not _HINT.search(text):
+    if not _HINT.search(text.lower()):
         return []
     spans = sorted(_scan(text, bool(_CODE.search(text))), key=lambda s: (s[0], -s[1], s[2]))
     out: list[tuple[int, int, str]] = []
