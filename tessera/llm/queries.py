@@ -93,4 +93,12 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p1_causes, p2_found, p2_redacted, p7_found, p7_origins, p8_packed, p9_found, p9_pairs, p10_found, p10_unified)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "p10_found": r"""SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL AND (
+        regexp_matches(text, '[\x{FF01}-\x{FF60}\x{FFE0}-\x{FFE6}\x{FB00}-\x{FB06}\x{FB13}-\x{FB17}]')
+        OR (regexp_matches(text, '\pL\pM') AND length(nfc_normalize(text)) < length(text))
+        OR regexp_matches(regexp_replace(text, '([\x{2190}-\x{27BF}\x{1F000}-\x{1FAFF}]\x{FE0F}?)\x{200D}([\x{2190}-\x{27BF}\x{1F000}-\x{1FAFF}])', '\1\2', 'g'),
+            '[\x{AD}\x{34F}\x{61C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{3164}\x{FEFF}\x{FFA0}\x{FFF0}-\x{FFF8}]')
+        OR regexp_matches(text, '[\x{0B}\x{0C}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{2011}]')
+        OR regexp_matches(text, '\p{Latin}[\pL\pN]*[\p{Greek}\p{Cyrillic}]|[\p{Greek}\p{Cyrillic}][\pL\pN]*\p{Latin}'))""",
+}
