@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import suffixes
+from tessera.operators.sequence import carry_forward
 
 
 def nearest_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, value: str, *, tolerance: float) -> DataFrame:
@@ -35,15 +36,16 @@ def latest_before(left: DataFrame, right: DataFrame, keys: list[str], at: str, r
     """``left`` with ``before_value``: ``value`` of the latest row of ``right`` of
     the same keys at or before ``at``.
 
-    Both sides are merged and the last value is carried forward by one window;
-    no pair is ever built.  Of right rows at one time the greatest value counts.
+    Both sides are merged and the last value is carried forward over range
+    partitions, so no pair is built and a key with a third of all rows lies in
+    many tasks.  Of right rows at one time the greatest value counts.
     Left rows keep their columns; ``order`` is a unique column of ``left``.
     """
     r = right.groupBy(*keys, F.col(right_at).alias("__t")).agg(F.max(value).alias("__v"))
     both = left.withColumn("__t", F.col(at)).withColumn("__v", F.lit(None).cast(right.schema[value].dataType)).withColumn("__side", F.lit(1))
     both = both.unionByName(r.withColumn("__side", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("__t", "__side", order).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("before_value", F.last("__v", ignorenulls=True).over(w)).where(F.col("__side") == 1).drop("__t", "__v", "__side")
+    carried = carry_forward(both, keys, ["__t", "__side", order], "__v", "before_value")
+    return carried.where(F.col("__side") == 1).drop("__t", "__v", "__side")
 
 
 def innermost_interval(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str, name: str, *, cell: int) -> DataFrame:

@@ -30,3 +30,23 @@ def next_in_sequence(df: DataFrame, keys: list[str], order: list[str], value: st
     return inside.alias("i").join(after.alias("a"), cond, "left").select(
         *[F.col(f"i.{c}") for c in df.columns], F.coalesce(F.col("i.__next"), F.col("a.__after"))["v"].alias(out)
     )
+
+
+def carry_forward(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, *, partitions: int | None = None) -> DataFrame:
+    """``df`` with ``out``: the last value that is not null up to and with a row.
+
+    Partitioned by range like ``next_in_sequence``: the window runs within
+    (partition, key), and each piece of a key gets what the pieces before it
+    carried.  ``order`` should be unique within a key.
+    """
+    n = partitions or max(4, df.sparkSession.sparkContext.defaultParallelism)
+    ranged = df.repartitionByRange(n, *keys, *order).withColumn("__part", F.spark_partition_id())
+    inside = ranged.withColumn("__in", F.last(value, ignorenulls=True).over(Window.partitionBy("__part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    pieces = ranged.groupBy("__part", *keys).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("__v"))
+    # Pieces number at most partitions plus keys.
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    spans = pieces.withColumn("__before", F.last("__v", ignorenulls=True).over(before)).drop("__v")
+    cond = F.col("i.__part") == F.col("s.__part")
+    for k in keys:
+        cond = cond & F.col(f"i.{k}").eqNullSafe(F.col(f"s.{k}"))
+    return inside.alias("i").join(spans.alias("s"), cond, "left").select(*[F.col(f"i.{c}") for c in df.columns], F.coalesce("i.__in", "s.__before").alias(out))

@@ -13,6 +13,7 @@ from tessera.operators.joins import innermost_interval, latest_before, nearest_j
 from tessera.operators.matching import conservation, staged_matches, unmatched
 from tessera.operators.scores import any_per, cluster_weights, confusion, runtime_summary
 from tessera.operators.sequence import next_in_sequence
+from tessera.operators.skew import fragment_replicate_join
 from tessera.operators.snapshot_diff import snapshot_changes
 from tessera.operators.summary import group_summary, joined_sets, labelled_counts, share_within, spine_counts
 from tessera.operators.value_flow import syntax_facts, trace_literals
@@ -178,7 +179,10 @@ def needle_lines(spark, d):
     files = table(spark, d, "source_files").select("file_id", "text").where("file_id is not null and text is not null").distinct()
     lines = files.select("file_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.col("line").rlike("[\"']"))
     tokens = lines.select("file_id", (F.col("at") + 1).alias("line_number"), F.explode(quoted_tokens(F.col("line"))).alias("needle"))
-    return tokens.join(needles, "needle").groupBy("file_id", "line_number", "model_id", "form").agg(F.count(F.lit(1)).alias("n_hits"))
+    # A few models are named on most lines: broadcast the counted vocabulary, or spread them.
+    small = needles.count() * 96 <= 32 << 20
+    met = tokens.join(F.broadcast(needles), "needle") if small else fragment_replicate_join(tokens, needles, "needle")
+    return met.groupBy("file_id", "line_number", "model_id", "form").agg(F.count(F.lit(1)).alias("n_hits"))
 
 
 def release_gaps(spark, d):
@@ -186,8 +190,8 @@ def release_gaps(spark, d):
     rel = table(spark, d, "releases").groupBy("release_id").agg(F.max(F.struct("loaded_at", "snapshot_id", "published_at", "tag")).alias("r")).select("release_id", "r.*")
     snaps = table(spark, d, "snapshots").select(snapshot_key("snapshot_id").alias("sid"), "repository_id", "release_line").distinct()
     rows = rel.withColumn("at", X.utc_time(F.col("published_at"))).where(F.col("at").isNotNull() & ~F.lower("tag").rlike("rc|alpha|beta")).join(snaps, snapshot_key("snapshot_id") == F.col("sid"))
-    w = Window.partitionBy("repository_id", "release_line").orderBy("at", "release_id")
-    gaps = rows.withColumn("gap", F.floor((F.unix_seconds("at") - F.unix_seconds(F.lag("at").over(w))) / 86400))
+    rows = rows.select("repository_id", "release_line", "at", "release_id")
+    gaps = next_in_sequence(rows, ["repository_id", "release_line"], ["at", "release_id"], "at", "next_at").withColumn("gap", F.floor((F.unix_seconds("next_at") - F.unix_seconds("at")) / 86400))
     return gaps.groupBy("repository_id", "release_line").agg(
         F.count(F.lit(1)).alias("n_releases"), F.floor((F.unix_seconds(F.max("at")) - F.unix_seconds(F.min("at"))) / 86400).alias("span_days"), F.percentile("gap", F.lit(0.5)).alias("median_gap")
     )

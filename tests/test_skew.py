@@ -1,6 +1,6 @@
 from collections import Counter
 
-from tessera.operators.sequence import next_in_sequence
+from tessera.operators.sequence import carry_forward, next_in_sequence
 from tessera.operators.skew import balanced_aggregate, dominating_keys, fragment, fragment_replicate_join, plan_loads
 
 
@@ -60,3 +60,15 @@ def test_next_in_sequence(spark, rows):
         seq = [x for x in data if x[0] == g]
         for a, b in zip(seq, [*seq[1:], (None, None, None)]):
             assert got[g, a[1]] == b[2]
+
+
+def test_carry_forward(spark):
+    data = [(i % 2 if i % 5 else None, i, f"v{i}" if i % 11 == 0 else None) for i in range(300)]
+    df = spark.createDataFrame(data, "g long, o long, v string")
+    got = {(r.g, r.o): r.c for r in carry_forward(df, ["g"], ["o"], "v", "c", partitions=9).collect()}
+    for g in (0, 1, None):
+        last = None
+        for _, o, v in [x for x in data if x[0] == g]:
+            last = v or last
+            assert got[g, o] == last
+    assert len(got) == 300
