@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.tables import cut_lineage
+
 
 def next_in_sequence(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, *, partitions: int | None = None) -> DataFrame:
     """``df`` with ``out``: ``value`` of the next row by ``order`` within ``keys``.
@@ -15,9 +17,9 @@ def next_in_sequence(df: DataFrame, keys: list[str], order: list[str], value: st
     the piece before.  Those pieces number at most partitions plus keys.  Null
     keys form a sequence of their own; the last row of a sequence gets null.
     """
-    spark = df.sparkSession
-    n = partitions or max(4, spark.sparkContext.defaultParallelism)
-    ranged = df.repartitionByRange(n, *keys, *order).withColumn("__part", F.spark_partition_id())
+    n = partitions or max(4, df.sparkSession.sparkContext.defaultParallelism)
+    # Written once: sampled range borders may differ from one evaluation to the next.
+    ranged = cut_lineage(df.repartitionByRange(n, *keys, *order).withColumn("__part", F.spark_partition_id()))
     w = Window.partitionBy("__part", *keys).orderBy(*order)
     inside = ranged.withColumn("__next", F.lead(F.struct(F.col(value).alias("v"))).over(w))
     first = ranged.groupBy("__part", *keys).agg(F.min_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("__first"))
@@ -40,7 +42,8 @@ def carry_forward(df: DataFrame, keys: list[str], order: list[str], value: str,
     carried.  ``order`` should be unique within a key.
     """
     n = partitions or max(4, df.sparkSession.sparkContext.defaultParallelism)
-    ranged = df.repartitionByRange(n, *keys, *order).withColumn("__part", F.spark_partition_id())
+    # Written once: sampled range borders may differ from one evaluation to the next.
+    ranged = cut_lineage(df.repartitionByRange(n, *keys, *order).withColumn("__part", F.spark_partition_id()))
     inside = ranged.withColumn("__in", F.last(value, ignorenulls=True).over(Window.partitionBy("__part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     pieces = ranged.groupBy("__part", *keys).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("__v"))
     # Pieces number at most partitions plus keys.

@@ -10,12 +10,13 @@ fields AS (
   UNION ALL SELECT 'snapshot_checks', check_id, max(models) FROM snapshot_checks GROUP BY check_id),
 trimmed AS (SELECT table_name, record_id, regexp_replace(field, '^\s+|\s+$', '', 'g') AS f FROM fields WHERE field IS NOT NULL),
 tokens AS (
-  SELECT table_name, record_id, CASE
-    WHEN f LIKE '[%' AND f LIKE '%]' THEN regexp_extract_all(f[2:-2], '"[^"]*"|''[^'']*''|[^\s,;|"'']+')
+  SELECT table_name, record_id, f LIKE '[%' AND f LIKE '%]' AS listed, CASE
+    WHEN f LIKE '[%' AND f LIKE '%]' THEN regexp_extract_all(f[2:-2], '"(?:[^"\\]|\\.)*"|''(?:[^''\\]|\\.)*''|[^\s,;|"'']+')
     ELSE regexp_extract_all(f, '"(?:[^"]|"")*"|[^\s,;|"]+') END AS t
   FROM trimmed),
 plain AS (
   SELECT table_name, record_id, list_filter(list_transform(t, lambda x: trim(CASE
+    WHEN x LIKE '"%"' AND length(x) > 1 AND listed THEN replace(x[2:-2], '\"', '"')
     WHEN x LIKE '"%"' AND length(x) > 1 THEN replace(x[2:-2], '""', '"')
     WHEN x LIKE '''%''' AND length(x) > 1 THEN x[2:-2] ELSE x END)), lambda x: x <> '') AS v
   FROM tokens),

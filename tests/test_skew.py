@@ -72,3 +72,13 @@ def test_carry_forward(spark):
             last = v or last
             assert got[g, o] == last
     assert len(got) == 300
+
+
+def test_sequences_of_many_rows(spark):
+    """More rows than the borders are sampled from."""
+    n = 60000
+    df = spark.range(n).selectExpr("id % 3 AS g", "id AS o", "CASE WHEN id % 1000 < 3 THEN id END AS v", "'x' AS extra").repartition(7)
+    bad = next_in_sequence(df, ["g"], ["o"], "o", "nxt", partitions=11).where(f"NOT (nxt <=> CASE WHEN o + 3 < {n} THEN o + 3 END)")
+    assert bad.count() == 0
+    bad = carry_forward(df, ["g"], ["o"], "v", "c", partitions=11).where("NOT (c <=> CASE WHEN (o - g) % 1 = 0 THEN o - o % 1000 + pmod(g - (o - o % 1000) % 3, 3) END) AND o % 1000 >= 3")
+    assert bad.count() == 0
