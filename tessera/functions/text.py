@@ -95,3 +95,15 @@ def suffixes(chain: Column, mark: str = ".") -> Column:
     parts = F.split(chain, "[.]" if mark == "." else mark)
     n = F.size(parts)
     return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, i, n), mark))
+
+
+def keyword_hits(c: Column, keywords: tuple[str, ...]) -> Column:
+    """The keywords that stand in a text as whole words, in the order given."""
+    low = F.lower(c)
+    return F.filter(F.array(*[F.when(low.rlike(rf"(?<![a-z0-9]){k}(?![a-z0-9])"), F.lit(k)) for k in keywords]), lambda x: x.isNotNull())
+
+
+def overlapping_count(c: Column, needle: str) -> Column:
+    """How often a needle occurs, overlapping occurrences included."""
+    pattern = "".join(f"[{ch}]" if ch not in "^\\]" else f"\\{ch}" for ch in needle)
+    return F.regexp_count(c, F.lit(f"(?={pattern})"))

@@ -77,3 +77,23 @@ def spread_sets(edges: DataFrame, seeds: DataFrame, a: str, b: str, node: str, v
             return seen
         seen = seen.unionByName(frontier)
     raise RuntimeError("values did not settle")
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, a: str, b: str, node: str, kind: str, *, max_depth: int) -> DataFrame:
+    """``node, path, kinds``: a fewest-edges path from any source to each node.
+
+    Of equally long paths the one of the smallest (predecessor path, kind)
+    counts, so the choice is fixed.  ``kinds`` holds the edge kinds on the way.
+    """
+    e = edges.select(F.col(a).alias("__a"), F.col(b).alias("__b"), F.col(kind).cast("string").alias("__k")).where(F.col("__a").isNotNull() & F.col("__b").isNotNull()).distinct()
+    start = sources.select(F.col(node).alias("node")).where(F.col("node").isNotNull()).distinct()
+    seen = cut_lineage(start.select("node", F.array("node").alias("path"), F.array().cast("array<string>").alias("kinds")))
+    frontier = seen
+    for _ in range(max_depth):
+        step = frontier.join(e, F.col("node") == F.col("__a")).join(seen.select(F.col("node").alias("__s")), F.col("__b") == F.col("__s"), "left_anti")
+        best = step.groupBy("__b").agg(F.min(F.struct("path", "__k", "kinds")).alias("m"))
+        frontier = cut_lineage(best.select(F.col("__b").alias("node"), F.concat("m.path", F.array("__b")).alias("path"), F.concat("m.kinds", F.array("m.__k")).alias("kinds")))
+        if frontier.limit(1).count() == 0:
+            break
+        seen = seen.unionByName(frontier)
+    return seen

@@ -62,3 +62,14 @@ def conservation(old: DataFrame, new: DataFrame, matches: DataFrame, rest: DataF
         .unionByName(rest.select(pair, item, "side"))
     )
     return want.exceptAll(have).withColumn("what", F.lit("missing")).unionByName(have.exceptAll(want).withColumn("what", F.lit("extra")))
+
+
+def turnover_groups(rest: DataFrame, pair: str, key: Column) -> DataFrame:
+    """``pair, key, n_old, n_new``: keys left over on both sides of a pair.
+
+    ``rest`` is the result of ``unmatched``.  Such items were neither added nor
+    removed for certain; null keys form no group.
+    """
+    keyed = rest.select(F.col(pair), key.alias("key"), "side").where(F.col("key").isNotNull())
+    counts = keyed.groupBy(pair, "key").agg(F.count_if(F.col("side") == "old").alias("n_old"), F.count_if(F.col("side") == "new").alias("n_new"))
+    return counts.where((F.col("n_old") > 0) & (F.col("n_new") > 0))

@@ -46,19 +46,17 @@ def plan_loads(df: DataFrame, key: str, tasks: int) -> LoadPlan:
     """
     bins = BINS_PER_TASK * tasks
     spark = df.sparkSession
-    per_key = df.groupBy(F.col(key).alias("heavy_key")).agg(F.count(F.lit(1)).alias("load"))
-    # One pass over the per-key loads gives the bins; heavy keys come with them.
-    total = per_key.agg(F.sum("load")).first()[0] or 0
+    per_key = df.groupBy(F.col(key).alias("heavy_key")).agg(F.count(F.lit(1)).alias("load")).withColumn("b", _bin(F.col("heavy_key"), bins))
+    in_bin = {r["b"]: r["load"] for r in per_key.groupBy("b").agg(F.sum("load").alias("load")).collect()}
+    total = sum(in_bin.values())
     limit = max(1, total // (HEAVY_PARTS * tasks))
-    heavy = per_key.where(F.col("load") > limit).collect() if total else []
-    light = (
-        per_key.where(F.col("load") <= limit).groupBy(_bin(F.col("heavy_key"), bins).alias("b")).agg(F.sum("load").alias("load")).collect()
-        if total
-        else []
-    )
+    # A bin of no more than the limit holds no heavy key.
+    heavy = per_key.where(F.col("load") > limit).collect() if any(n > limit for n in in_bin.values()) else []
+    for r in heavy:
+        in_bin[r["b"]] -= r["load"]
     loads = [0] * tasks
     heap = [(0, t) for t in range(tasks)]
-    items: list[tuple[int, str, object]] = [(r["load"], "bin", r["b"]) for r in light]
+    items: list[tuple[int, str, object]] = [(n, "bin", b) for b, n in in_bin.items()]
     for i, r in enumerate(heavy):
         shards = -(-r["load"] // limit)
         items += [(-(-r["load"] // shards), "key", i)] * shards

@@ -65,3 +65,16 @@ def spine_counts(df: DataFrame, row: str, rows: list[str], column: str, columns:
     counted = df.groupBy(row).agg(*[F.count_if(F.col(column) == c).alias(c) for c in columns])
     spine = spark.createDataFrame([(r,) for r in rows], f"{row} string")
     return spine.join(counted, row, "left").select(row, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in columns])
+
+
+def frequencies(df: DataFrame, case: str, code: str, *, least_share: float = 0.1, other: str = "Other") -> DataFrame:
+    """Cases per code; codes of under ``least_share`` of all cases become ``other``.
+
+    A case may have several codes.  The merged code counts its cases anew, not
+    as a sum, as one case may have several rare codes.
+    """
+    rows = df.select(case, code).where(F.col(case).isNotNull() & F.col(code).isNotNull()).distinct()
+    total = rows.agg(F.countDistinct(case)).scalar()
+    rare = rows.groupBy(code).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") < F.lit(least_share) * total).select(code, F.lit(True).alias("__rare"))
+    merged = rows.join(rare, code, "left").select(case, F.when(F.col("__rare"), F.lit(other)).otherwise(F.col(code)).alias(code))
+    return merged.groupBy(code).agg(F.countDistinct(case).alias("n_cases")).withColumn("share", share(F.col("n_cases"), total))

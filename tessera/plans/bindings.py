@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.functions.keys import author_key, canonical_path, snapshot_key, stripped
+from tessera.operators.delimited import split_values
 from tessera.operators.flow_allocation import allocate_replacements
-from tessera.operators.graph import connected_components, distances, spread_sets
+from tessera.operators.graph import connected_components, distances, shortest_paths, spread_sets
 from tessera.operators.joins import innermost_interval, latest_before, nearest_join, presence, quoted_tokens, set_differences, suffix_join, unique_suffixes
-from tessera.operators.matching import conservation, staged_matches, unmatched
+from tessera.operators.matching import conservation, staged_matches, turnover_groups, unmatched
 from tessera.operators.scores import any_per, cluster_weights, confusion, runtime_summary
 from tessera.operators.sequence import next_in_sequence
 from tessera.operators.skew import fragment_replicate_join
 from tessera.operators.snapshot_diff import snapshot_changes
-from tessera.operators.summary import group_summary, joined_sets, labelled_counts, share_within, spine_counts
-from tessera.operators.value_flow import syntax_facts, trace_literals
+from tessera.operators.summary import frequencies, group_summary, joined_sets, labelled_counts, share_within, spine_counts
+from tessera.operators.value_flow import classify_positions, syntax_facts, trace_literals
 from tessera.sources.tables import cut_lineage, table
 
 
@@ -410,6 +411,49 @@ def traced_bindings(spark, d):
     return trace_literals(files, ids)
 
 
+def rename_turnover(spark, d):
+    """Kinds of files left over on both sides of a snapshot pair."""
+    old, new = _rename_sides(spark, d)
+    rest = unmatched(old, new, staged_matches(old, new, "pair", "path", _rename_stages()), "pair", "path")
+    return turnover_groups(rest, "pair", F.regexp_extract("path", r"(\.[^./]*)$", 1))
+
+
+def tree_paths(spark, d):
+    """Fewest-edges paths from repositories to entries, by length and edge kinds."""
+    edges = _tree(spark, d).withColumn("kind", F.when(F.col("down").rlike(r"[.][^./]*$"), "file").otherwise("folder"))
+    roots = edges.select(F.split("up", "/")[0].alias("node")).distinct()
+    paths = shortest_paths(edges, roots, "up", "down", "node", "kind", max_depth=40)
+    return paths.groupBy(F.size("path").alias("length"), F.exists("kinds", lambda k: k == "file").alias("to_file")).agg(F.count(F.lit(1)).alias("n_nodes"))
+
+
+def topic_frequencies(spark, d):
+    """Repositories per topic, rare topics merged."""
+    topics = split_values(table(spark, d, "repositories"), source_field="topics", record_id="repository_id", field="topics")
+    return frequencies(topics, "record_id", "item_value")
+
+
+KEYWORDS = ("model", "token", "agent", "queue", "release")
+
+
+def document_keywords(spark, d):
+    docs = table(spark, d, "documents").select("doc_kind", F.explode(X.keyword_hits(F.col("text"), KEYWORDS)).alias("keyword"))
+    return docs.groupBy("doc_kind", "keyword").agg(F.count(F.lit(1)).alias("n_documents"))
+
+
+def literal_counts(spark, d):
+    """Occurrences of a text in documents, overlapping ones included."""
+    docs = table(spark, d, "documents").where("doc_id is not null and text is not null")
+    return docs.select("doc_id", X.overlapping_count(F.col("text"), "ee").alias("n_ee"), X.overlapping_count(F.col("text"), "the").alias("n_the"))
+
+
+def occurrence_contexts(spark, d):
+    """Recorded and found context of model occurrences in Python files."""
+    occ = table(spark, d, "model_id_occurrences").select("occurrence_id", "file_id", F.col("line_number").alias("line"), F.col("column_start").alias("column"), "source_context").distinct()
+    files = table(spark, d, "source_files").where(F.col("rel_path").endswith(".py")).select("file_id", "text").distinct()
+    found = classify_positions(files, occ.join(files.select("file_id"), "file_id", "left_semi"))
+    return found.groupBy("source_context", "context").agg(F.count(F.lit(1)).alias("n_occurrences"))
+
+
 def pricing_summary(spark, d):
     l = table(spark, d, "lineitem")
     price = F.col("l_extendedprice") * (1 - F.col("l_discount"))
@@ -442,6 +486,6 @@ QUERIES = {
         binding_records, confirmed_repositories, discovered_authors, listing_differences, module_aliases, module_rules, nearest_views, latest_views, innermost_priority,
         needle_lines, release_gaps, tag_kinds, adjacent_snapshots, latest_commits, weekly_shares, user_ranking, line_offsets, saturating_changes, path_signals,
         identifier_words, snapshot_fingerprints, renamed_files, rename_conservation, replaced_extensions, shared_commits, tree_depths, model_directories, signal_scores,
-        resampled_shares, event_runtimes, cutoff_counts, path_breadth, fact_counts, import_counts, traced_bindings, pricing_summary, nation_revenue, repository_states,
+        resampled_shares, event_runtimes, cutoff_counts, path_breadth, fact_counts, import_counts, traced_bindings, rename_turnover, tree_paths, topic_frequencies, document_keywords, literal_counts, occurrence_contexts, pricing_summary, nation_revenue, repository_states,
     )
 }

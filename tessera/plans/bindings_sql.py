@@ -4,6 +4,8 @@ Queries without an entry run Python per file or a fix-point over keys; tests
 compare those with brute force.
 """
 
+from tessera.plans.problems_sql import _P3_VALUES
+
 _AUTHOR = "lower(trim(regexp_replace(trim({c}), '^~+', '')))"
 _SID = "lower(trim(snapshot_id))"
 _PATH = r"regexp_replace(regexp_replace(replace({c}, '\', '/'), '/{{2,}}', '/', 'g'), '^(\./|/)+', '')"
@@ -169,6 +171,19 @@ ORACLES = {
         UNION ALL SELECT pair, old_item, new_item, 'name' FROM s3""",
     "rename_conservation": f"""WITH {_RENAMES} SELECT pair, path, side, 'missing' AS what FROM r1 WHERE NOT EXISTS (SELECT 1 FROM r4 WHERE r4.pair = r1.pair AND r4.path = r1.path AND r4.side = r1.side)
         AND NOT EXISTS (SELECT 1 FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3) s WHERE s.pair = r1.pair AND r1.path IN (s.old_item, s.new_item))""",
+    "rename_turnover": rf"""WITH {_RENAMES} SELECT pair, regexp_extract(path, '(\.[^./]*)$', 1) AS key, count(*) FILTER (side = 'old') AS n_old, count(*) FILTER (side = 'new') AS n_new
+        FROM r4 GROUP BY 1, 2 HAVING count(*) FILTER (side = 'old') > 0 AND count(*) FILTER (side = 'new') > 0""",
+    "tree_paths": rf"""WITH p AS (SELECT DISTINCT string_split(concat(CAST(repository_id AS VARCHAR), '/', {_PATH.format(c='rel_path')}), '/') AS parts FROM source_files WHERE repository_id IS NOT NULL),
+        n AS (SELECT DISTINCT parts[1:i] AS node FROM (SELECT parts, unnest(range(1, len(parts) + 1)) AS i FROM p))
+        SELECT CAST(len(node) AS INTEGER) AS length, len(list_filter(node[2:], lambda x: contains(x, '.'))) > 0 AS to_file, count(*) AS n_nodes FROM n GROUP BY 1, 2""",
+    "topic_frequencies": f"""WITH {_P3_VALUES}, r AS (SELECT DISTINCT record_id, item_value FROM vals WHERE table_name = 'repositories'),
+        t AS (SELECT count(DISTINCT record_id) AS n FROM r), c AS (SELECT item_value AS k, count(*) AS m FROM r GROUP BY 1),
+        g AS (SELECT record_id, CASE WHEN m < 0.1 * t.n THEN 'Other' ELSE item_value END AS item_value FROM r JOIN c ON c.k = r.item_value CROSS JOIN t)
+        SELECT item_value, count(DISTINCT record_id) AS n_cases, round(count(DISTINCT record_id) / (SELECT n FROM t), 6) AS share FROM g GROUP BY item_value""",
+    "document_keywords": """SELECT doc_kind, k AS keyword, count(*) AS n_documents FROM documents CROSS JOIN (VALUES ('model'), ('token'), ('agent'), ('queue'), ('release')) v(k)
+        WHERE regexp_matches(lower(text), '(^|[^a-z0-9])' || k || '($|[^a-z0-9])') GROUP BY ALL""",
+    "literal_counts": """SELECT doc_id, CAST(len(list_filter(range(1, length(text)), lambda i: text[i:i + 1] = 'ee')) AS INTEGER) AS n_ee,
+        CAST((length(text) - length(replace(text, 'the', ''))) // 3 AS INTEGER) AS n_the FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL""",
     "shared_commits": f"WITH RECURSIVE {_COMPONENTS} SELECT node, min(other) AS component FROM reach GROUP BY node",
     "tree_depths": f"""WITH p AS (SELECT DISTINCT string_split(concat(CAST(repository_id AS VARCHAR), '/', {_PATH.format(c='rel_path')}), '/') AS parts FROM source_files WHERE repository_id IS NOT NULL),
         n AS (SELECT DISTINCT array_to_string(parts[1:i], '/') AS node, i - 1 AS depth FROM (SELECT parts, unnest(range(1, len(parts) + 1)) AS i FROM p))
