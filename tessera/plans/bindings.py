@@ -18,7 +18,7 @@ from tessera.operators.skew import fragment_replicate_join
 from tessera.operators.snapshot_diff import snapshot_changes
 from tessera.operators.summary import frequencies, group_summary, joined_sets, labelled_counts, share_within, spine_counts
 from tessera.operators.value_flow import classify_positions, syntax_facts, trace_literals
-from tessera.sources.tables import cut_lineage, table
+from tessera.sources.tables import cut_lineage, spread, table
 
 
 def _interfaces(spark: SparkSession, d: str) -> DataFrame:
@@ -394,12 +394,12 @@ def path_breadth(spark, d):
 
 def fact_counts(spark, d):
     """Syntax facts of the collected Python files."""
-    files = table(spark, d, "source_files").where(F.col("rel_path").endswith(".py")).select("file_id", "text").distinct()
+    files = spread(table(spark, d, "source_files").where(F.col("rel_path").endswith(".py")).select("file_id", "text")).distinct()
     return syntax_facts(files).groupBy("kind").agg(F.count(F.lit(1)).alias("n_facts"), F.countDistinct("file_id").alias("n_files"))
 
 
 def import_counts(spark, d):
-    files = table(spark, d, "source_files").where(F.col("rel_path").endswith(".py")).select("file_id", "text").distinct()
+    files = spread(table(spark, d, "source_files").where(F.col("rel_path").endswith(".py")).select("file_id", "text")).distinct()
     return syntax_facts(files).where("kind = 'import'").groupBy("name").agg(F.count(F.lit(1)).alias("n_imports"))
 
 

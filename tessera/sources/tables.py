@@ -32,3 +32,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     that lost executors cost no recomputation and loops keep short plans."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many parts as the session has cores.
+
+    For work that costs far more than moving the rows (parsing, lexing): one
+    file of one row group would otherwise be one task.  Scans that have enough
+    parts already are left as they are, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
