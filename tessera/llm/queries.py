@@ -11,11 +11,11 @@ from tessera.llm.parsing import check_syntax, syntax_rates
 from tessera.llm.provenance import file_origins
 from tessera.llm.credentials import scan_secrets
 from tessera.llm.unify import unify
-from tessera.sources.tables import table
+from tessera.sources.tables import spread, table
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
-    files = table(spark, d, "source_files").select("file_id", "repository_id", "rel_path", "text", "parse_error")
+    files = spread(table(spark, d, "source_files").select("file_id", "repository_id", "rel_path", "text", "parse_error"))
     return check_syntax(files, keys=["file_id", "repository_id", "parse_error"])
 
 
@@ -40,7 +40,7 @@ def p1_causes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scanned(spark: SparkSession, d: str) -> DataFrame:
-    files = scan_secrets(table(spark, d, "source_files").select("file_id", "text"), keys=["file_id"], text="text")
+    files = scan_secrets(spread(table(spark, d, "source_files").select("file_id", "text")), keys=["file_id"], text="text")
     lines = scan_secrets(table(spark, d, "model_id_occurrences").select("occurrence_id", "line_text"), keys=["occurrence_id"], text="line_text")
     a = files.select(F.lit("source_files").alias("table_name"), F.col("file_id").alias("record_id"), "cases", "redacted")
     b = lines.select(F.lit("model_id_occurrences").alias("table_name"), F.col("occurrence_id").alias("record_id"), "cases", "redacted")
@@ -60,7 +60,7 @@ def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_origins(spark: SparkSession, d: str) -> DataFrame:
     """Files that are not hand-written, by origin and evidence."""
-    return file_origins(table(spark, d, "source_files").select("file_id", "repository_id", "repository", "rel_path", "text"))
+    return file_origins(spread(table(spark, d, "source_files").select("file_id", "repository_id", "repository", "rel_path", "text")))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -68,12 +68,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
-    return pack_documents(table(spark, d, "documents").select("doc_id", "text"))
+    return pack_documents(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
 def p9_pairs(spark: SparkSession, d: str) -> DataFrame:
     """All verified pairs, also those with edits."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     items = table(spark, d, "eval_items").select("item_id", "text")
     return leaked_passages(docs, items)
 
@@ -84,11 +84,11 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_unified(spark: SparkSession, d: str) -> DataFrame:
     """The consistent form of every document."""
-    return unify(table(spark, d, "documents").select("doc_id", "text"), "text").drop("text")
+    return unify(spread(table(spark, d, "documents").select("doc_id", "text")), "text").drop("text")
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text").where(F.col("doc_id").isNotNull())
+    docs = spread(table(spark, d, "documents").select("doc_id", "text").where(F.col("doc_id").isNotNull()))
     return unify(docs, "text").where(F.size("oddities") > 0).select("doc_id").distinct()
 
 
