@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.keys import author_key, snapshot_key
 from tessera.operators.delimited import infer_delimiters, masked, split_fields
-from tessera.operators.orphans import apply_deltas, existence_deltas, orphan_keys, orphan_rows, reference_deltas
+from tessera.operators.orphans import apply_deltas, existence_deltas, orphan_keys, orphan_rows
 from tessera.operators.skew import balanced_aggregate, dominating_keys, fragment_replicate_join
 from tessera.operators.snapshot_diff import snapshot_changes
 from tessera.sources.tables import table
