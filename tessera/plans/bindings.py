@@ -243,9 +243,10 @@ def user_ranking(spark, d):
 def line_offsets(spark, d):
     """Character offset at which each line of a source file starts."""
     files = table(spark, d, "source_files").select("file_id", "text").where("file_id is not null and text is not null").distinct()
-    lines = F.split("text", "\n")
-    sums = F.aggregate(lines, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x) + 1)))
-    return files.select("file_id", F.posexplode(F.slice(sums, 1, F.size(lines))).alias("at", "offset")).select("file_id", (F.col("at") + 1).alias("line_number"), "offset")
+    # Only lengths are shuffled; a window holds the lines of one file.
+    lengths = files.select("file_id", F.posexplode(F.transform(F.split("text", "\n"), lambda x: F.length(x) + 1)).alias("at", "n"))
+    before = Window.partitionBy("file_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    return lengths.select("file_id", (F.col("at") + 1).alias("line_number"), F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int").alias("offset"))
 
 
 def saturating_changes(spark, d):
