@@ -41,9 +41,9 @@ _MARKED = r"[a-z]{2,6}(?:[-_][a-z]{2,6}){0,2}[-_][A-Za-z0-9]{20,}"
 _TOKEN = re.compile(rf"(?<![A-Za-z0-9_+/=.-])(?:{_ISSUED}|{_MARKED})(?![A-Za-z0-9_])={{0,2}}")
 _ISSUED_ONLY = re.compile(_ISSUED)
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<body>.*?)(?=-----END|[\"'`<]|\Z)", re.S)
-_URL = re.compile(r"\b[A-Za-z][A-Za-z0-9+.-]*://(?P<user>[^\s:/@\"'`<>]*):(?P<login>[^\s/@\"'`<>]+)@(?=[\w\[.$-])")
+_URL = re.compile(r"\b[A-Za-z][A-Za-z0-9+.-]{0,31}://(?P<user>[^\s:/@\"'`<>]*):(?P<login>[^\s/@\"'`<>]+)@(?=[\w\[.$-])")
 _COMMAND_USER = re.compile(r"(?:(?<![\w-])-u|--user|--proxy-user)(?:\s+|=)[\"']?(?P<user>[^\s:\"'`]+):(?P<login>[^\s\"'`]+)")
-_COMMAND_FLAG = re.compile(r"--(?P<name>[A-Za-z][\w-]*)(?:\s+|=)(?P<login>[^\s\"'`-][^\s\"'`]*)")
+_COMMAND_FLAG = re.compile(r"--(?P<name>[A-Za-z][\w-]{0,63})(?:\s+|=)(?P<login>[^\s\"'`-][^\s\"'`]*)")
 # Searches of lower-cased text that decide whether the costly patterns run.
 _HINT = re.compile(r"pass|pwd|pw\b|secret|token|key|auth|bearer|credential|pem\b|private|://|-u\s|--user|jwt|_pat\b|akia|asia|aiza|eyj|ya29|sg\.|[-_][a-z0-9]{20}")
 _MARK = re.compile(r"akia|asia|aiza|eyj|ya29|sg\.|sk-|xox|pypi-|glpat-|github_pat|[-_][a-z0-9]{16}")
@@ -60,11 +60,11 @@ _LEX = re.compile(
     r"|(?P<name>[A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*)*)|(?P<op>\|\||\?\?|[=!<>]=|:=|=>|->|\S)",
     re.S,
 )
-_BARE = re.compile(r"^[ \t]*(?:[#;]+[ \t]*|//[ \t]*)?(?:export[ \t]+|-[ \t]+|set[ \t]+)?(?P<name>[A-Za-z_][\w.-]*)[ \t]*[=:][ \t]*(?P<value>[^\s\"'`(\[{<][^\n]*?)[ \t]*\r?$", re.M)
+_BARE = re.compile(r"^[ \t]*(?:[#;]+[ \t]*|//[ \t]*)?(?:export[ \t]+|-[ \t]+|set[ \t]+)?(?P<name>[A-Za-z_][\w.-]*)[ \t]*[=:][ \t]*(?P<value>[^\s\"'`(\[{<][^\n]*)$", re.M)
 _NAMED_PROSE = re.compile(r"(?i)\b(?:api[ _-]?key|access[ _-]?key|secret|token|password|passwd|pwd|key)\b(?:[ \t]+(?:is|was))?[ \t]*[:=][ \t]*(?P<value>[^\s\"'`,;<>]{6,})")
 _ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][\w.:-]*)(?:\s[^<>]*)?>(?P<value>[^<>]*)</(?P=name)\s*>")
 _PROPERTY = re.compile(r"<[A-Za-z_][\w.:-]*\s[^<>]*?\b(?:name|key)\s*=\s*[\"'](?P<name>[^\"'<>]+)[\"'][^<>]*?\bvalue\s*=\s*(?P<q>[\"'])(?P<value>.*?)(?P=q)", re.S)
-_CODE = re.compile(r"^\s*(?:def |class |import |from \w+ import|return\b|function\b|const |let |export )", re.M)
+_CODE = re.compile(r"^[ \t]*(?:def |class |import |from \w+ import|return\b|function\b|const |let |export )", re.M)
 _PLACEHOLDER = re.compile(
     r"<[^>]*>|\$\{|\{\{|\$\(|%\(|^\$\w+$|^%\w+%$|\.\.\.|(.)\1{5,}|^\*+$"
     r"|(?i:(?:^|[\W_])(?:your|yours|replace|replaceme|change|changeme|placeholder|example|sample|dummy|todo|fixme|redacted|insert|none|null|undefined|true|false|xxx+)(?:$|[\W_]))|EXAMPLE"
@@ -120,7 +120,7 @@ def is_secret(value: str, kind: str, encoded: bool = False) -> bool:
         return value.isalpha() and _scrambled(value) and not _ORDINARY.match(value) or bool(_ISSUED_ONLY.fullmatch(value))
     if _ISSUED_ONLY.match(value):
         return True
-    if value.startswith(("http://", "https://", "vault:", "arn:", "projects/", "secret/")) or _PATHLIKE.match(value):
+    if value.startswith(("http://", "https://", "vault:", "arn:", "projects/", "secret/")) or len(value) < 1000 and _PATHLIKE.match(value):
         return False
     if kind == "password":
         return not _MODEL.match(value) and bool(re.search("[A-Za-z]", value)) and bool(re.search(r"[0-9]|[^\w\s./:-]", value))
@@ -267,9 +267,9 @@ def _scan(text: str, code: bool, depth: int = 0) -> list[tuple[int, int, str]]:
     if depth == 0 and _BINDS.search(low):
         for m in _BARE.finditer(text):
             kind = name_kind(m.group("name"))
-            value = m.group("value")
+            value = m.group("value").rstrip()
             if kind and not (code and re.fullmatch(r"[A-Za-z_]\w*", value)) and not re.search(r"[({\[]", value) and is_secret(value, kind):
-                spans.append((m.start("value"), m.end("value"), "literal"))
+                spans.append((m.start("value"), m.start("value") + len(value), "literal"))
     return spans
 
 

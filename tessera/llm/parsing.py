@@ -51,9 +51,9 @@ def _xml(text: str) -> None:
 GRAMMARS = {"python": _python, "json": _json, "toml": _toml, "xml": _xml}
 #: Tokens that speak for a grammar.
 _EVIDENCE = {
-    "python": re.compile(r"^\s*(?:def|class|import|from|return|if|for|while|try|with|assert|@\w)\b.*|^\s*#", re.M),
-    "json": re.compile(r'^\s*(?:[{}\[\]],?|"[^"\n]*"\s*:.*)\s*$', re.M),
-    "toml": re.compile(r"^\s*(?:\[{1,2}[\w.\" -]+\]{1,2}|[\w.\"-]+\s*=\s*\S.*)\s*$", re.M),
+    "python": re.compile(r"^[ \t]*(?:def|class|import|from|return|if|for|while|try|with|assert|@\w)\b.*|^[ \t]*#", re.M),
+    "json": re.compile(r'^[ \t]*(?:[{}\[\]],?|"[^"\n]*"[ \t]*:.*)[ \t]*$', re.M),
+    "toml": re.compile(r"^[ \t]*(?:\[{1,2}[\w.\" -]+\]{1,2}|[\w.\"-]+[ \t]*=[ \t]*\S.*)[ \t]*$", re.M),
     "xml": re.compile(r"<(?:/?[A-Za-z_][\w.:-]*|\?xml|!--)", re.M),
 }
 _CONFLICT = re.compile(r"^(?:<{7} .*|={7}|>{7} .*)$", re.M)
