@@ -4,10 +4,9 @@ Three kinds of evidence, strongest first:
 
 * marks: directories of third-party code, names of lock files, and comment
   headers that name another project or a generating tool;
-* containment: an inverted index of line hashes gives, for every file, the file
-  of another repository that holds most of its rare lines; the share of the
-  file's lines held there is then counted exactly, so edited copies are found
-  wherever they lie;
+* containment: an inverted index of line hashes gives, for every file, all files
+  that may hold enough of its rare lines; the share of the file's lines held in
+  each is then counted exactly, so edited copies are found wherever they lie;
 * composition: what a file consists of - literals only, one dense line,
   statements numbered by a machine.
 """
@@ -163,36 +162,49 @@ def _spread_join(large: DataFrame, small: DataFrame, key: str) -> DataFrame:
 
 
 def copies_elsewhere(files: DataFrame, *, least_share: float = 0.6, least_lines: int = 5) -> DataFrame:
-    """``file, partner, shared, n_lines``: files held by a file of another repository.
-
-    ``files`` is the result of ``line_hashes``.  A line is rare if at most half
-    of all files have it; other lines do not count.  For each line that two
-    repositories share the index keeps its first and last holder, so a line of
-    any number of copies costs one row per copy and no pairs; a file's candidate
-    is the holder that most of its lines name.  Containment in the candidate is
-    then counted exactly over all lines.
+    """``file, origin, partner, shared, n_lines``: files held by files of another repository.
+
+    ``files`` is the result of ``line_hashes``, with the files' marks in
+    ``origin`` where there are any; marked files are holders only.  A line is
+    rare if at most half of all files have it; other lines do not count.  Files
+    of equal lines are one class.  A holder of the share asked for has at least
+    one of the rarest lines of a class, as many as it may lack and one more;
+    all holders of those are candidates, and each is counted exactly.  Of all
+    holders of a file, the first and the last by repository are given for each
+    ``origin``, so that one in another repository is never hidden.
     """
-    postings = files.select("file", "repo", F.size("hashes").alias("n_all"), F.explode("hashes").alias("h"))
-    holder = F.struct("repo", "file")
-    n_files = files.count()
-    shared = postings.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(holder).alias("first"), F.max(holder).alias("last"))
-    shared = shared.where(F.col("first.repo") != F.col("last.repo")).withColumn("rare", F.col("n") <= max(2, n_files // 2)).drop("n")
-    shared = cut_lineage(shared)
-    hits = _spread_join(postings, shared, "h")
-    partner = F.when(F.col("repo") == F.col("first.repo"), F.col("last.file")).otherwise(F.col("first.file"))
-    named = hits.groupBy("file", "n_all", partner.alias("partner")).agg(F.count_if("rare").alias("n"), F.count_if(~F.col("rare")).alias("common"))
-    best = named.groupBy("file", "n_all").agg(F.max(F.struct("n", "partner")).alias("best"), F.sum("common").alias("common"))
-    candidates = best.select("file", F.col("best.partner").alias("partner"), F.col("best.n").alias("named"), (F.col("n_all") - F.col("common")).alias("n_lines"))
-    # A holder that names less than half of the share asked for is no candidate.
-    candidates = cut_lineage(candidates.where((F.col("named") >= least_lines / 2) & (F.col("named") >= F.col("n_lines") * least_share / 2)).drop("named"))
-    common = shared.where(~F.col("rare")).select("h")
-    ours = _spread_join(postings.select("file", "h"), candidates, "file")
-    theirs = _spread_join(postings.select(F.col("file").alias("partner"), "h"), candidates.select("partner").distinct(), "partner")
-    # A partner of many copies has many rows of ours for each of its lines; the
-    # pre-aggregation runs on the map side, and skewed parts are split at run time.
-    exact = ours.join(theirs, ["partner", "h"]).join(common, "h", "left_anti")
-    exact = exact.groupBy("file", "partner", "n_lines").agg(F.count(F.lit(1)).alias("shared"))
-    return exact.where((F.col("shared") >= least_lines) & (F.col("shared") >= F.col("n_lines") * least_share)).select("file", "partner", "shared", "n_lines")
+    if "origin" not in files.columns:
+        files = files.withColumn("origin", F.lit(None).cast("string"))
+    key = F.md5(F.array_join(F.transform(F.sort_array("hashes"), lambda x: x.cast("string")), ","))
+    members = files.where(F.size("hashes") > 0).withColumn("same", key)
+    classes = members.groupBy("same").agg(F.min("file").alias("class"), F.count(F.lit(1)).alias("copies"), F.count_if(F.col("origin").isNull()).alias("asked"), F.first("hashes").alias("hashes"))
+    classes = cut_lineage(classes)
+    members = members.drop("hashes").join(classes.select("same", "class"), "same").drop("same")
+    limit = max(2, files.count() // 2)
+    postings = classes.select("class", "copies", F.explode("hashes").alias("h"))
+    shared = postings.groupBy("h").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("holders"))
+    shared = cut_lineage(shared.where((F.col("holders") > 1) | (F.col("n") > limit)))
+    hits = _spread_join(postings.select("class", "h"), shared, "h").groupBy("class")
+    # Lines of one class alone are the rarest of all and lead to no other class.
+    lines = hits.agg(F.count_if(F.col("n") > limit).alias("common"), F.array_sort(F.collect_list(F.when(F.col("n") <= limit, F.struct("holders", "h")))).alias("lines"))
+    n_lines = F.size("hashes") - F.coalesce("common", F.lit(0))
+    held = classes.join(lines, "class", "left").select("class", "asked", n_lines.alias("n_lines"), F.coalesce(F.col("lines.h"), F.array().cast("array<bigint>")).alias("lines"))
+    least = F.greatest(F.lit(least_lines), F.ceil(F.round(F.col("n_lines") * least_share, 6))).cast("int")
+    held = cut_lineage(held.withColumn("least", least))
+    asked = held.where((F.col("asked") > 0) & (F.col("n_lines") >= F.col("least")))
+    probes = asked.where(F.size("lines") >= F.col("least")).select("class", "least", F.explode(F.slice("lines", F.lit(1), F.size("lines") - F.col("least") + 1)).alias("h"))
+    holders = held.where(F.size("lines") >= least_lines).select(F.col("class").alias("holder"), F.size("lines").alias("size"), F.explode("lines").alias("h"))
+    pairs = _spread_join(holders, probes, "h").where((F.col("holder") != F.col("class")) & (F.col("size") >= F.col("least"))).select("class", "holder").distinct()
+    ours, theirs = held.select("class", "least", "lines"), held.select(F.col("class").alias("holder"), F.col("lines").alias("others"))
+    exact = pairs.join(ours, "class").join(theirs, "holder").select("class", "holder", "least", F.size(F.array_intersect("lines", "others")).alias("shared"))
+    exact = exact.where(F.col("shared") >= F.col("least")).drop("least").unionByName(asked.select("class", F.col("class").alias("holder"), F.col("n_lines").alias("shared")))
+    at = F.struct("repo", "file")
+    ends = members.groupBy(F.col("class").alias("holder"), "origin").agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    end = lambda c: F.struct(F.col(f"{c}.repo"), F.col(f"{c}.file"), F.col("shared"))
+    best = exact.join(ends, "holder").groupBy("class", "origin").agg(F.min(end("first")).alias("first"), F.max(end("last")).alias("last"))
+    files_of = members.where(F.col("origin").isNull()).select("file", "repo", "class").join(asked.select("class", "n_lines"), "class")
+    found = files_of.join(best, "class").select("file", "repo", "origin", "n_lines", F.explode(F.array_distinct(F.array("first", "last"))).alias("p"))
+    return found.where(F.col("p.repo") != F.col("repo")).select("file", "origin", F.col("p.file").alias("partner"), F.col("p.shared").alias("shared"), "n_lines")
 
 
 def file_origins(files: DataFrame, *, path: str = "rel_path", text: str = "text", file_id: str = "file_id", repository_id: str = "repository_id", repository: str = "repository") -> DataFrame:
@@ -211,14 +223,15 @@ def file_origins(files: DataFrame, *, path: str = "rel_path", text: str = "text"
     origin = F.coalesce("path_origin", "header_origin", "composition")
     evidence = F.when(F.col("path_origin").isNotNull(), "path").when(F.col("header_origin").isNotNull(), "header").when(F.col("composition").isNotNull(), "composition")
     marked = cut_lineage(marks.select("file", "repo", origin.alias("origin"), evidence.alias("evidence")).groupBy("file").agg(F.min("repo").alias("repo"), F.max_by("origin", "evidence").alias("origin"), F.max("evidence").alias("evidence")))
-    copies = copies_elsewhere(cut_lineage(line_hashes(rows)))
+    copies = copies_elsewhere(cut_lineage(line_hashes(rows).join(marked.select("file", "origin"), "file")))
     theirs = marked.select(F.col("file").alias("partner"), F.col("repo").alias("partner_repo"), F.col("origin").alias("partner_origin"))
     found = (
         marked.where(F.col("origin").isNull())
         .select("file", "repo")
-        .join(copies, "file")
+        .join(copies.drop("origin"), "file")
         .join(theirs, "partner")
         .where(F.coalesce(F.col("partner_origin") == "vendored", F.lit(False)) | (F.col("partner_origin").isNull() & (F.col("partner_repo") < F.col("repo"))))
         .select("file", F.lit("vendored").alias("origin"), F.lit("containment").alias("evidence"))
+        .distinct()
     )
     return marked.where(F.col("origin").isNotNull()).select("file", "origin", "evidence").unionByName(found).withColumnRenamed("file", "file_id")

@@ -73,3 +73,33 @@ def test_containment_against_brute_force(spark):
     sets = {i: set(ls) for i, _, ls in files}
     for f, (p, n) in got.items():
         assert len(sets[f] & sets[p]) == n and f % 7 != p % 7 and n >= 0.6 * len(sets[f])
+
+
+@pytest.mark.parametrize("limit", [32 << 20, -1])
+def test_every_holder_is_counted(spark, monkeypatch, limit):
+    monkeypatch.setattr(provenance, "BROADCAST_BYTES", limit)
+    r = random.Random(3)
+    base = [_lines(i, 24) for i in range(3)]
+    files = [(i, r.randrange(9), None if r.random() < 0.7 else r.choice(["vendored", "generated"]), r.sample(base[i % 3], r.randint(6, 24)) + _lines(200 + i, r.randint(0, 6))) for i in range(80)]
+    files += [(100 + i, i, None, files[i][3]) for i in range(12)]
+    hashed = line_hashes(spark.createDataFrame([(i, g, "\n".join(ls)) for i, g, _, ls in files], "file long, repo long, text string"))
+    got = {(x.file, x.origin, x.partner, x.shared) for x in copies_elsewhere(hashed.join(spark.createDataFrame([(i, o) for i, _, o, _ in files], "file long, origin string"), "file")).collect()}
+    want = set()
+    for f, g, o, ls in files:
+        held = [(g2, f2, o2, len({*ls} & {*l2})) for f2, g2, o2, l2 in files if o is None and f2 != f and len({*ls} & {*l2}) >= 0.6 * len({*ls})]
+        for kind in (None, "vendored", "generated"):
+            of = [h for h in held if h[2] == kind] + ([(g, f, o, 0)] if kind is None and o is None else [])
+            want |= {(f, kind, h[1], h[3]) for h in (min(of), max(of)) if h[0] != g} if of else set()
+    # The first and last holders of a repository may be several files.
+    by = lambda rows: {(f, o, {i: g for i, g, _, _ in files}[p]) for f, o, p, _ in rows}
+    assert by(got) == by(want) and all(n == len({*dict((i, ls) for i, _, _, ls in files)[f]} & {*dict((i, ls) for i, _, _, ls in files)[p]}) for f, _, p, n in got)
+
+
+def test_copies_over_many_smaller_repositories(spark, rows):
+    lib = _lines(0, 40)
+    fill = [(60 + i, 60 + i, "f/f", "fill.py", "\n".join(_lines(60 + i, 20)), None) for i in range(12)]
+    parts = [(1 + i, 1 + i, f"p/{i}", "part.py", "\n".join(lib[5 * i : 5 * i + 5] + _lines(20 + i, 30)), None) for i in range(8)]
+    spread = [*parts, (20, 20, "a/a", "whole.py", "\n".join(lib), None), (21, 21, "b/b", "copy.py", "\n".join(lib[:38] + _lines(50, 3)), None)]
+    assert (21, "vendored", "containment") in rows(file_origins(spark.createDataFrame(spread + fill, S)))
+    between = [(1, 1, "a/a", "copy.py", "\n".join(lib), None), (2, 2, "b/b", "vendor/lib.py", "\n".join(lib), None), (3, 3, "c/c", "copy.py", "\n".join(lib), None)]
+    assert rows(file_origins(spark.createDataFrame(between + fill, S))) == [(1, "vendored", "containment"), (2, "vendored", "path"), (3, "vendored", "containment")]
