@@ -2,8 +2,8 @@
 
 Three kinds of evidence, strongest first:
 
-* marks: directories of third-party code, names of lock files, and comment
-  headers that name another project or a generating tool;
+* marks: directories of third-party code, names of lock files, and comments at
+  a file's start or end that name another project or a generating tool;
 * containment: an inverted index of line hashes gives, for every file, all files
   that may hold enough of its rare lines; the share of the file's lines held in
   each is then counted exactly, so edited copies are found wherever they lie;
@@ -33,13 +33,14 @@ _GENERATED_NAME = re.compile(r"(?:_pb2(?:_grpc)?\.pyi?|\.pb\.go|\.g\.dart|\.desi
 _MINIFIED_NAME = re.compile(r"\.(?:min|bundle|chunk)\.(?:m?js|css)$", re.I)
 _DATA_EXTENSIONS = {"json", "toml", "xml", "yaml", "yml", "ini", "cfg", "conf", "env", "properties", "csv", "md", "txt", "rst"}
 _COMMENT = re.compile(r"^\s*(?:#|//|/\*|\*|<!--|--|;|%)")
+_PREAMBLE = re.compile(r"^#!|^\s*<(?:\?(?:xml|php)\b|!DOCTYPE\b)[^>]*>?\s*$", re.I)
 _GENERATED = re.compile(
     r"(?i)@generated\b|\bauto(?:matically)?[- ]?generated\b|\bautogenerated\b|\bmachine[- ](?:written|generated|made)\b"
     r"|\b(?:code|file|module|class|source|stubs?|bindings?)\b[^.;]{0,120}\b(?:is|was|were|are)?\s*(?:generated|produced|emitted|created)\s+(?:automatically\s+)?(?:by|from|with|using)\b"
     r"|\bgenerated\s+(?:by|from|with|using|on|at)\b|\bdo not (?:edit|modify|change)\b.*\b(?:generated|by hand|manually)\b|\bautomatisch\s+(?:erzeugt|generiert|erstellt)\b"
     r"|g[ée]n[ée]r[ée]e?\s+automatiquement|generad[oa]\s+autom[áa]ticamente|generato\s+automaticamente|gerado\s+automaticamente|\bmanual changes will be (?:lost|overwritten)\b"
 )
-_NOT_GENERATED = re.compile(r"(?i)\bnot\s+(?:auto|machine|automatically)?[- ]?(?:generated|produced)|\bby hand, not\b|\bmarked\b|\bhow many\b")
+_NOT_GENERATED = re.compile(r"(?i)\bnot\s+(?:auto|machine|automatically)?[- ]?(?:generated|produced)|\bby hand, not\b|\bgenerated by hand\b|\bmarked\b|\bhow many\b")
 _COPIED = re.compile(
     r"(?i)\b(?:bundled|vendored|verbatim|local|patched|modified)\s+copy\s+of\s+(?P<a>[\w.-]+)|\b(?:taken|copied|vendored|imported|borrowed|adapted|lifted)\s+(?:unchanged\s+|verbatim\s+|as is\s+|over\s+)?from\s+(?P<b>[\w.-]+)\s+v?\d"
     r"|\b(?:taken|copied|vendored)\s+(?:unchanged|verbatim)\s+from\s+(?P<c>[\w.-]+)|\bthis file is (?:a )?part of (?P<d>[\w-]+)|\bcopyright\s+(?:\(c\)|©)?\s*[\d, -]+\s*(?:by\s+)?the\s+(?P<e>[\w-]+)\s+(?:authors|project|developers|contributors|team)\b"
@@ -53,29 +54,62 @@ _DIGITS = re.compile(r"\d+")
 _HASH_LINE = re.compile(r"\"?(?:integrity|checksum|hash|resolved|sha256|sha512)\"?\s*[:=]\s*\"?", re.I)
 
 
-def _header(text: str) -> list[str]:
-    """Comment lines before the first code, within the first ten lines."""
-    out = []
-    for line in text.split("\n", 10)[:10]:
-        if not line.strip() or line.startswith("#!"):
-            continue
-        if not _COMMENT.match(line):
-            break
-        out.append(line)
+def _block(lines: list[str]) -> list[str]:
+    """Comment lines before the first line that is none; blocks are followed."""
+    out, close = [], None
+    for line in lines:
+        if close:
+            out.append(line)
+            close = None if close in line else close
+        elif line.strip() and not _PREAMBLE.match(line):
+            if not _COMMENT.match(line):
+                break
+            out.append(line)
+            for start, end in (("/*", "*/"), ("<!--", "-->")):
+                if line.lstrip().startswith(start) and end not in line.lstrip()[len(start) :]:
+                    close = end
     return out
 
 
+def _trailer(lines: list[str]) -> list[str]:
+    """Comment lines after the last line that is none; blocks are followed."""
+    out, start = [], None
+    for line in reversed(lines):
+        bare = line.strip()
+        if start is None:
+            ends = next((s for s, e in (("/*", "*/"), ("<!--", "-->")) if bare.endswith(e)), None)
+            if bare and not ends and not _COMMENT.match(line):
+                break
+            if ends and ends in bare and not bare.startswith(ends):
+                break  # a comment behind code
+            start = ends if ends and not bare.startswith(ends) else None
+            held: list[str] = []
+        if start is None:
+            out += [line] if bare else []
+            continue
+        held.append(line)
+        if start in bare:
+            if not bare.startswith(start):
+                break
+            out += held
+            start = None
+    return out[::-1]
+
+
 def header_origin(path: str, repository: str, text: str) -> str | None:
-    """``generated`` or ``vendored`` by the comment header, else None."""
-    head = _header(text)
-    whole = "\n".join(head)
-    if any(_GENERATED.search(h) and not _NOT_GENERATED.search(h) for h in head):
-        return "generated"
+    """``generated`` or ``vendored`` by the comments at the file's start or end, else None."""
+    lines = text.removeprefix("\ufeff").split("\n")
+    head = _block(lines)
+    tail = _trailer(lines)
     own = {w.lower() for w in re.split(r"[/\\]", f"{repository}/{path}") if w}
-    for m in _COPIED.finditer(whole):
-        project = next((g for g in m.groups() if g), "").lower().rstrip(".")
-        if not project or project not in own:
-            return "vendored"
+    for block in (head, tail):
+        if any(_GENERATED.search(h) and not _NOT_GENERATED.search(h) for h in block):
+            return "generated"
+    for block in (head, tail):
+        for m in _COPIED.finditer("\n".join(block)):
+            project = next((g for g in m.groups() if g), "").lower().rstrip(".")
+            if not project or project not in own:
+                return "vendored"
     return None
 
 

@@ -25,6 +25,19 @@ def test_headers():
     assert header_origin("a.py", "o/r", "import os\n# generated by hand later\n") is None
 
 
+def test_marks_below_long_headers_and_at_the_end():
+    licence = "# Licensed under the terms below.\n" * 14
+    assert header_origin("a.py", "o/r", licence + "#\n# Code generated by foogen v1.8. DO NOT EDIT.\nx = 1\n") == "generated"
+    assert header_origin("a.xml", "o/r", '<?xml version="1.0"?>\n<!-- Code generated by foogen. -->\n<a/>') == "generated"
+    assert header_origin("a.c", "o/r", "/*\n   Some words.\n\n   Code generated by foogen.\n*/\nint x;\n") == "generated"
+    assert header_origin("a.html", "o/r", "<!--\nTaken unchanged from abcutils 2.1.\n-->\n<a/>") == "vendored"
+    assert header_origin("a.yaml", "o/r", "a: 1\n" * 30 + "# Code generated by foogen. DO NOT EDIT.\n\n") == "generated"
+    assert header_origin("a.css", "o/r", "a { b: c }\n" * 30 + "/*\n  Taken unchanged\n  from abcutils.\n\n  Taken unchanged from abcutils 2.1\n*/\n") == "vendored"
+    assert header_origin("a.c", "o/r", "int x;\nint y; /* the tool's file is\n generated by foogen */\n") is None
+    assert header_origin("a.c", "o/r", "/* a */\nint x = 1;\n// code generated by foogen\nint y;\n") is None
+    assert header_origin("a.py", "o/r", "") is None and header_origin("a.c", "o/r", "/*\n" * 5) is None and header_origin("a.c", "o/r", "x\n*/") is None
+
+
 def test_composition():
     r = random.Random(1)
     blob = 'DATA = (\n' + "\n".join('    "' + "".join(r.choice("abcdefgXYZ0123456789+/") for _ in range(76)) + '"' for _ in range(12)) + "\n)\n"
