@@ -12,7 +12,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import module_name
@@ -109,6 +109,10 @@ class _Flow(ast.NodeVisitor):
         scope = ".".join(self.scope) if self.scope and name in self.locals[-1] else ""
         return f"var|{self.f}|{scope}|{name}"
 
+    def outer(self, chain: str) -> bool:
+        """Whether a dotted name may stand for something imported."""
+        return "*" in self.imported or chain.split(".")[0] in self.imported
+
     def values(self, e: ast.AST | None) -> list[str]:
         """Nodes whose value may become the value of an expression."""
         if e is None:
@@ -125,6 +129,8 @@ class _Flow(ast.NodeVisitor):
             if isinstance(e.value, ast.Name) and e.value.id in ("self", "cls") and self.owner:
                 return [f"field|{self.f}|{self.owner[-1]}|{e.attr}"]
             name = dotted_name(e)
+            if name and self.outer(name):
+                self.emit("attribute", f"attr|{self.f}|{name}", None, None, e.lineno, name)
             return [f"attr|{self.f}|{name}"] if name else []
         if isinstance(e, ast.Subscript):
             base, key = dotted_name(e.value), e.slice
@@ -209,6 +215,14 @@ class _Flow(ast.NodeVisitor):
             self.flow(node.value, f"ret|{self.f}|{'.'.join(self.scope)}", "return_value", node.lineno)
         self.generic_visit(node)
 
+    def visit_Import(self, node):
+        for a in node.names:
+            parts = a.name.split(".")
+            bound = [(a.asname, a.name)] if a.asname else [(m, m) for m in (".".join(parts[:n]) for n in range(1, len(parts) + 1))]
+            for alias, module in bound:
+                self.imported.add(alias)
+                self.emit("module", None, f"var|{self.f}||{alias}", None, node.lineno, alias, module)
+
     def visit_ImportFrom(self, node):
         for a in node.names:
             alias = a.asname or a.name
@@ -234,7 +248,7 @@ class _Flow(ast.NodeVisitor):
                 for p, a in [*zip(params, node.args), *[(k.arg, k.value) for k in node.keywords if k.arg in params]]:
                     self.flow(a, f"var|{self.f}|{local}|{p}", "call_arg_to_param", line)
                 self.emit("edge", f"ret|{self.f}|{local}", here, "call_return_value", line)
-            elif chain in self.imported:
+            elif self.outer(chain):
                 for n, a in enumerate(node.args):
                     for v in self.values(a):
                         self.emit("outer_argument", v, str(n), "call_arg_to_param", line, chain)
@@ -268,41 +282,130 @@ def value_flows(files: DataFrame) -> DataFrame:
     return files.select("file_id", "text").where(F.col("file_id").isNotNull() & F.col("text").isNotNull()).mapInPandas(run, FLOWS)
 
 
-def project_edges(files: DataFrame, flows: DataFrame) -> DataFrame:
+def _absolute(own: Column, is_package: Column, module: Column) -> Column:
+    """A module named in an import, leading dots resolved; null above the root."""
+    dots = F.length(F.regexp_extract(module, r"^([.]*)", 1))
+    parts = F.filter(F.split(own, "[.]"), lambda x: x != "")
+    kept = F.size(parts) - dots + is_package.cast("int")
+    base = F.concat_ws(".", F.slice(parts, F.lit(1), F.greatest(kept, F.lit(0))), F.nullif(F.regexp_replace(module, r"^[.]+", ""), F.lit("")))
+    return F.when(dots == 0, module).when(kept >= 0, base)
+
+
+def _dotted(*parts: Column) -> Column:
+    return F.concat_ws(".", *[F.nullif(p, F.lit("")) for p in parts])
+
+
+def _splits(chain: str) -> Column:
+    """Structs ``head, tail`` of a dotted name cut before or behind any component."""
+    parts = F.split(chain, "[.]")
+    cut = lambda i: F.struct(F.array_join(F.slice(parts, F.lit(1), i), ".").alias("head"), F.array_join(F.slice(parts, i + 1, F.size(parts)), ".").alias("tail"))
+    return F.transform(F.sequence(F.lit(0), F.size(parts)), cut)
+
+
+def _star_names(names: DataFrame, flows: DataFrame, max_rounds: int) -> DataFrame:
+    """``names`` with one row per name in place of ``import *``."""
+    stars = cut_lineage(names.where(F.col("name") == "*").select("file_id", "target_file").distinct())
+    plain = names.where(F.col("name") != "*")
+    if not stars.limit(1).count():
+        return plain
+    top = r"^var[|]-?[0-9]+[|][|](.+)$"
+    public = flows.where(F.col("kind").isin("edge", "import")).select("file_id", F.regexp_extract("dst", top, 1).alias("name"))
+    public = public.unionByName(flows.where(F.col("kind") == "definition").select("file_id", "name"))
+    known = public.where((F.col("name") != "") & (F.col("name") != "*") & ~F.col("name").rlike("^_|[.]")).distinct()
+    known = new = cut_lineage(known)
+    for _ in range(max_rounds):
+        passed = stars.join(new.select(F.col("file_id").alias("target_file"), "name"), "target_file").select("file_id", "name").distinct()
+        new = cut_lineage(passed.join(known, ["file_id", "name"], "left_anti"))
+        if not new.limit(1).count():
+            break
+        known = known.unionByName(new)
+    else:
+        raise RuntimeError("names of star imports did not settle")
+    starred = stars.join(known.select(F.col("file_id").alias("target_file"), "name"), "target_file")
+    return plain.unionByName(starred.select("file_id", "target_file", F.col("name").alias("alias"), "name")).distinct()
+
+
+def _targets(uses: DataFrame, names: DataFrame, aliases: DataFrame, modules: DataFrame, max_rounds: int) -> DataFrame:
+    """``file_id, chain, target_file, target``: what dotted names stand for.
+
+    Names are followed from file to file, through any number of re-exports, as
+    imported names (with attributes behind them) and as modules.  Names of a
+    cycle of imports are seen once.
+    """
+    start = uses.groupBy("file_id", "chain").agg(F.max("file_id").alias("target_file"), F.max("chain").alias("target"))
+    found = new = cut_lineage(start)
+    keys = ["file_id", "chain", "target_file", "target"]
+    names = names.select(F.col("file_id").alias("target_file"), F.col("alias").alias("head"), F.col("target_file").alias("next_file"), "name")
+    aliases = aliases.select(F.col("file_id").alias("target_file"), F.col("alias").alias("head"), "project", F.col("module").alias("base"))
+    modules = modules.select("project", "module", F.col("target_file").alias("next_file"))
+    for _ in range(max_rounds):
+        cuts = new.select("file_id", "chain", "target_file", F.explode(_splits("target")).alias("c")).select("file_id", "chain", "target_file", "c.head", "c.tail").where("head <> ''")
+        named = cuts.join(names, ["target_file", "head"]).select("file_id", "chain", F.col("next_file").alias("target_file"), _dotted(F.col("name"), F.col("tail")).alias("target"))
+        inner = cuts.where("tail <> ''").join(aliases, ["target_file", "head"]).select("file_id", "chain", "project", "base", F.explode(_splits("tail")).alias("c")).where("c.tail <> ''")
+        inner = inner.select("file_id", "chain", "project", _dotted(F.col("base"), F.col("c.head")).alias("module"), F.col("c.tail").alias("target"))
+        entered = inner.join(modules, ["project", "module"]).select("file_id", "chain", F.col("next_file").alias("target_file"), "target")
+        new = named.unionByName(entered).distinct().join(found, keys, "left_anti")
+        # The expression hides the union's partitioning, which checkpoints can't carry over.
+        new = cut_lineage(new.select("file_id", "chain", "target_file", F.concat("target", F.lit("")).alias("target")))
+        if not new.limit(1).count():
+            return found
+        found = found.unionByName(new)
+    raise RuntimeError("re-exports did not settle")
+
+
+def project_edges(files: DataFrame, flows: DataFrame, *, max_rounds: int = 40) -> DataFrame:
     """``src, dst, edge_type`` within and across the files of a project.
 
-    ``files`` has ``file_id, project, rel_path``.  Imports meet modules of their
-    project by equality on (project, module); arguments of imported functions
-    meet the definition's parameters the same way.
+    ``files`` has ``file_id, project, rel_path``.  Imports, relative ones too,
+    meet modules of their project by equality on (project, module); attributes
+    of modules meet the module's names, and arguments of imported functions the
+    parameters of the definition, however often it is re-exported.
     """
-    modules = files.select("project", F.col("file_id").alias("target_file"), module_name(F.col("rel_path")).alias("module")).distinct()
+    own = files.select("file_id", "project", F.when(F.col("rel_path") == "__init__.py", "").otherwise(module_name(F.col("rel_path"))).alias("own"), F.col("rel_path").rlike(r"(^|/)__init__[.]py$").alias("is_package")).distinct()
+    modules = own.select("project", F.col("file_id").alias("target_file"), F.col("own").alias("module"))
     inside = flows.where(F.col("kind") == "edge").select("src", "dst", "edge_type")
     imports = (
         flows.where(F.col("kind") == "import")
-        .join(files.select("file_id", "project").distinct(), "file_id")
-        .join(modules, ["project", "module"])
-        .select("file_id", "target_file", "dst", "name", F.element_at(F.split("dst", "[|]"), -1).alias("alias"))
+        .join(own, "file_id")
+        .select("file_id", "project", _absolute(F.col("own"), F.col("is_package"), F.col("module")).alias("module"), "name", F.element_at(F.split("dst", "[|]"), -1).alias("alias"))
+        .where(F.col("module").isNotNull())
+    )
+    names = imports.join(modules, ["project", "module"]).select("file_id", "target_file", "alias", "name").distinct()
+    names = cut_lineage(_star_names(names, flows, max_rounds))
+    plain = flows.where(F.col("kind") == "module").join(own, "file_id").select("file_id", "project", F.col("name").alias("alias"), "module")
+    aliases = cut_lineage(plain.unionByName(imports.where(F.col("name") != "*").select("file_id", "project", "alias", _dotted(F.col("module"), F.col("name")).alias("module"))).distinct())
+    variable = lambda file, name: F.concat_ws("|", F.lit("var"), F.col(file).cast("string"), F.lit(""), name)
+    values = names.select(variable("target_file", "name").alias("src"), variable("file_id", "alias").alias("dst"), F.lit("project_import_value").alias("edge_type"))
+    uses = flows.where(F.col("kind").isin("attribute", "outer_argument", "outer_result")).select("file_id", F.col("name").alias("chain"))
+    targets = _targets(uses, names, aliases, modules, max_rounds)
+    attributes = (
+        flows.where(F.col("kind") == "attribute")
+        .select("file_id", F.col("name").alias("chain"), F.col("src").alias("dst"))
+        .distinct()
+        .join(targets.where(~F.col("target").contains(".")), ["file_id", "chain"])
+        .select(variable("target_file", "target").alias("src"), "dst", F.lit("project_import_value").alias("edge_type"))
+    )
+    definitions = flows.where(F.col("kind") == "definition").select(
+        F.col("file_id").alias("target_file"), F.regexp_replace("name", r"[.]__init__$", "").alias("target"), F.col("name").alias("symbol"), F.split("module", ",").alias("params"), F.col("src").alias("ret")
     )
-    values = imports.select(F.concat_ws("|", F.lit("var"), F.col("target_file").cast("string"), F.lit(""), "name").alias("src"), "dst", F.lit("project_import_value").alias("edge_type"))
-    definitions = flows.where(F.col("kind") == "definition").select(F.col("file_id").alias("target_file"), F.col("name"), F.split("module", ",").alias("params"), F.col("src").alias("ret"))
-    resolved = imports.join(definitions, ["target_file", "name"])
-    arguments = flows.where(F.col("kind") == "outer_argument").select("file_id", F.col("name").alias("alias"), "src", F.col("dst").alias("slot"), "edge_type")
+    resolved = targets.join(definitions, ["target_file", "target"])
+    arguments = flows.where(F.col("kind") == "outer_argument").select("file_id", F.col("name").alias("chain"), "src", F.col("dst").alias("slot"), "edge_type")
     param = F.when(F.col("slot").rlike(r"^\d+$"), F.get("params", F.col("slot").try_cast("int"))).otherwise(
         F.when(F.array_contains("params", F.col("slot")), F.col("slot"))
     )
     passed = (
-        arguments.join(resolved, ["file_id", "alias"])
+        arguments.join(resolved, ["file_id", "chain"])
         .withColumn("param", param)
         .where(F.col("param").isNotNull())
-        .select("src", F.concat_ws("|", F.lit("var"), F.col("target_file").cast("string"), "name", "param").alias("dst"), "edge_type")
+        .select("src", F.concat_ws("|", F.lit("var"), F.col("target_file").cast("string"), "symbol", "param").alias("dst"), "edge_type")
     )
     results = (
         flows.where(F.col("kind") == "outer_result")
-        .select("file_id", F.col("name").alias("alias"), F.col("src").alias("here"))
-        .join(resolved, ["file_id", "alias"])
+        .select("file_id", F.col("name").alias("chain"), F.col("src").alias("here"))
+        .join(resolved, ["file_id", "chain"])
         .select(F.col("ret").alias("src"), F.col("here").alias("dst"), F.lit("call_return_value").alias("edge_type"))
     )
-    return inside.unionByName(values).unionByName(passed).unionByName(results).distinct()
+    return inside.unionByName(values).unionByName(attributes).unionByName(passed).unionByName(results).distinct()
 
 
 def trace_literals(files: DataFrame, vocabulary: DataFrame, *, max_rounds: int = 40) -> DataFrame:

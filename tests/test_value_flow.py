@@ -24,6 +24,27 @@ def test_traces(spark, rows):
     ]
 
 
+PACKAGE = [
+    (1, "p", "src/pkg/config.py", 'NAME = "acme/big-1"\n\ndef load(m):\n    return ask(model=m)\n\nclass Box:\n    def __init__(self, m):\n        ask(model=m)\n'),
+    (2, "p", "src/pkg/__init__.py", "from .config import NAME as TOP, load\nfrom . import sub\nfrom .ring import around\n"),
+    (3, "p", "src/pkg/sub/__init__.py", "from ..config import *\n"),
+    (4, "p", "src/pkg/sub/deep.py", "from ..config import NAME\nask(model=NAME)\n"),
+    (5, "p", "a.py", "import pkg.config\nask(model=pkg.config.NAME)\n"),
+    (6, "p", "b.py", "from pkg import config\nask(model=config.NAME)\n"),
+    (7, "p", "c.py", 'from pkg import load, TOP\nload("acme/small-2")\nask(model=TOP)\n'),
+    (8, "p", "d.py", 'import pkg as k\nk.load("acme/small-2")\nask(model=k.sub.NAME)\nk.config.Box("acme/small-2")\n'),
+    (9, "p", "src/pkg/ring.py", "from . import around\naround(NAME)\n"),
+    (10, "p", "e.py", 'from .... import above\nfrom pkg.sub import load\nload("acme/small-2")\n'),
+]
+
+
+def test_packages(spark, rows):
+    files = spark.createDataFrame(PACKAGE, "file_id long, project string, rel_path string, text string")
+    ids = spark.createDataFrame([("acme/big-1",), ("acme/small-2",)], "model_id string")
+    got = rows(trace_literals(files, ids), "file_id", "line", "sink_file", "sink_line")
+    assert got == sorted([(1, 1, 4, 2), (1, 1, 5, 2), (1, 1, 6, 2), (1, 1, 7, 3), (1, 1, 8, 3), (7, 2, 1, 4), (8, 2, 1, 4), (8, 4, 1, 8), (10, 3, 1, 4)], key=lambda t: tuple((x is None, str(x)) for x in t))
+
+
 def test_facts(spark):
     kinds = [r[1:4] for r in file_facts(1, 'import os as o\nclass A(B):\n    pass\ndef f(a, b):\n    return g(a, k=1)\nx = "s"\n')]
     assert ("import", "os", "o") in kinds and ("definition", "A", "B") in kinds and ("definition", "f", "a,b") in kinds
