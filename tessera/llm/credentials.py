@@ -44,15 +44,20 @@ _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<bod
 _URL = re.compile(r"\b[A-Za-z][A-Za-z0-9+.-]{0,31}://(?P<user>[^\s:/@\"'`<>]*):(?P<login>[^\s/@\"'`<>]+)@(?=[\w\[.$-])")
 _COMMAND_USER = re.compile(r"(?:(?<![\w-])-u|--user|--proxy-user)(?:\s+|=)[\"']?(?P<user>[^\s:\"'`]+):(?P<login>[^\s\"'`]+)")
 _COMMAND_FLAG = re.compile(r"--(?P<name>[A-Za-z][\w-]{0,63})(?:\s+|=)(?P<login>[^\s\"'`-][^\s\"'`]*)")
-# Searches of lower-cased text that decide whether the costly patterns run.
-_HINT = re.compile(r"pass|pwd|pw\b|secret|token|key|auth|bearer|credential|pem\b|private|://|-u\s|--user|jwt|_pat\b|akia|asia|aiza|eyj|ya29|sg\.|[-_][a-z0-9]{20}")
-_MARK = re.compile(r"akia|asia|aiza|eyj|ya29|sg\.|sk-|xox|pypi-|glpat-|github_pat|[-_][a-z0-9]{16}")
+# Searches of lower-cased text that decide whether the costly patterns run; each
+# finds all that the patterns behind it find.
+_NAMES = "|".join(sorted(PASSWORD_WORDS | TOKEN_WORDS | KEY_WORDS))
+_MARK_TEXT = r"akia|asia|aiza|eyj|ya29|sg\.|sk-|xox|pypi-|glpat-|github_pat|[-_][a-z0-9]{16}"
+_HINT = re.compile(rf"{_NAMES}|://|-u[\s=]|-user|{_MARK_TEXT}")
+_MARK = re.compile(_MARK_TEXT)
 _PROSE = re.compile(r"(?:key|secret|token|passw(?:or)?d|pwd)\s*(?:is|was)?\s*[:=]")
-#: A credential word at the end of a name, and something that binds or passes it.
-_BINDS = re.compile(
-    r"(?:passw(?:or)?d|pwd|pass|pw|passphrase|passcode|token|secret|authorization|auth|bearer|credentials?|key|pem|pat|jwt)\d*[\"'`\])]*\s*(?::\s*\w+\s*=|:=|=>|[=:,])(?!=)"
+#: A credential word at the end of a name (only letters and digits count there,
+#: and numbers are stripped), and something that binds or passes it.
+_BINDS = re.compile(rf"(?:{_NAMES})[^a-z=:,(]*[=:,(]")
+#: Two literals in a row, the first of which may begin an issuer's key.
+_ISSUER = re.compile(
+    r"[\"'`](?:[AghrsxyanpSde][\w.-]*[\"'`]{1,3}\s*(?:\+\s*)?|[\"'`]{1,3}(?:\s*\+\s*|\s+)|(?<=\")\"(?=')|(?<=')'(?=\"))(?:[rbufRBUF]{1,2})?[\"'`]{1,3}[\w.=-]"
 )
-_ISSUER = re.compile(r"[\"'](?:A[KS]IA|gh[pousr]_|github_pat|glpat-|sk-|[sr]k_|hf_|xox|gsk_|AIza|ya29|npm_|pypi-|SG\.|dop_v1|eyJ)")
 
 _LEX = re.compile(
     r"(?P<str>(?P<pre>\b[rRbBuUfF]{1,2})?(?:\"\"\"(?P<d3>(?:[^\\\"]|\\.|\"(?!\"\"))*)\"\"\"|'''(?P<s3>(?:[^\\']|\\.|'(?!''))*)'''"
@@ -74,6 +79,7 @@ _ORDINARY = re.compile(r"^(?:[A-Z]?[a-z]{3,})+$")
 _MODEL = re.compile(r"^(?:[a-z][a-z0-9-]*/)?[a-z]+-\d+(?:\.\d+)?(?:-[a-z0-9]+)*(?::[a-z]+)?$")
 _PATHLIKE = re.compile(r"^(?:\.{0,2}/|~/|[A-Za-z]:\\)|^[\w.-]+(?:/[\w.-]+)+\.\w{1,5}$")
 _SPLIT = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+")
+_READERS = {"get", "load", "read", "fetch", "find", "lookup", "require", "resolve", "has", "is", "delete", "remove", "pop", "prompt", "ask"}
 _GETTERS = ("getenv", "get", "env", "config", "load_secret", "getproperty", "setting", "secret", "getsecret", "get_secret", "pop", "setdefault", "getattr", "lookup")
 
 
@@ -131,8 +137,25 @@ def is_secret(value: str, kind: str, encoded: bool = False) -> bool:
     return False
 
 
-def _words_before(tokens: list[tuple], i: int) -> tuple[str | None, bool]:
-    """The name that string token ``i`` is bound to, and if it is encoded."""
+def _words_before(tokens: list[tuple], i: int, end: int) -> tuple[str | None, bool]:
+    """The name that string token ``i`` is bound to, and if it is encoded; its pieces go to ``end``."""
+    name, encoded = _bound_before(tokens, i)
+    if name is None and (end >= len(tokens) or tokens[end][1] == ")") and i >= 2:
+        # The last literal of a call of a credential-named function, or behind a name.
+        j = i - 1
+        if tokens[j][1] == "," and j >= 3 and tokens[j - 1][0] == "str" and tokens[j - 2][1] == "(" and tokens[j - 3][0] == "name":
+            if name_kind(tokens[j - 1][3]):
+                return tokens[j - 1][3], encoded
+            j -= 2
+        if tokens[j][1] == "(" and tokens[j - 1][0] == "name":
+            callee = tokens[j - 1][1].split(".")[-1]
+            if _SPLIT.findall(callee)[:1] and _SPLIT.findall(callee)[0].lower() not in _READERS:
+                return callee, encoded
+    return name, encoded
+
+
+def _bound_before(tokens: list[tuple], i: int) -> tuple[str | None, bool]:
+    """The name that string token ``i`` is assigned to, and if it is encoded."""
     encoded, j, steps = False, i - 1, 0
     while j >= 0 and steps < 24:
         steps += 1
@@ -246,7 +269,7 @@ def _scan(text: str, code: bool, depth: int = 0) -> list[tuple[int, int, str]]:
                 k += 2
             else:
                 break
-        name, encoded = _words_before(tokens, i)
+        name, encoded = _words_before(tokens, i, k)
         bound = name_kind(name) if name else None
         whole = "".join(b for _, b in pieces)
         literal = "f" not in prefix or "{" not in whole
@@ -256,7 +279,7 @@ def _scan(text: str, code: bool, depth: int = 0) -> list[tuple[int, int, str]]:
             spans += [(s, s + len(b), "literal" if n == 0 else "piece") for n, (s, b) in enumerate(pieces)]
         elif depth < 2:
             for s, b in pieces:
-                if _BINDS.search(b.lower()):
+                if _BINDS.search(b.lower()) or _ISSUER.search(b):
                     spans += [(s + x, s + y, z) for x, y, z in _scan(b, True, depth + 1) if z in ("literal", "piece")]
         i = k
     for pattern, kinds, there in ((_ELEMENT, None, "</" in text), (_PROPERTY, None, "<" in text and "value" in low), (_NAMED_PROSE, "token", _PROSE.search(low))):
@@ -276,7 +299,7 @@ def _scan(text: str, code: bool, depth: int = 0) -> list[tuple[int, int, str]]:
 def find_secrets(text: str) -> list[tuple[int, int, str]]:
     """Disjoint spans of credentials in text order; ``piece`` continues the
     credential before it."""
-    if not _HINT.search(text.lower()):
+    if not _HINT.search(text.lower()) and not _ISSUER.search(text):
         return []
     spans = sorted(_scan(text, bool(_CODE.search(text))), key=lambda s: (s[0], -s[1], s[2]))
     out: list[tuple[int, int, str]] = []
