@@ -106,5 +106,6 @@ def set_differences(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
 
 
 def quoted_tokens(text: Column) -> Column:
-    """Contents of single- and double-quoted strings on one line."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"""("[^"'\n]+"|'[^"'\n]+')"""), F.lit(1)), lambda s: F.substring(s, F.lit(2), F.length(s) - 2))
+    """Contents of all single- and double-quoted spans on one line; a quote may
+    close one span and open the next, as unpaired ones (apostrophes) do."""
+    return F.transform(F.regexp_extract_all(text, F.lit(r"""(?=("[^"'\n]+"|'[^"'\n]+'))"""), F.lit(1)), lambda s: F.substring(s, F.lit(2), F.length(s) - 2))

@@ -126,3 +126,11 @@ def test_cluster_weights_are_poisson(spark):
     c = spark.createDataFrame([(i,) for i in range(50)], "k long")
     w = cluster_weights(c, "k", 100)
     assert abs(w.agg(F.sum("weight")).first()[0] / 5000 - 1) < 0.06
+
+
+def test_quoted_tokens_after_an_unpaired_quote(spark):
+    from tessera.operators.joins import quoted_tokens
+
+    lines = [("# it's 'org/model'",), ("x = 'a/b', \"c/d\"",)]
+    got = [r[0] for r in spark.createDataFrame(lines, "t string").select(quoted_tokens(F.col("t"))).collect()]
+    assert "org/model" in got[0] and {"a/b", "c/d"} <= {*got[1]}
