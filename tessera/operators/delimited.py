@@ -1,40 +1,44 @@
 """Fields that hold several values in one text.
 
-The delimiter is inferred per source.  A source is all rows of one field whose
-text shows the same set of separators outside quotes, since one field is fed by
-several writers and each writer leaves its own set.  Every candidate delimiter
-is scored over all rows of the source by
-
-* regularity: the share of pieces that are one value, that is, hold no white
-  space and no separator outside quotes, and
-* consistency: the share of rows that the candidate splits, less the relative
-  spread of their piece counts,
-
-and the best one splits the source's rows.  The last candidate, any run of
-separators, makes every piece regular, so a source of mixed separators is split
-by it and no row is left whole by a delimiter that only its neighbours use.
-All of it is Catalyst expressions: no Python runs per row.
+The delimiter is inferred per source; a source is named by the data (a field of
+a table, or who wrote it), never by the row's own separators.  A delimiter is a
+class of separators, as one field may be fed by several writers.  Every class is
+scored over all rows of the source by
+
+* piece types: each piece outside quotes is a number, word, identifier, path,
+  phrase (words with single blanks between them) or none of these; regularity is
+  the share of pieces in the family of types that holds most of them, and
+* piece counts: consistency is one less the relative spread of the rows' counts.
+
+Regularity decides, as a piece of no type is wrong for certain; among classes
+that are equal there consistency counts, less a small charge for each separator,
+so that a class holds no separator which nothing speaks for.  Rows enter the
+scoring as shapes (separators and one letter for each piece's type), counted per
+source before the classes are tried, so the cost follows the number of distinct
+shapes.  All of it is Catalyst expressions: no Python runs per row.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.keys import stripped
-
-#: Candidate delimiters as (name, regular expression over masked text).
-CANDIDATES = (
-    ("bar", r"\|"),
-    ("semicolon", ";"),
-    ("comma", ","),
-    ("newline", r"\r\n|\n|\r"),
-    ("tab", r"\t"),
-    ("space", r"\s+"),
-    ("mixed", r"[\s,;|]+"),
+from tessera.operators.skew import fragment_replicate_join
+from tessera.sources.tables import cut_lineage
+
+#: Separators as (name, characters).
+SEPARATORS = (("bar", "|"), ("semicolon", ";"), ("comma", ","), ("newline", "\n\r"), ("tab", "\t"), ("space", " \x0b\x0c"))
+#: Every class of separators as (names, characters); 63 of them.
+CANDIDATES = tuple(
+    ("+".join(n for n, _ in some), "".join(c for _, c in some)) for k in range(1, len(SEPARATORS) + 1) for some in combinations(SEPARATORS, k)
 )
+#: What one more separator in a class costs, in units of consistency.
+SEPARATOR_CHARGE = 0.02
+_CUT = chr(1)
 #: Separators and their stand-ins while they are inside quotes (private use).
 _PLAIN = ",;| \t\n\r"
 _MASK = "".join(chr(0xE000 + i) for i in range(len(_PLAIN)))
@@ -57,7 +61,8 @@ def masked(field: Column) -> Column:
 
         return F.array_join(F.transform(F.regexp_extract_all(body, F.lit(pattern), F.lit(0)), one), "")
 
-    return F.when(listed, mask(_LIST_SEGMENT, ('"', "'"))).otherwise(mask(_SEGMENT, ('"',)))
+    # Most fields hold no quote and need no masking.
+    return F.when(listed, mask(_LIST_SEGMENT, ('"', "'"))).when(text.contains('"'), mask(_SEGMENT, ('"',))).otherwise(text)
 
 
 def unquoted(piece: Column, listed: Column) -> Column:
@@ -75,39 +80,61 @@ def unquoted(piece: Column, listed: Column) -> Column:
     return stripped(F.translate(plain, _MASK, _PLAIN))
 
 
+#: Types of pieces as (letter of the shape, regular expression), tried in turn.
+_ALONE, _END = r"(?<![^\s,;|])", r"(?![^\s,;|])"
+_TYPES = (
+    ("number", chr(0xE010), r"[-+]?[0-9]++(?:[.][0-9]++)?"),
+    ("word", chr(0xE011), r"\p{L}++"),
+    ("quoted", chr(0xE012), r"\"(?:[^\"\s,;|]|\"\")*+\"|'[^'\s,;|]*+'"),
+    ("path", chr(0xE013), r"[\p{L}\p{N}_.~@+-]++(?:[/:][\p{L}\p{N}_.~@+-]++)++"),
+    ("name", chr(0xE014), r"[\p{L}\p{N}_.~@+#-]++"),
+)
+_OTHER = chr(0xE015)
+_WORD = _TYPES[1][1]
+
+
+def shape(masked_text: Column) -> Column:
+    """Separators of a masked field, and a letter for the type of each run between them."""
+    kept = "".join(letter for _, letter, _ in _TYPES)
+    out = reduce(lambda t, x: F.regexp_replace(t, f"{_ALONE}(?:{x[2]}){_END}", x[1]), _TYPES, masked_text)
+    out = F.regexp_replace(out, rf"{_ALONE}[^\s,;|{kept}][^\s,;|]*+|{_ALONE}[{kept}][^\s,;|]++", _OTHER)
+    # Padding around other separators says nothing.
+    return F.regexp_replace(F.regexp_replace(out, r"[\r\n]+", "\n"), r"[ \x0b\x0c]*([|;,\n\t])[ \x0b\x0c]*", "$1")
+
+
 def infer_delimiters(rows: DataFrame) -> DataFrame:
-    """The delimiter of each source.
+    """The delimiter of each source: ``source_field, delimiter, chars, score``.
 
-    ``rows`` has ``source_field`` and ``masked_text``.  Returns ``source_field,
-    separators, delimiter, score``: at most 2**7 rows per field, whatever the
-    data's size, as a source is named by a subset of seven separators.  The
-    statistics come from all rows and are combined before the shuffle.
+    ``rows`` has ``source_field`` and ``masked_text``.  ``delimiter`` names the
+    class of separators, ``chars`` holds their characters, ``score`` is regularity
+    plus consistency less charges.  All rows count; they are combined to shapes
+    before the shuffle.
     """
-    text = F.col("masked_text")
-    stats: list[Column] = []
-    for name, pattern in CANDIDATES:
-        pieces = F.filter(F.transform(F.split(text, pattern), lambda p: stripped(p)), lambda p: p != "")
-        n = F.size(pieces).cast("double")
-        stats += [
-            F.sum(F.size(F.filter(pieces, lambda p: ~p.rlike(r"[\s,;|]")))).cast("double").alias(f"regular_{name}"),
-            F.sum(n).alias(f"pieces_{name}"),
-            F.sum(n * n).alias(f"squares_{name}"),
-            F.sum(F.when(text.rlike(pattern), 1.0).otherwise(0.0)).alias(f"split_{name}"),
-        ]
-    per_source = rows.groupBy("source_field", "separators").agg(F.count(F.lit(1)).alias("n"), *stats)
-
-    def score(name: str) -> Column:
-        mean = F.col(f"pieces_{name}") / F.col("n")
-        spread = F.sqrt(F.greatest(F.col(f"squares_{name}") / F.col("n") - mean * mean, F.lit(0.0)))
-        regularity = F.when(F.col(f"pieces_{name}") > 0, F.col(f"regular_{name}") / F.col(f"pieces_{name}")).otherwise(0.0)
-        consistency = F.col(f"split_{name}") / F.col("n") - F.lit(0.1) * F.when(mean > 0, spread / (mean + spread)).otherwise(0.0)
-        # A piece that is no single value disqualifies: regularity outweighs all else.
-        return F.when(regularity < 1.0, regularity - 2.0).otherwise(1.0 + consistency)
-
-    ranked = F.array_sort(
-        F.array(*[F.struct((-score(name)).alias("loss"), F.lit(i).alias("rank"), F.lit(name).alias("name")) for i, (name, _) in enumerate(CANDIDATES)])
+    counted = rows.groupBy("source_field", shape(F.col("masked_text")).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    tried = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(n).alias("delimiter"), F.lit(c).alias("chars"), F.lit(_CUT * len(c)).alias("cuts")) for i, (n, c) in enumerate(CANDIDATES)])
+    each = counted.select("source_field", "s", "n", F.explode(tried).alias("c")).select("source_field", "n", "c.*", F.split(F.expr("translate(s, c.chars, c.cuts)"), f"{_CUT}+").alias("raw"))
+    each = each.withColumn("p", F.filter(F.transform("raw", lambda x: F.trim(x)), lambda x: x != ""))
+    of = lambda letters: F.size(F.filter("p", lambda x: x.rlike(f"^[{letters}]$")))
+    letter = {name: sign for name, sign, _ in _TYPES}
+    weigh = lambda c: F.sum(c.cast("double") * F.col("n"))
+    size = F.size("p")
+    stats = each.groupBy("source_field", "rank", "delimiter", "chars").agg(
+        F.sum("n").alias("n"),
+        weigh(size).alias("pieces"),
+        weigh(size * size).alias("squares"),
+        weigh(of(letter["quoted"])).alias("quoted"),
+        weigh(of(letter["number"])).alias("numbers"),
+        weigh(of(letter["number"] + letter["word"] + letter["path"] + letter["name"])).alias("names"),
+        weigh(F.size(F.filter("p", lambda x: x.rlike(f"^{_WORD}(?: {_WORD})*$")))).alias("phrases"),
     )
-    return per_source.select("source_field", "separators", ranked[0]["name"].alias("delimiter"), (-ranked[0]["loss"]).alias("score"))
+    mean = F.col("pieces") / F.col("n")
+    spread = F.sqrt(F.greatest(F.col("squares") / F.col("n") - mean * mean, F.lit(0.0)))
+    regularity = F.round(F.when(F.col("pieces") > 0, (F.col("quoted") + F.greatest("numbers", "names", "phrases")) / F.col("pieces")).otherwise(1.0), 9)
+    consistency = F.round(F.when(mean > 0, mean / (mean + spread)).otherwise(1.0), 9)
+    charge = SEPARATOR_CHARGE * (F.length(F.regexp_replace("delimiter", "[^+]", "")) + 1)
+    ranked = stats.select("source_field", F.struct((-regularity).alias("r"), (charge - consistency).alias("c"), "rank", "delimiter", "chars").alias("b"))
+    best = ranked.groupBy("source_field").agg(F.min("b").alias("b"))
+    return best.select("source_field", "b.delimiter", "b.chars", (-F.col("b.r") - F.col("b.c")).alias("score"))
 
 
 def split_values(df: DataFrame, *, source_field: str, record_id: str, field: str) -> DataFrame:
@@ -131,21 +158,25 @@ def split_values(df: DataFrame, *, source_field: str, record_id: str, field: str
     return split_fields(rows)
 
 
+def mask_fields(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``listed`` and ``masked_text``, written once, as they are
+    read for the inference and for the split."""
+    text = stripped(F.col("field_text"))
+    return cut_lineage(rows.withColumn("listed", text.startswith("[") & text.endswith("]")).withColumn("masked_text", masked(F.col("field_text"))))
+
+
+#: Sources may be broadcast up to this many; beyond it they are joined.
+BROADCAST_SOURCES = 100_000
+
+
 def split_fields(rows: DataFrame) -> DataFrame:
     """As ``split_values`` over rows ``(source_field, record_id, field_text)``."""
-    text = stripped(F.col("field_text"))
-    rows = rows.withColumn("listed", text.startswith("[") & text.endswith("]")).withColumn("masked_text", masked(F.col("field_text")))
-    seen = [F.when(F.col("masked_text").contains(c), F.lit(name)) for c, name in ((",", "comma"), (";", "semicolon"), ("|", "bar"), ("\t", "tab"), ("\n", "newline"), ("\r", "return"), (" ", "space"))]
-    rows = rows.withColumn("separators", F.concat_ws("+", *seen))
-    delimiters = infer_delimiters(rows).select("source_field", "separators", "delimiter")
-    # Bounded by 2**7 sources per field, see infer_delimiters.
-    joined = rows.join(F.broadcast(delimiters), ["source_field", "separators"])
-    pieces = reduce(
-        lambda acc, c: F.when(F.col("delimiter") == c[0], F.split(F.col("masked_text"), c[1])).otherwise(acc),
-        CANDIDATES[:-1],
-        F.split(F.col("masked_text"), CANDIDATES[-1][1]),
-    )
-    values = F.filter(F.transform(pieces, lambda p: unquoted(p, F.col("listed"))), lambda v: v != "")
+    rows = mask_fields(rows)
+    delimiters = cut_lineage(infer_delimiters(rows).select("source_field", "chars"))
+    small = delimiters.count() <= BROADCAST_SOURCES
+    joined = rows.join(F.broadcast(delimiters), "source_field") if small else fragment_replicate_join(rows, delimiters, "source_field")
+    cut = F.expr(f"translate(masked_text, chars, repeat('{_CUT}', length(chars)))")
+    values = F.filter(F.transform(F.split(cut, f"{_CUT}+"), lambda p: unquoted(p, F.col("listed"))), lambda v: v != "")
     return joined.select("source_field", "record_id", F.posexplode(values).alias("at", "item_value")).select(
         "source_field", "record_id", (F.col("at") + 1).cast("long").alias("item_pos"), "item_value"
     )

@@ -1,14 +1,16 @@
 """Per-key work without a few tasks doing most of it.
 
-Fragment and replicate by estimated load: the load of every key is counted,
-light keys fall into a fixed number of hash bins, bins are packed into tasks by
-load, a heavy key is cut into shards in proportion to its load, and the shards
-are packed like bins.  In a join the matching side of a heavy key goes to the
-tasks that hold its shards and to no other.
+Fragment and replicate by estimated load: a bounded sample of the keys gives
+estimated loads, light keys fall into a fixed number of hash bins, bins are
+packed into tasks by load, a heavy key is cut into shards in proportion to its
+load, and the shards are packed like bins.  Every row then goes to the task of
+its bin or shard; in a join the matching side of a heavy key goes to the tasks
+that hold its shards and to no other.  The sample decides where rows go, never
+which rows count.
 
 What reaches the driver is bounded by parameters: ``BINS_PER_TASK * tasks`` bin
 loads and at most ``HEAVY_PARTS * tasks`` heavy keys, as each of them holds more
-than ``1 / (HEAVY_PARTS * tasks)`` of all rows.
+than ``1 / (HEAVY_PARTS * tasks)`` of the sample.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from pyspark.sql import types as T
 
 BINS_PER_TASK = 16
 HEAVY_PARTS = 4
+#: Rows per task from which loads are estimated; all rows of smaller tables.
+SAMPLE_PER_TASK = 1024
 
 
 @dataclass(frozen=True)
@@ -31,7 +35,7 @@ class LoadPlan:
     tasks: int
     bin_tasks: list[int]
     heavy: DataFrame  # heavy_key, shard_tasks array<int>; at most HEAVY_PARTS * tasks rows
-    loads: list[int]  # estimated rows per task
+    loads: list[int]  # sampled rows per task
 
 
 def _bin(key: Column, bins: int) -> Column:
@@ -39,21 +43,25 @@ def _bin(key: Column, bins: int) -> Column:
 
 
 def plan_loads(df: DataFrame, key: str, tasks: int) -> LoadPlan:
-    """Count the keys' loads (combined before the shuffle) and pack them.
+    """Estimate the keys' loads from a sample and pack them.
 
     Null keys are packed like any other key.  An empty table gives a plan with
     no heavy key.
     """
     bins = BINS_PER_TASK * tasks
     spark = df.sparkSession
-    per_key = df.groupBy(F.col(key).alias("heavy_key")).agg(F.count(F.lit(1)).alias("load")).withColumn("b", _bin(F.col("heavy_key"), bins))
-    in_bin = {r["b"]: r["load"] for r in per_key.groupBy("b").agg(F.sum("load").alias("load")).collect()}
-    total = sum(in_bin.values())
-    limit = max(1, total // (HEAVY_PARTS * tasks))
-    # A bin of no more than the limit holds no heavy key.
-    heavy = per_key.where(F.col("load") > limit).collect() if any(n > limit for n in in_bin.values()) else []
-    for r in heavy:
-        in_bin[r["b"]] -= r["load"]
+    n, wanted = df.count(), SAMPLE_PER_TASK * tasks
+    sample = df.select(F.col(key).alias("heavy_key"))
+    if n > 2 * wanted:
+        sample, n = sample.sample(wanted / n, seed=42), wanted
+    limit = max(1, n // (HEAVY_PARTS * tasks))
+    heavy_load = F.col("load") > limit
+    per_key = sample.groupBy("heavy_key").agg(F.count(F.lit(1)).alias("load")).select(
+        _bin(F.col("heavy_key"), bins).alias("b"), heavy_load.alias("heavy"), F.when(heavy_load, F.col("heavy_key")).alias("heavy_key"), "load"
+    )
+    loads_of = per_key.groupBy("b", "heavy", "heavy_key").agg(F.sum("load").alias("load")).collect()
+    in_bin = {r["b"]: r["load"] for r in loads_of if not r["heavy"]}
+    heavy = [r for r in loads_of if r["heavy"]]
     loads = [0] * tasks
     heap = [(0, t) for t in range(tasks)]
     items: list[tuple[int, str, object]] = [(n, "bin", b) for b, n in in_bin.items()]
@@ -89,9 +97,14 @@ def _placed(df: DataFrame, key: str, plan: LoadPlan) -> DataFrame:
     )
 
 
-def fragment(df: DataFrame, key: str, plan: LoadPlan) -> DataFrame:
-    """``df`` with ``task``: rows of a heavy key are dealt to its shards in turn."""
-    turn = F.pmod(F.monotonically_increasing_id() + F.spark_partition_id() * 7919, F.size("shard_tasks")).cast("int")
+def fragment(df: DataFrame, key: str, plan: LoadPlan, *, deal: Column | None = None) -> DataFrame:
+    """``df`` with ``task``: rows of a heavy key are dealt to its shards.
+
+    They are dealt by a hash of the whole row, or of ``deal``, so that a task
+    that runs again deals its rows as before.
+    """
+    dealt = deal if deal is not None else F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if c != key] or [F.lit(0)])
+    turn = F.pmod(F.xxhash64(dealt, F.lit(7919)), F.size("shard_tasks")).cast("int")
     task = F.when(F.col("shard_tasks").isNotNull(), F.element_at("shard_tasks", turn + 1)).otherwise(F.col("light_task"))
     return _placed(df, key, plan).withColumn("task", task).drop("shard_tasks", "light_task")
 
@@ -107,24 +120,43 @@ def default_tasks(df: DataFrame) -> int:
     return max(12, 3 * df.sparkSession.sparkContext.defaultParallelism)
 
 
-def balanced_aggregate(df: DataFrame, key: str, sums: dict[str, str | None], *, tasks: int | None = None) -> DataFrame:
+def placed_rows(df: DataFrame, key: str, *, tasks: int | None = None, scan: bool = False) -> DataFrame:
+    """``df`` with ``task``, each row in the partition of that number.
+
+    ``scan`` says that ``df`` is a table scan: its rows have fixed places, by
+    which they are dealt, so that even copies of one row go to many shards.
+    """
+    n = tasks or default_tasks(df)
+    plan = plan_loads(df.select(f"`{key}`"), key, n)
+    deal = F.monotonically_increasing_id() if scan else None
+    return fragment(df, key, plan, deal=deal).repartitionById(n, F.col("task"))
+
+
+def balanced_aggregate(df: DataFrame, key: str, sums: dict[str, str | None], *, tasks: int | None = None, scan: bool = False) -> DataFrame:
     """Per-key sums without imbalance: ``key`` and one long column per entry.
 
     ``sums`` names result column -> summed column, or None to count rows.  Rows
-    are combined per (key, shard) before and after a shuffle on both, then the
-    few partial rows of a key are added up.  A null key is a key; null values
-    add nothing (a key of only null values sums to null).  Repeated rows count
-    each time; an empty table gives an empty result.  Other columns are not
-    read, so their names cannot clash.
+    go to the task that their bin or shard is packed into and are added up
+    there; then the few partial rows of a key are.  A null key is a key; null
+    values add nothing (a key of only null values sums to null).  Repeated rows
+    count each time; an empty table gives an empty result.  Only the columns
+    named are read, so others cannot clash.  ``scan``: see ``placed_rows``;
+    else copies of one row share a shard.
     """
     needed = list(dict.fromkeys([key, *[c for c in sums.values() if c]]))
-    rows = df.select(*[F.col(f"`{c}`") for c in needed])
-    plan = plan_loads(rows, key, tasks or default_tasks(df))
+    placed = placed_rows(df.select(*[F.col(f"`{c}`") for c in needed]), key, tasks=tasks, scan=scan)
     first = [(F.count(F.lit(1)) if c is None else F.sum(f"`{c}`")).alias(f"__{name}") for name, c in sums.items()]
-    partial = fragment(rows, key, plan).groupBy(key, "task").agg(*first)
+    partial = placed.groupBy("task", key).agg(*first)
     return partial.groupBy(key).agg(*[F.sum(f"__{name}").cast("long").alias(name) for name in sums])
 
 
+def task_loads(df: DataFrame, key: str, *, tasks: int | None = None, scan: bool = False) -> DataFrame:
+    """``task, n_rows, n_keys``: what each task of ``balanced_aggregate`` holds."""
+    placed = placed_rows(df.select(f"`{key}`"), key, tasks=tasks, scan=scan)
+    per_key = placed.groupBy("task", key).agg(F.count(F.lit(1)).alias("n"))
+    return per_key.groupBy("task").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_keys"))
+
+
 def fragment_replicate_join(
     large: DataFrame, small: DataFrame, key: str, *, how: str = "inner", tasks: int | None = None
 ) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.keys import author_key, snapshot_key
-from tessera.operators.delimited import infer_delimiters, masked, split_fields
+from tessera.operators.delimited import infer_delimiters, mask_fields, split_fields
 from tessera.operators.orphans import apply_deltas, existence_deltas, orphan_keys, orphan_rows
-from tessera.operators.skew import balanced_aggregate, dominating_keys, fragment_replicate_join
+from tessera.operators.skew import balanced_aggregate, dominating_keys, fragment_replicate_join, task_loads
 from tessera.operators.snapshot_diff import snapshot_changes
 from tessera.sources.tables import table
 
@@ -33,21 +33,19 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_delimiters(spark: SparkSession, d: str) -> DataFrame:
-    """The inferred delimiter per source, with its rows' separators."""
-    rows = _packed(spark, d).withColumn("masked_text", masked(F.col("field_text")))
-    seen = [F.when(F.col("masked_text").contains(c), F.lit(n)) for c, n in ((",", "comma"), (";", "semicolon"), ("|", "bar"), ("\t", "tab"), ("\n", "newline"), ("\r", "return"), (" ", "space"))]
-    out = infer_delimiters(rows.withColumn("separators", F.concat_ws("+", *seen)))
-    return out.select(F.col("source_field").alias("table_name"), "separators", "delimiter", F.round("score", 6).alias("score"))
+    """The inferred delimiter per source."""
+    out = infer_delimiters(mask_fields(_packed(spark, d)))
+    return out.select(F.col("source_field").alias("table_name"), "delimiter", F.round("score", 6).alias("score"))
 
 
 def _per_repository(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "snapshots").select(F.col("repository_id").cast("string").alias("key_value"))
-    return balanced_aggregate(rows, "key_value", {"n_rows": None})
+    return balanced_aggregate(rows, "key_value", {"n_rows": None}, scan=True)
 
 
 def _per_author(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "author_interfaces").select(author_key("model_author").alias("key_value"), "binding_count")
-    return balanced_aggregate(rows, "key_value", {"n_rows": None, "binding_count": "binding_count"})
+    return balanced_aggregate(rows, "key_value", {"n_rows": None, "binding_count": "binding_count"}, scan=True)
 
 
 def p4_per_key(spark: SparkSession, d: str) -> DataFrame:
@@ -63,6 +61,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def p4_tasks(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and keys per task of both tables, as placed by estimated load."""
+    a = table(spark, d, "snapshots").select(F.col("repository_id").cast("string").alias("key_value"))
+    b = table(spark, d, "author_interfaces").select(author_key("model_author").alias("key_value"))
+    parts = [task_loads(rows, "key_value", scan=True).withColumn("table_name", F.lit(name)) for name, rows in (("snapshots", a), ("author_interfaces", b))]
+    return parts[0].unionByName(parts[1]).select("table_name", "task", "n_rows", "n_keys")
+
+
 def p4_joined(spark: SparkSession, d: str) -> DataFrame:
     """Snapshots per repository name and line: fragment-replicate join."""
     names = table(spark, d, "repositories").where(F.col("deleted_at").isNull()).groupBy("repository_id").agg(F.max("name").alias("name"))
@@ -122,4 +128,4 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_delimiters, p4_found, p4_per_key, p4_joined, p5_found, p5_summary, p6_found, p6_report)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_delimiters, p4_found, p4_per_key, p4_tasks, p4_joined, p5_found, p5_summary, p6_found, p6_report)}

@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from tessera.operators.delimited import split_fields, split_values
+from tessera.operators.delimited import CANDIDATES, infer_delimiters, mask_fields, split_fields, split_values
 
 S = "record_id long, field_text string, extra string"
 CASES = {
@@ -69,3 +69,43 @@ def test_against_plain_tokens(spark, rows, seed):
         for k, v in enumerate(re.findall(r'"[^"]*"|[^\s,;|"]+', t), 1):
             want.append((s, i, k, v.strip('"')))
     assert got == sorted(want, key=lambda t: tuple((x is None, str(x)) for x in t))
+
+
+F = "source_field string, record_id long, field_text string"
+
+
+def test_inference_beats_a_fixed_split(spark, rows):
+    """One separator class for all sources would cut phrases or miss blanks."""
+    places = ["New York, LA", "San Jose, New York, Rome", "LA, Rome", "Rome, New York"]
+    data = [("places", i, t) for i, t in enumerate(places)] + [("tags", i, t) for i, t in enumerate(["c++ node.js", "py-3 c++ x", "node.js", "x y-1"])]
+    data += [("mixed", i, t) for i, t in enumerate(["a/b-1|c/d", "a/b-1;c/d,e/f", "c/d", "a/b-1 c/d"])] + [("paths", i, t) for i, t in enumerate(["C:/a b/c;D:/x y", "D:/x y", "/usr/my lib;/opt/x"])]
+    df = spark.createDataFrame(data, F)
+    chosen = {r.source_field: r.delimiter for r in infer_delimiters(mask_fields(df)).collect()}
+    assert chosen["places"] == "comma" and chosen["tags"] == "space" and chosen["mixed"] == "bar+semicolon+comma+space"
+    got = {}
+    for s, i, pos, v in rows(split_fields(df)):
+        got.setdefault((s, i), {})[pos] = v
+    assert [list(got["places", i].values()) for i in range(4)] == [t.split(", ") for t in places]
+    assert list(got["tags", 1].values()) == ["py-3", "c++", "x"] and list(got["mixed", 1].values()) == ["a/b-1", "c/d", "e/f"]
+
+
+def test_scores_against_brute_force(spark):
+    import random
+
+    r = random.Random(5)
+    kinds = [("numbers", r"[-+]?[0-9]+(?:[.][0-9]+)?"), ("names", r"[A-Za-z0-9_.~@+-]+(?:[/:][A-Za-z0-9_.~@+-]+)*|[A-Za-z0-9_.~@+#-]+"), ("phrases", r"[A-Za-z]+(?: [A-Za-z]+)*")]
+    for n in range(4):
+        atoms = [["ab", "cd", "x y"], ["1", "2.5", "-3"], ["a/b", "c-1", "d"], ["ab", "7", "=?"]][n]
+        texts = [r.choice(["|", ",", ";", "\n"][: n + 1]).join(r.choice(atoms) for _ in range(r.randint(1, 5))) for _ in range(60)]
+        best = None
+        for i, (name, chars) in enumerate(CANDIDATES):
+            cut = "[" + re.escape(chars) + "]+"
+            pieces = [[p.strip(" ") for p in re.split(cut, t) if p.strip(" ")] for t in texts]
+            flat = [p for ps in pieces for p in ps]
+            mean = len(flat) / len(texts)
+            spread = (sum(len(p) ** 2 for p in pieces) / len(texts) - mean**2) ** 0.5
+            regular = round(max(sum(bool(re.fullmatch(k, p)) for p in flat) for _, k in kinds) / len(flat), 9)
+            key = (-regular, 0.02 * (name.count("+") + 1) - round(mean / (mean + spread), 9), i, name)
+            best = min(best or key, key)
+        df = spark.createDataFrame([("s", i, t) for i, t in enumerate(texts)], F)
+        assert [r.delimiter for r in infer_delimiters(mask_fields(df)).collect()] == [best[3]]

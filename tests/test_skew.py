@@ -1,7 +1,7 @@
 from collections import Counter
 
 from tessera.operators.sequence import carry_forward, next_in_sequence
-from tessera.operators.skew import balanced_aggregate, dominating_keys, fragment, fragment_replicate_join, plan_loads
+from tessera.operators.skew import balanced_aggregate, dominating_keys, fragment, fragment_replicate_join, plan_loads, task_loads
 
 
 def _skewed(spark, n=3000):
@@ -82,3 +82,20 @@ def test_sequences_of_many_rows(spark):
     assert bad.count() == 0
     bad = carry_forward(df, ["g"], ["o"], "v", "c", partitions=11).where("NOT (c <=> CASE WHEN (o - g) % 1 = 0 THEN o - o % 1000 + pmod(g - (o - o % 1000) % 3, 3) END) AND o % 1000 >= 3")
     assert bad.count() == 0
+
+
+def test_tasks_hold_like_loads(spark):
+    """A third of all rows under one key, all copies of one row: no task is far above the median."""
+    from statistics import median
+
+    folder = "hot"
+    df = spark.range(240_000, numPartitions=8).selectExpr(f"CASE WHEN id % 3 = 0 THEN '{folder}' ELSE concat('k', id % 40000) END AS k")
+    loads = sorted(r.n_rows for r in task_loads(df, "k", tasks=12, scan=True).collect())
+    assert sum(loads) == 240_000 and len(loads) == 12
+    assert loads[-1] <= 1.5 * median(loads)
+
+
+def test_rows_are_added_up_where_they_are_placed(spark):
+    plan = balanced_aggregate(_skewed(spark), "k", {"n": None}, tasks=6)._jdf.queryExecution().executedPlan().toString()
+    assert "directpassthrough" in plan.lower() or "shufflepartitionid" in plan.lower(), plan
+    assert plan.count("Exchange") - plan.count("BroadcastExchange") <= 4, plan
