@@ -39,6 +39,7 @@ def _brute(docs, items):
 @pytest.mark.parametrize("limit", [10**6, 0])
 def test_exact_pairs_equal_brute_force(spark, monkeypatch, limit):
     monkeypatch.setattr(leakage, "BROADCAST_QGRAMS", limit)  # 0: the join in place of the broadcast
+    monkeypatch.setattr(leakage, "BITMAP_BITS", 1 << 16)
     docs, items = _corpus(7)
     got = leaked_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.doc_id, r.item_id) for r in got.where("exact").collect()} == _brute(docs, items)
@@ -67,3 +68,27 @@ def test_hashes_and_alignment():
     assert aligned_chars(doc, item, 3, 7, 0, 8) == 10 and aligned_chars(doc, item, -4, 0, 0, 8) == 0
     assert aligned_chars("abcdeXfghij", item, -1, 2, 1, 8) == 10 and aligned_chars("abcdXfghij", item, -1, 2, 1, 8) == 9
     assert aligned_chars("abcdfghij", item, -2, 2, 1, 8) == 9 and aligned_chars("abXdeYghij", item, -1, 2, 1, 9) == 0
+
+
+def test_both_ways_give_the_same_rows(spark, rows, monkeypatch):
+    """Scores and edits too, with one text in a third of all documents."""
+    docs, items = _corpus(3)
+    r = random.Random(1)
+    docs += [(1000 + i, items[0][1]) for i in range(30)] + [(2000 + i, " ".join(r.choice(WORDS) if r.random() < 0.06 else w for w in items[i % 12][1].split(" "))) for i in range(24)]
+    docs += [(3000, "ba " * 4000), (3001, items[1][1] + " ba" * 500)]
+    items += [(50, " ".join(["ba"] * 30)), (51, items[2][1] + " " + items[3][1])]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    direct = rows(leaked_passages(d, i))
+    monkeypatch.setattr(leakage, "BROADCAST_QGRAMS", 0)
+    assert direct == rows(leaked_passages(d, i)) and len(direct) > 80
+    assert {(a, b) for a, b, _, exact in direct if exact} == _brute(docs, items)
+
+
+def test_entries_in_parts(monkeypatch):
+    p = leakage.Passages(13, 40, 1)
+    texts = [" ".join(["ba"] * 30), " ".join(WORDS[:20])]
+    index = leakage.ItemIndex(texts, [38, 60], p)
+    docs = ["ba " * 500, " ".join(WORDS[5:30]), " ".join(["ba"] * 40 + WORDS[:20])]
+    whole = [index.bands(d) for d in docs]
+    monkeypatch.setattr(leakage, "_ENTRIES", 50)
+    assert whole == [index.bands(d) for d in docs] and all(whole)
