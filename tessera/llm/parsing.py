@@ -36,11 +36,52 @@ def _no_constant(name: str):
 
 
 def _json(text: str) -> None:
-    json.loads(text, parse_constant=_no_constant, parse_int=len, parse_float=len)
+    try:
+        json.loads(text.removeprefix(_BOM), parse_constant=_no_constant, parse_int=len, parse_float=len)
+    except RecursionError:
+        _deep_json(text.removeprefix(_BOM))
+
+
+_JSON_LEAF = re.compile(r'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"|-?(?:0|[1-9][0-9]*)(?:[.][0-9]+)?(?:[eE][-+]?[0-9]+)?|true|false|null')
+_JSON_KEY = re.compile(r'[ \t\r\n]*("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")[ \t\r\n]*:')
+_JSON_SPACE = re.compile(r"[ \t\r\n]*")
+
+
+def _deep_json(text: str) -> None:
+    """JSON nested more deeply than the parser's stack, without a stack of calls."""
+    closers, at, value = [], 0, True
+    while True:
+        at = _JSON_SPACE.match(text, at).end()
+        sign = text[at : at + 1]
+        if value and sign in ("{", "["):
+            closers.append("}" if sign == "{" else "]")
+            at = _JSON_SPACE.match(text, at + 1).end()
+            if text[at : at + 1] == closers[-1]:
+                closers.pop()
+                at, value = at + 1, False
+        elif value:
+            if not (m := _JSON_LEAF.match(text, at)):
+                raise ValueError(f"no value at {at}")
+            at, value = m.end(), False
+        elif not closers:
+            if sign:
+                raise ValueError(f"extra text at {at}")
+            return
+        elif sign == closers[-1]:
+            closers.pop()
+            at += 1
+        elif sign == ",":
+            at, value = at + 1, True
+        else:
+            raise ValueError(f"no separator at {at}")
+        if value and closers and closers[-1] == "}":
+            if not (m := _JSON_KEY.match(text, at)):
+                raise ValueError(f"no key at {at}")
+            at = m.end()
 
 
 def _toml(text: str) -> None:
-    tomllib.loads(text)
+    tomllib.loads(text.removeprefix(_BOM))
 
 
 def _xml(text: str) -> None:
@@ -60,21 +101,23 @@ _CONFLICT = re.compile(r"^(?:<{7} .*|={7}|>{7} .*)$", re.M)
 
 
 def ranked_grammars(text: str) -> list[str]:
-    """Grammars by the share of lines that look like them."""
+    """Grammars by the number of tokens in the text that look like them."""
     return sorted(_EVIDENCE, key=lambda g: (-len(_EVIDENCE[g].findall(text)), g))
 
 
+class Undecided(Exception):
+    """The parser's stack or memory ended before the text did."""
+
+
 def parse_error(grammar: str, text: str) -> str | None:
-    """None if ``text`` is valid, else the reason."""
+    """None if ``text`` is valid, else the reason; Undecided if the parser can't tell."""
     try:
         GRAMMARS[grammar](text)
         return None
-    except RecursionError:
-        return "nested too deeply"
-    except MemoryError:
-        return "nested too deeply"
+    except (RecursionError, MemoryError) as e:
+        raise Undecided(type(e).__name__) from e
     except (SyntaxError, ValueError, xml.parsers.expat.ExpatError) as e:
-        return f"{type(e).__name__}: {e}"[:200]
+        return f"{type(e).__name__}: {e}"
 
 
 def judge(path: str | None, text: str | None) -> tuple[str | None, bool | None, str | None, str | None, str | None]:
@@ -83,11 +126,20 @@ def judge(path: str | None, text: str | None) -> tuple[str | None, bool | None,
     own = EXTENSIONS.get(name[name.rfind(".") :]) if "." in name else None
     if text is None:
         return own, None, None, None, "no_text"
-    errors = {g: parse_error(g, text) for g in ranked_grammars(text)}
+    errors: dict[str, str | None] = {}
+    undecided = None
+    for g in ranked_grammars(text):
+        try:
+            errors[g] = parse_error(g, text)
+        except Undecided as e:
+            errors[g] = str(e)
+            undecided = str(e) if g == own else undecided
     # The rank decides among several that parse; own grammar first.
     parsed = own if own and errors[own] is None else next((g for g, e in errors.items() if e is None), None)
     if own is None:
         return None, None, None, parsed, "no_grammar"
+    if undecided:
+        return own, None, undecided, parsed, "undecided"
     if errors[own] is None:
         return own, True, None, own, "valid"
     if parsed:
@@ -114,13 +166,22 @@ def _judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFr
 def check_syntax(files: DataFrame, *, keys: list[str], path: str = "rel_path", text: str = "text") -> DataFrame:
     """``keys`` with ``grammar, valid, error, parsed_as, cause`` per row.
 
-    ``valid`` is null for a null text and for extensions without a grammar.  The
-    empty text is valid Python and TOML, not JSON or XML.  Repeated rows give
+    ``valid`` is null for a null text, for extensions without a grammar and where
+    the parser's stack or memory ended first (cause ``undecided``).  The empty text is valid Python and TOML, not JSON or XML.  Repeated rows give
     repeated results; columns other than those named are not read.
     """
     return files.select(*keys, _judge(F.col(path), F.col(text)).alias("__j")).select(*keys, "__j.*")
 
 
+def one_per_file(judged: DataFrame, file_id: str) -> DataFrame:
+    """One row per file: of different texts under one id an invalid one counts,
+    then the greatest row.  Rows with a null id are left out."""
+    rows = judged.where(F.col(file_id).isNotNull())
+    rest = [c for c in rows.columns if c != file_id]
+    best = F.max(F.struct((~F.coalesce("valid", F.lit(True))).alias("invalid"), F.col("valid").isNotNull().alias("known"), *rest)).alias("__b")
+    return rows.groupBy(file_id).agg(best).select(file_id, *[f"__b.{c}" for c in rest])
+
+
 def syntax_rates(judged: DataFrame, by: list[str]) -> DataFrame:
     """Files with a grammar, invalid files and their rate per ``by``."""
     rows = judged.where(F.col("valid").isNotNull())

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.leakage import leaked_passages
-from tessera.llm.packing import pack_documents
-from tessera.llm.parsing import check_syntax, syntax_rates
+from tessera.llm.packing import container_use, pack_documents
+from tessera.llm.parsing import check_syntax, one_per_file, syntax_rates
 from tessera.llm.provenance import file_origins
 from tessera.llm.credentials import scan_secrets
 from tessera.llm.unify import unify
@@ -25,14 +25,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_rates(spark: SparkSession, d: str) -> DataFrame:
     """Invalid files per repository and language."""
-    one = _judged(spark, d).dropDuplicates(["file_id"])
+    one = one_per_file(_judged(spark, d), "file_id")
     return syntax_rates(one, ["repository_id", "grammar"])
 
 
 def p1_causes(spark: SparkSession, d: str) -> DataFrame:
     """Files per grammar, cause and grammar that parses; and how many of them
     an earlier run's parse_error had right."""
-    one = _judged(spark, d).dropDuplicates(["file_id"])
+    one = one_per_file(_judged(spark, d), "file_id")
     said = F.coalesce(F.trim("parse_error"), F.lit("")) != ""
     return one.where(F.col("valid").isNotNull()).groupBy("grammar", "cause", "parsed_as").agg(
         F.count(F.lit(1)).alias("n_files"), F.count_if(said == ~F.col("valid")).alias("n_recorded_right")
@@ -68,7 +68,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
-    return pack_documents(spread(table(spark, d, "documents").select("doc_id", "text")))
+    return pack_documents(table(spark, d, "documents").select("doc_id", "text"))
+
+
+def p8_use(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, their fill, and the fewest that could hold the same."""
+    return container_use(p8_packed(spark, d), size="n_tokens", capacity=2048)
 
 
 def p9_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -89,16 +94,17 @@ def p10_unified(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     docs = spread(table(spark, d, "documents").select("doc_id", "text").where(F.col("doc_id").isNotNull()))
-    return unify(docs, "text").where(F.size("oddities") > 0).select("doc_id").distinct()
+    # The form decides; the classes then leave out forms that only look alike in part (a raised 2).
+    return unify(docs, "text").where((F.col("form") != F.col("text")) & (F.size("oddities") > 0)).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p1_causes, p2_found, p2_redacted, p7_found, p7_origins, p8_packed, p9_found, p9_pairs, p10_found, p10_unified)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p1_causes, p2_found, p2_redacted, p7_found, p7_origins, p8_packed, p8_use, p9_found, p9_pairs, p10_found, p10_unified)}
 ORACLES: dict[str, str] = {
     "p10_found": r"""SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL AND (
         regexp_matches(text, '[\x{FF01}-\x{FF60}\x{FFE0}-\x{FFE6}\x{FB00}-\x{FB06}\x{FB13}-\x{FB17}]')
         OR (regexp_matches(text, '\pL\pM') AND length(nfc_normalize(text)) < length(text))
         OR regexp_matches(regexp_replace(text, '([\x{2190}-\x{27BF}\x{1F000}-\x{1FAFF}]\x{FE0F}?)\x{200D}([\x{2190}-\x{27BF}\x{1F000}-\x{1FAFF}])', '\1\2', 'g'),
-            '[\x{AD}\x{34F}\x{61C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{3164}\x{FEFF}\x{FFA0}\x{FFF0}-\x{FFF8}]')
+            '[\x{AD}\x{34F}\x{61C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{3164}\x{FEFF}\x{FFA0}\x{FFF0}-\x{FFF8}\x{1BCA0}-\x{1BCA3}\x{1D173}-\x{1D17A}]')
         OR regexp_matches(text, '[\x{0B}\x{0C}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{2011}]')
         OR regexp_matches(text, '\p{Latin}[\pL\pN]*[\p{Greek}\p{Cyrillic}]|[\p{Greek}\p{Cyrillic}][\pL\pN]*\p{Latin}'))""",
 }

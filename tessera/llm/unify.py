@@ -34,7 +34,7 @@ _SPACES = "".join(map(chr, [0xB, 0xC, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680
 # Default-ignorable code points as ranges.
 _IGNORABLE_RANGES = (
     (0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E),
-    (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0xE0000, 0xE0FFF),
+    (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF),
 )
 _IGNORABLE = "".join(f"{chr(a)}-{chr(b)}" for a, b in _IGNORABLE_RANGES)
 #: Those that report a text as odd: zero-width, soft hyphen, byte-order mark,
@@ -50,7 +50,7 @@ def _class(*ranges: tuple[int, int]) -> str:
 
 _EMOJI = _class((0x203C, 0x203C), (0x2049, 0x2049), (0x2122, 0x2122), (0x2139, 0x2139), (0x2190, 0x21FF), (0x2300, 0x23FF), (0x24C2, 0x24C2), (0x25A0, 0x27BF),
                 (0x2934, 0x2935), (0x2B00, 0x2BFF), (0x3030, 0x3030), (0x303D, 0x303D), (0x3297, 0x3297), (0x3299, 0x3299), (0x1F000, 0x1FAFF))
-_JOINED = re.compile(f"(?<=[{_EMOJI}{_VS16}]){_ZWJ}(?=[{_EMOJI}])")
+_JOINED = re.compile(f"(?:(?<=[{_EMOJI}])|(?<=[{_EMOJI}]{_VS16})){_ZWJ}(?=[{_EMOJI}])")
 _PRESENTED = re.compile(f"(?<=[{_EMOJI}#*0-9]){_VS16}")
 _IGNORE = re.compile(f"[{_IGNORABLE}]")
 _SEEN_INVISIBLE = re.compile(f"[{_INVISIBLE}]")
@@ -135,7 +135,8 @@ def _unify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         codes, distinct = pd.factorize(texts)
         forms = [consistent(t, cache) for t in distinct]
-        rows = [(f, folded(f), oddities(t)) for t, f in zip(distinct, forms)] + [(None, None, None)]
+        # A text in the consistent form holds nothing odd.
+        rows = [(f, folded(f), oddities(t) if f != t else []) for t, f in zip(distinct, forms)] + [(None, None, None)]
         yield pd.DataFrame([rows[c] for c in codes], columns=["form", "folded", "oddities"])
 
 

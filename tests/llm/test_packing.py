@@ -61,3 +61,12 @@ def test_tokens_and_documents(spark):
     assert counts[1] == 2 and counts[2] == 0 and counts[3] is None and counts[4] >= 9000 and counts[5] > 1
     got = pack_documents(df).collect()
     assert {r.doc_id for r in got} == {1, 2, 4, 5} and sum(r.n_tokens for r in got if r.doc_id == 4) == counts[4]
+
+
+def test_copies_of_one_row_go_to_many_groups(spark):
+    """A third of all rows are one row; rows numbered where they are scanned tell copies apart."""
+    df = spark.range(3000, numPartitions=4).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS item", "5L AS size", "monotonically_increasing_id() AS n")
+    got = pack(df, item_id="item", size="size", capacity=50, row="n", group_items=100)
+    groups = got.selectExpr("item_id", "shiftright(container, 32) AS g").groupBy("g").count().collect()
+    assert sum(r["count"] for r in groups) == 3000 and max(r["count"] for r in groups) < 160
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pack(df, item_id="item", size="size", capacity=50, row="n", group_items=100).collect()))

@@ -1,4 +1,7 @@
-from tessera.llm.parsing import check_syntax, judge, syntax_rates
+import json
+import random
+
+from tessera.llm.parsing import _deep_json, check_syntax, judge, one_per_file, syntax_rates
 
 CASES = [
     ("a.py", "x = 1\n", True, "valid"), ("a.py", "", True, "valid"), ("a.py", "def f(:\n", False, "corrupt"), ("a.py", "print 'x'\n", False, "corrupt"),
@@ -27,3 +30,38 @@ def test_columns_and_rates(spark, rows):
     rate = {(r.repo, r.grammar): (r.n_files, r.n_invalid) for r in syntax_rates(out.distinct(), ["repo", "grammar"]).collect()}
     assert rate[None, "python"] == (1, 1) and rate[1, "xml"] == (4, 2)
     assert check_syntax(df.limit(0), keys=["file_id"]).count() == 0
+
+
+def test_marks_and_depth():
+    bom = chr(0xFEFF)
+    assert judge("a.json", bom + "{}")[3:] == ("json", "valid") and judge("a.toml", bom + "a = 1\n")[1] is True
+    deep = "[" * 150_000 + "1" + "]" * 150_000
+    assert judge("a.json", deep)[1] is True and judge("a.json", deep[:-1])[1] is False and judge("a.json", deep + "x")[1] is False
+    got = judge("a.py", "x = " + "-" * 300_000 + "1\n")
+    assert got[1] is None and got[4] == "undecided"
+    long = judge("a.py", "x = (" + "\n" * 50 + '"' + "y" * 500 + "\n")
+    assert long[1] is False
+
+
+def test_deep_reader_against_the_plain_one():
+    r = random.Random(2)
+    bits = ["{", "}", "[", "]", ",", ":", '"a"', "1", " ", "null", "-0.5e3", '"\\u00e9"', "01", '"\n"']
+    for _ in range(20_000):
+        t = "".join(r.choice(bits) for _ in range(r.randint(0, 8)))
+        try:
+            json.loads(t)
+            want = True
+        except ValueError:
+            want = False
+        try:
+            _deep_json(t)
+            got = True
+        except ValueError:
+            got = False
+        assert got is want, t
+
+
+def test_one_row_per_file(spark):
+    data = [(1, "a.py", "x = 1"), (1, "a.py", "x = ("), (2, "a.py", "y"), (2, "a.py", "y"), (None, "a.py", "("), (None, "a.py", "z"), (3, "a.md", "z")]
+    out = one_per_file(check_syntax(spark.createDataFrame(data, "file_id long, rel_path string, text string"), keys=["file_id"]), "file_id")
+    assert sorted((r.file_id, r.valid) for r in out.collect()) == [(1, False), (2, True), (3, None)]

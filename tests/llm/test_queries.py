@@ -37,6 +37,9 @@ def test_packing_is_close_to_the_least_possible(spark):
         load[r.container] += r.n_tokens
     assert max(load.values()) <= 2048
     assert len(load) <= sum(load.values()) / 2048 * 1.05 + 1
+    use = queries.p8_use(spark, FOLDER).first()
+    assert (use.n_containers, use.n_pieces, use.used) == (len(load), len(rows), sum(load.values())) and use.fill == round(use.used / 2048 / len(load), 6)
+    assert rows and sorted(map(tuple, rows)) == sorted(map(tuple, queries.p8_packed(spark, FOLDER).collect()))
 
 
 def test_redacted_texts_hold_no_credential(spark):

@@ -56,3 +56,21 @@ def test_column(spark, rows):
         raise AssertionError("clash accepted")
     except ValueError:
         pass
+
+
+def test_rare_invisible_characters():
+    for c in (0x1BCA0, 0x1BCA3, 0x1D173, 0x1D17A):
+        assert consistent(f"ab{chr(c)}cd") == "abcd" and oddities(f"ab{chr(c)}cd") == ["invisible"]
+
+
+def test_texts_in_the_form_hold_nothing_odd():
+    import random
+
+    r = random.Random(4)
+    signs = ["a", "B", "e" + chr(0x301), chr(0xE9), chr(0xFF21), chr(0xFB01), chr(0x200B), chr(0xAD), chr(0xA0), chr(0x2011), chr(0x430), chr(0x3B1), " ", "-", chr(0x1F469), chr(0x200D), chr(0x1F4BB), chr(0xFE0F), chr(0x1100), chr(0xB2)]
+    for _ in range(3000):
+        t = "".join(r.choice(signs) for _ in range(r.randint(1, 9)))
+        form = consistent(t)
+        assert consistent(form) == form and oddities(form) == [], t
+        if form == t:
+            assert oddities(t) == [], t
