@@ -7,8 +7,8 @@ Three kinds of evidence, strongest first:
 * containment: an inverted index of line hashes gives, for every file, all files
   that may hold enough of its rare lines; the share of the file's lines held in
   each is then counted exactly, so edited copies are found wherever they lie;
-* composition: what a file consists of - literals only, one dense line,
-  statements numbered by a machine.
+* composition: what the lexical tokens of the remaining files consist of -
+  literals only, dense lines, names numbered by a machine in lines of few shapes.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,22 +36,35 @@ _COMMENT = re.compile(r"^\s*(?:#|//|/\*|\*|<!--|--|;|%)")
 _PREAMBLE = re.compile(r"^#!|^\s*<(?:\?(?:xml|php)\b|!DOCTYPE\b)[^>]*>?\s*$", re.I)
 _GENERATED = re.compile(
     r"(?i)@generated\b|\bauto(?:matically)?[- ]?generated\b|\bautogenerated\b|\bmachine[- ](?:written|generated|made)\b"
-    r"|\b(?:code|file|module|class|source|stubs?|bindings?)\b[^.;]{0,120}\b(?:is|was|were|are)?\s*(?:generated|produced|emitted|created)\s+(?:automatically\s+)?(?:by|from|with|using)\b"
     r"|\bgenerated\s+(?:by|from|with|using|on|at)\b|\bdo not (?:edit|modify|change)\b.*\b(?:generated|by hand|manually)\b|\bautomatisch\s+(?:erzeugt|generiert|erstellt)\b"
     r"|g[ée]n[ée]r[ée]e?\s+automatiquement|generad[oa]\s+autom[áa]ticamente|generato\s+automaticamente|gerado\s+automaticamente|\bmanual changes will be (?:lost|overwritten)\b"
 )
+_SUBJECT = re.compile(r"(?i)\b(?:code|file|module|class|source|stubs?|bindings?)\b")
+_MADE = re.compile(r"(?i)\b(?:generated|produced|emitted|created)\s+(?:automatically\s+)?(?:by|from|with|using)\b")
 _NOT_GENERATED = re.compile(r"(?i)\bnot\s+(?:auto|machine|automatically)?[- ]?(?:generated|produced)|\bby hand, not\b|\bgenerated by hand\b|\bmarked\b|\bhow many\b")
 _COPIED = re.compile(
     r"(?i)\b(?:bundled|vendored|verbatim|local|patched|modified)\s+copy\s+of\s+(?P<a>[\w.-]+)|\b(?:taken|copied|vendored|imported|borrowed|adapted|lifted)\s+(?:unchanged\s+|verbatim\s+|as is\s+|over\s+)?from\s+(?P<b>[\w.-]+)\s+v?\d"
     r"|\b(?:taken|copied|vendored)\s+(?:unchanged|verbatim)\s+from\s+(?P<c>[\w.-]+)|\bthis file is (?:a )?part of (?P<d>[\w-]+)|\bcopyright\s+(?:\(c\)|©)?\s*[\d, -]+\s*(?:by\s+)?the\s+(?P<e>[\w-]+)\s+(?:authors|project|developers|contributors|team)\b"
     r"|\bkeep in sync with upstream\b|\bsend fixes (?:there|upstream)\b"
 )
-_RANDOM_STRING = re.compile(r"[\"'`](?:[A-Za-z0-9+/_-]{32,}={0,2}|(?:\\x[0-9a-fA-F]{2}){8,})[\"'`]")
-_NUMBERS = re.compile(r"(?<![\w.])(?:[-+]?(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d*)?(?:[eE][-+]?\d+)?)\s*,\s*){6,}")
-_SERIAL = re.compile(r"[A-Za-z_]\d{3,}\b")
-_STRING = re.compile(r"\"[^\"\n]*\"|'[^'\n]*'")
+_RANDOM = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}|(?:\\x[0-9a-fA-F]{2}){8,}")
 _DIGITS = re.compile(r"\d+")
 _HASH_LINE = re.compile(r"\"?(?:integrity|checksum|hash|resolved|sha256|sha512)\"?\s*[:=]\s*\"?", re.I)
+# Lexical tokens by family of languages; all that is no token of the others is a mark.
+_QUOTED = r"\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'"
+_COMMENTS = {"hash": r"\#[^\n]*+", "slash": r"//[^\n]*+|/\*(?:[^*]|\*(?!/))*+\*/", "dash": r"--[^\n]*+", "markup": r"<!--(?:[^-]|-(?!->))*+-->", "none": r"(?!)"}
+_STRINGS = {"hash": r"\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*+\"\"\"|\'\'\'(?:[^\'\\]|\\.|\'(?!\'\'))*+\'\'\'|" + _QUOTED, "slash": r"`(?:[^`\\]|\\.)*+`|" + _QUOTED}
+_LEXERS = {
+    f: re.compile(rf"(?P<comment>{c})|(?P<string>{_STRINGS.get(f, _QUOTED)})|(?P<number>0[xX][0-9a-fA-F]+|\d+(?:\.\d*)?(?:[eE][-+]?\d+)?)|(?P<name>[^\W\d]\w*)|(?P<space>[^\S\n]+)|(?P<line>\n)|(?P<mark>.)", re.S)
+    for f, c in _COMMENTS.items()
+}
+# Extensions of each family; others are read like the first.
+_FAMILIES = {
+    "hash": {"py", "pyi", "sh", "bash", "rb", "pl", "r", "yaml", "yml", "toml", "ini", "cfg", "conf", "env", "properties", "mk", "tf"},
+    "slash": {"js", "mjs", "cjs", "jsx", "ts", "tsx", "java", "go", "c", "h", "cc", "cpp", "hpp", "cs", "css", "scss", "php", "rs", "swift", "kt", "scala", "dart", "proto"},
+    "dash": {"sql", "lua", "hs", "elm"}, "markup": {"xml", "html", "htm", "svg", "vue", "md"}, "none": {"json", "csv", "txt"},
+}
+_FAMILY_OF = {e: f for f, es in _FAMILIES.items() for e in es}
 
 
 def _block(lines: list[str]) -> list[str]:
@@ -96,6 +109,15 @@ def _trailer(lines: list[str]) -> list[str]:
     return out[::-1]
 
 
+def _says_generated(line: str) -> bool:
+    if _NOT_GENERATED.search(line):
+        return False
+    if _GENERATED.search(line):
+        return True
+    # The subject stands before the verb in one clause.
+    return any((m := _SUBJECT.search(c)) is not None and _MADE.search(c, m.end()) is not None for c in re.split("[.;]", line)) if _MADE.search(line) else False
+
+
 def header_origin(path: str, repository: str, text: str) -> str | None:
     """``generated`` or ``vendored`` by the comments at the file's start or end, else None."""
     lines = text.removeprefix("\ufeff").split("\n")
@@ -103,7 +125,7 @@ def header_origin(path: str, repository: str, text: str) -> str | None:
     tail = _trailer(lines)
     own = {w.lower() for w in re.split(r"[/\\]", f"{repository}/{path}") if w}
     for block in (head, tail):
-        if any(_GENERATED.search(h) and not _NOT_GENERATED.search(h) for h in block):
+        if any(_says_generated(h) for h in block):
             return "generated"
     for block in (head, tail):
         for m in _COPIED.finditer("\n".join(block)):
@@ -121,37 +143,78 @@ def path_origin(path: str) -> str | None:
     return "lock" if parts and parts[-1] in LOCK_FILES else None
 
 
+class Composition:
+    """What the tokens of a text consist of."""
+
+    def __init__(self, text: str, family: str):
+        self.literal = self.dense = self.numbered = 0
+        shapes: Counter[str] = Counter()
+        run = run_size = held = 0  # numbers in a list, their characters, and those since the last
+        size = strings = marks = spaces = 0  # of the line
+        serial, shape = False, []
+        self.lines = 0
+        for m in _LEXERS[family].finditer(text + "\n"):
+            kind, token = m.lastgroup, m.group()
+            n = len(token)
+            if kind == "number":
+                run, run_size, held = run + 1, run_size + held + n, 0
+            elif run and (kind in ("space", "line") or token in ",+-"):
+                held += n
+            else:
+                if run > 6:
+                    self.literal += run_size
+                run = run_size = held = 0
+            if kind == "line":
+                if shape:
+                    self.lines += 1
+                    shapes["".join(shape).strip()] += 1
+                    self.numbered += serial
+                    code = size - strings
+                    if size >= 200 and code >= 150 and marks >= 0.15 * code and spaces <= 0.12 * code:
+                        self.dense += size
+                size = strings = marks = spaces = 0
+                serial, shape = False, []
+                continue
+            size += n
+            if kind == "space":
+                if shape:
+                    spaces += n
+                    shape.append(" ")
+            elif kind == "string":
+                strings += n
+                shape.append("S")
+                if n > 33 and _RANDOM.fullmatch(token, 1, n - 1):
+                    self.literal += n
+            elif kind == "name":
+                # Names that end in three digits come from a counter.
+                if n > 3 and token[-3:].isdigit():
+                    serial = True
+                shape.append(_DIGITS.sub("0", token) if token[-1].isdigit() else token)
+            else:
+                marks += n if kind == "mark" else 0
+                shape.append({"mark": token, "number": "0", "comment": "C"}[kind])
+        self.literal += run_size if run > 6 else 0
+        self.covered = sum(c for _, c in shapes.most_common(6))
+
+
 def composition_origin(path: str, text: str) -> str | None:
     """``data``, ``minified``, ``generated`` or ``lock`` by what a text consists of."""
     name = path.replace("\\", "/").rsplit("/", 1)[-1].lower()
     extension = name.rsplit(".", 1)[-1] if "." in name else ""
-    size = len(text)
-    lines = [x for x in (x.strip() for x in text.split("\n")) if x]
-    if not lines or size < 80:
+    lines = [x for x in text.split("\n") if x and not x.isspace()]
+    if not lines:
         return None
     if sum(bool(_HASH_LINE.search(x)) for x in lines) >= max(3, 0.15 * len(lines)) and re.search(r"lock_?file|\"(?:packages|dependencies)\"|\[\[package\]\]", text, re.I):
         return "lock"
     if extension in _DATA_EXTENSIONS or name.startswith(".env"):
         return None
-    literal = sum(m.end() - m.start() for m in _RANDOM_STRING.finditer(text)) + sum(m.end() - m.start() for m in _NUMBERS.finditer(text))
-    if literal >= 0.6 * size:
+    made, size = Composition(text, _FAMILY_OF.get(extension, "hash")), len(text)
+    if made.literal >= 0.6 * size:
         return "data"
-    dense = 0
-    for x in lines:
-        if len(x) >= 200:
-            code = _STRING.sub("", x)
-            marks = sum(not c.isalnum() and not c.isspace() and c != "_" for c in code)
-            spaces = sum(c.isspace() for c in code)
-            if len(code) >= 150 and marks >= 0.15 * len(code) and spaces <= 0.12 * len(code):
-                dense += len(x)
-    if dense >= 0.5 * size or (_MINIFIED_NAME.search(name) and dense >= 0.2 * size):
+    if made.dense >= 0.5 * size or (_MINIFIED_NAME.search(name) and made.dense >= 0.2 * size):
         return "minified"
-    numbered = sum(bool(_SERIAL.search(_STRING.sub("S", x))) for x in lines)
-    shapes = Counter(_DIGITS.sub("0", _STRING.sub("S", x)) for x in lines)
-    covered = sum(n for _, n in shapes.most_common(6))
     low = bool(_GENERATED_NAME.search(name)) or any(p in ("_gen", "generated", "__generated__") for p in path.replace("\\", "/").lower().split("/")[:-1])
-    enough = 4 if low else 8
-    if len(lines) >= enough and numbered >= (0.2 if low else 0.3) * len(lines) and covered >= (0.5 if low else 0.7) * len(lines):
+    if made.lines >= (4 if low else 8) and made.numbered >= (0.2 if low else 0.3) * made.lines and made.covered >= (0.5 if low else 0.7) * made.lines:
         return "generated"
     return None
 
@@ -171,7 +234,7 @@ def _marks(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterato
 
 #: Shared lines, and candidates, may be broadcast below this many bytes.
 BROADCAST_BYTES = 32 << 20
-_ROW_BYTES = 64
+_ROW_BYTES = 128
 
 
 def line_hashes(files: DataFrame, *, least_chars: int = 12) -> DataFrame:
@@ -188,19 +251,23 @@ def line_hashes(files: DataFrame, *, least_chars: int = 12) -> DataFrame:
     return one.select("file", "r.repo", "r.hashes")
 
 
-def _spread_join(large: DataFrame, small: DataFrame, key: str) -> DataFrame:
-    """Join on ``key``: broadcast by the counted size of ``small``, else fragmented."""
-    if small.count() * _ROW_BYTES <= BROADCAST_BYTES:
+def _spread_join(large: DataFrame, small: DataFrame, key: str, width: Column | None = None) -> DataFrame:
+    """Join on ``key``: broadcast by the counted size of ``small``, else fragmented.
+
+    ``width`` is what a row of ``small`` takes beyond _ROW_BYTES."""
+    size = small.agg(F.sum(F.lit(_ROW_BYTES) + (F.lit(0) if width is None else width))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
         return large.join(F.broadcast(small), key)
     return fragment_replicate_join(large, small, key)
 
 
-def copies_elsewhere(files: DataFrame, *, least_share: float = 0.6, least_lines: int = 5) -> DataFrame:
+def copies_elsewhere(files: DataFrame, *, least_share: float = 0.6, least_lines: int = 5, rare_share: float = 0.01, rare_files: int = 100) -> DataFrame:
     """``file, origin, partner, shared, n_lines``: files held by files of another repository.
 
     ``files`` is the result of ``line_hashes``, with the files' marks in
     ``origin`` where there are any; marked files are holders only.  A line is
-    rare if at most half of all files have it; other lines do not count.  Files
+    rare if at most ``rare_share`` of all files have it, or ``rare_files`` in a
+    small corpus; other lines are no evidence and do not count.  Files
     of equal lines are one class.  A holder of the share asked for has at least
     one of the rarest lines of a class, as many as it may lack and one more;
     all holders of those are candidates, and each is counted exactly.  Of all
@@ -214,7 +281,7 @@ def copies_elsewhere(files: DataFrame, *, least_share: float = 0.6, least_lines:
     classes = members.groupBy("same").agg(F.min("file").alias("class"), F.count(F.lit(1)).alias("copies"), F.count_if(F.col("origin").isNull()).alias("asked"), F.first("hashes").alias("hashes"))
     classes = cut_lineage(classes)
     members = members.drop("hashes").join(classes.select("same", "class"), "same").drop("same")
-    limit = max(2, files.count() // 2)
+    limit = max(rare_files, int(files.count() * rare_share))
     postings = classes.select("class", "copies", F.explode("hashes").alias("h"))
     shared = postings.groupBy("h").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("holders"))
     shared = cut_lineage(shared.where((F.col("holders") > 1) | (F.col("n") > limit)))
@@ -229,8 +296,11 @@ def copies_elsewhere(files: DataFrame, *, least_share: float = 0.6, least_lines:
     probes = asked.where(F.size("lines") >= F.col("least")).select("class", "least", F.explode(F.slice("lines", F.lit(1), F.size("lines") - F.col("least") + 1)).alias("h"))
     holders = held.where(F.size("lines") >= least_lines).select(F.col("class").alias("holder"), F.size("lines").alias("size"), F.explode("lines").alias("h"))
     pairs = _spread_join(holders, probes, "h").where((F.col("holder") != F.col("class")) & (F.col("size") >= F.col("least"))).select("class", "holder").distinct()
+    pairs = cut_lineage(pairs)
     ours, theirs = held.select("class", "least", "lines"), held.select(F.col("class").alias("holder"), F.col("lines").alias("others"))
-    exact = pairs.join(ours, "class").join(theirs, "holder").select("class", "holder", "least", F.size(F.array_intersect("lines", "others")).alias("shared"))
+    # One file may be the holder of a third of all others.
+    theirs = cut_lineage(theirs.join(pairs.select("holder").distinct(), "holder", "left_semi"))
+    exact = _spread_join(cut_lineage(pairs.join(ours, "class")), theirs, "holder", 8 * F.size("others")).select("class", "holder", "least", F.size(F.array_intersect("lines", "others")).alias("shared"))
     exact = exact.where(F.col("shared") >= F.col("least")).drop("least").unionByName(asked.select("class", F.col("class").alias("holder"), F.col("n_lines").alias("shared")))
     at = F.struct("repo", "file")
     ends = members.groupBy(F.col("class").alias("holder"), "origin").agg(F.min(at).alias("first"), F.max(at).alias("last"))

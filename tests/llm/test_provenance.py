@@ -116,3 +116,31 @@ def test_copies_over_many_smaller_repositories(spark, rows):
     assert (21, "vendored", "containment") in rows(file_origins(spark.createDataFrame(spread + fill, S)))
     between = [(1, 1, "a/a", "copy.py", "\n".join(lib), None), (2, 2, "b/b", "vendor/lib.py", "\n".join(lib), None), (3, 3, "c/c", "copy.py", "\n".join(lib), None)]
     assert rows(file_origins(spark.createDataFrame(between + fill, S))) == [(1, "vendored", "containment"), (2, "vendored", "path"), (3, "vendored", "containment")]
+
+
+def test_tokens():
+    made = provenance.Composition("x = [1, 2, 3, 4, 5, 6, 7, 8]  # a1234\n\ny = 'a b' + name0123\n", "hash")
+    assert made.lines == 2 and made.numbered == 1 and made.literal == 22 and made.dense == 0
+    assert provenance.Composition("/* a1234\n b1234 */ int x;\n// c1234", "slash").numbered == 0
+    cut = "TABLE = [\n" + "    0x1f, 0x2e,\n" * 20 + "    0x"
+    assert composition_origin("a.py", cut) == "data"
+    assert header_origin("a.py", "o/r", "# This file " + "really " * 40 + "was produced with foogen\nx = 1\n") == "generated"
+
+
+def test_hot_holder_and_boilerplate(spark, rows, monkeypatch):
+    """A third of all files hold one library; another third share a licence text."""
+    lib, licence = _lines(0, 30), _lines(1, 12)
+    data = [(1, 1, "a/a", "vendor/x.py", "\n".join(lib), None)]
+    data += [(100 + i, 2 + i, "b/b", "x.py", "\n".join(lib[: 24 + i % 6] + _lines(500 + i, 4)), None) for i in range(60)]
+    data += [(300 + i, 2 + i, "c/c", "y.py", "\n".join(licence + _lines(900 + i, 5)), None) for i in range(60)]
+    data += [(500 + i, 2 + i, "d/d", "z.py", "\n".join(_lines(2000 + i, 12)), None) for i in range(60)]
+    want = {100 + i for i in range(60)} | {1}
+    df = spark.createDataFrame(data, S)
+    for limit in (32 << 20, -1):
+        monkeypatch.setattr(provenance, "BROADCAST_BYTES", limit)
+        hashed = line_hashes(df.selectExpr("file_id AS file", "repository_id AS repo", "text"))
+        found = {r.file for r in copies_elsewhere(hashed, rare_files=61).collect()}
+        assert want - {1} <= found
+        bound = {r.file for r in copies_elsewhere(hashed, rare_files=59).collect()}
+        assert not bound & {300 + i for i in range(60)}
+    assert want <= {r.file_id for r in file_origins(df).collect()}
