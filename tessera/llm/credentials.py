@@ -41,9 +41,9 @@ _MARKED = r"[a-z]{2,6}(?:[-_][a-z]{2,6}){0,2}[-_][A-Za-z0-9]{20,}"
 _TOKEN = re.compile(rf"(?<![A-Za-z0-9_+/=.-])(?:{_ISSUED}|{_MARKED})(?![A-Za-z0-9_])={{0,2}}")
 _ISSUED_ONLY = re.compile(_ISSUED)
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<body>.*?)(?=-----END|[\"'`<]|\Z)", re.S)
-_URL = re.compile(r"\b[A-Za-z][A-Za-z0-9+.-]{0,31}://(?P<user>[^\s:/@\"'`<>]*):(?P<login>[^\s/@\"'`<>]+)@(?=[\w\[.$-])")
+_URL = re.compile(r"(?<=[A-Za-z0-9+.-])://(?P<user>[^\s:/@\"'`<>]*):(?P<login>[^\s/@\"'`<>]+)@(?=[\w\[.$-])")
 _COMMAND_USER = re.compile(r"(?:(?<![\w-])-u|--user|--proxy-user)(?:\s+|=)[\"']?(?P<user>[^\s:\"'`]+):(?P<login>[^\s\"'`]+)")
-_COMMAND_FLAG = re.compile(r"--(?P<name>[A-Za-z][\w-]{0,63})(?:\s+|=)(?P<login>[^\s\"'`-][^\s\"'`]*)")
+_COMMAND_FLAG = re.compile(r"(?<![\w-])--(?P<name>[A-Za-z][\w-]*+)(?:\s+|=)(?P<login>[^\s\"'`-][^\s\"'`]*)")
 # Searches of lower-cased text that decide whether the costly patterns run; each
 # finds all that the patterns behind it find.
 _NAMES = "|".join(sorted(PASSWORD_WORDS | TOKEN_WORDS | KEY_WORDS))
@@ -77,7 +77,7 @@ _PLACEHOLDER = re.compile(
 _WORDS = re.compile(r"^[A-Za-z]+(?:[ _./:-][A-Za-z]+)*$")
 _ORDINARY = re.compile(r"^(?:[A-Z]?[a-z]{3,})+$")
 _MODEL = re.compile(r"^(?:[a-z][a-z0-9-]*/)?[a-z]+-\d+(?:\.\d+)?(?:-[a-z0-9]+)*(?::[a-z]+)?$")
-_PATHLIKE = re.compile(r"^(?:\.{0,2}/|~/|[A-Za-z]:\\)|^[\w.-]+(?:/[\w.-]+)+\.\w{1,5}$")
+_ROOTED = re.compile(r"(?:\.{0,2}/|~/|[A-Za-z]:\\)")
 _SPLIT = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+")
 _READERS = {"get", "load", "read", "fetch", "find", "lookup", "require", "resolve", "has", "is", "delete", "remove", "pop", "prompt", "ask"}
 _GETTERS = ("getenv", "get", "env", "config", "load_secret", "getproperty", "setting", "secret", "getsecret", "get_secret", "pop", "setdefault", "getattr", "lookup")
@@ -112,6 +112,18 @@ def _scrambled(value: str) -> bool:
     return sum(map(len, pieces)) <= 3.2 * len(pieces) and len(pieces) >= 3
 
 
+def _pathlike(value: str) -> bool:
+    """A path from a root, or one of plain parts that ends in an extension."""
+    if _ROOTED.match(value):
+        return True
+    return "/" in value[1:] and not re.search(r"[^\w./-]|//", value) and re.search(r"[\w-]\.\w{1,5}$", value) is not None
+
+
+def _modellike(value: str) -> bool:
+    """A model's id, none of whose parts looks random."""
+    return _MODEL.match(value) is not None and not any(len(p) >= 16 and _mixed(p) for p in re.split("[-/:]", value))
+
+
 def is_secret(value: str, kind: str, encoded: bool = False) -> bool:
     """Whether a literal bound to a name of ``kind`` gives access."""
     value = re.sub(r"^(?i:bearer|basic|token)\s+", "", value.strip())
@@ -120,24 +132,42 @@ def is_secret(value: str, kind: str, encoded: bool = False) -> bool:
             value = base64.b64decode(re.sub(r"\s", "", value), validate=True).decode("utf-8")
         except (binascii.Error, ValueError):
             return False
-    if len(value) < 6 or _PLACEHOLDER.search(value) or re.search(r"\s", value):
+    if len(value) < 6 or _PLACEHOLDER.search(value):
         return False
+    if len(parts := value.split()) > 1:  # a pass phrase, if no part is a plain word or number
+        return kind == "password" and all(re.search("[A-Za-z]", p) and re.search(r"[0-9]|[^\w./:,;-]", p) for p in parts)
     if _WORDS.match(value):
         return value.isalpha() and _scrambled(value) and not _ORDINARY.match(value) or bool(_ISSUED_ONLY.fullmatch(value))
     if _ISSUED_ONLY.match(value):
         return True
-    if value.startswith(("http://", "https://", "vault:", "arn:", "projects/", "secret/")) or len(value) < 1000 and _PATHLIKE.match(value):
+    if value.startswith(("http://", "https://", "vault:", "arn:", "projects/", "secret/")) or _pathlike(value):
         return False
     if kind == "password":
-        return not _MODEL.match(value) and bool(re.search("[A-Za-z]", value)) and bool(re.search(r"[0-9]|[^\w\s./:-]", value))
-    if _MODEL.match(value) and len(value) < 32:
+        return not _modellike(value) and bool(re.search("[A-Za-z]", value)) and bool(re.search(r"[0-9]|[^\w\s./:-]", value))
+    if _modellike(value):
         return False
     if re.fullmatch(r"[A-Za-z0-9+/=_.~!@#$%^&*:-]{16,}", value):
         return _mixed(value)
     return False
 
 
-def _words_before(tokens: list[tuple], i: int, end: int) -> tuple[str | None, bool]:
+class _Tokens(list):
+    """Tokens of a text, with the opening bracket of each closing one and what
+    earlier walks back from a place found."""
+
+    def __init__(self, tokens: list[tuple]):
+        super().__init__(tokens)
+        self.found: dict[int, tuple[str | None, bool]] = {}
+        self.opening: dict[int, int] = {}
+        stack: list[int] = []
+        for i, t in enumerate(tokens):
+            if t[0] == "op" and t[1] in ("(", "["):
+                stack.append(i)
+            elif t[0] == "op" and t[1] in (")", "]"):
+                self.opening[i] = stack.pop() if stack else 0
+
+
+def _words_before(tokens: _Tokens, i: int, end: int) -> tuple[str | None, bool]:
     """The name that string token ``i`` is bound to, and if it is encoded; its pieces go to ``end``."""
     name, encoded = _bound_before(tokens, i)
     if name is None and (end >= len(tokens) or tokens[end][1] == ")") and i >= 2:
@@ -154,61 +184,61 @@ def _words_before(tokens: list[tuple], i: int, end: int) -> tuple[str | None, bo
     return name, encoded
 
 
-def _bound_before(tokens: list[tuple], i: int) -> tuple[str | None, bool]:
+def _bound_before(tokens: _Tokens, i: int) -> tuple[str | None, bool]:
     """The name that string token ``i`` is assigned to, and if it is encoded."""
-    encoded, j, steps = False, i - 1, 0
-    while j >= 0 and steps < 24:
-        steps += 1
-        kind, text = tokens[j][0], tokens[j][1]
-        if text in ("(", "[", "{"):
-            j -= 1
-            if text == "(" and j >= 0 and tokens[j][0] == "name":
-                callee = tokens[j][1].lower()
-                encoded |= "b64decode" in callee or callee.endswith("atob") or callee.endswith("base64.decode")
-                j -= 1
-            continue
-        if text in ("or", "||", "??"):
-            j -= 1
-            if j >= 0 and tokens[j][1] in (")", "]"):
-                depth = 0
-                while j >= 0:
-                    depth += tokens[j][1] in (")", "]")
-                    depth -= tokens[j][1] in ("(", "[")
-                    j -= 1
-                    if depth == 0:
-                        break
-            if j >= 0 and tokens[j][0] == "name":
-                j -= 1
-            continue
-        if text == "," and j >= 3 and tokens[j - 1][0] == "str" and tokens[j - 2][1] == "(" and tokens[j - 3][0] == "name":
-            if tokens[j - 3][1].lower().split(".")[-1] not in _GETTERS:
-                return None, encoded
-            if name_kind(tokens[j - 1][3]):
-                return tokens[j - 1][3], encoded
-            j -= 4
-            continue
-        if text in ("=", ":", ":=", "=>"):
-            k = j - 1
-            if k < 0:
-                return None, encoded
-            if tokens[k][1] == "]" and k >= 1 and tokens[k - 1][0] == "str":
-                return tokens[k - 1][3], encoded
-            if tokens[k][0] == "str":
-                return tokens[k][3], encoded
-            if tokens[k][0] == "name":
-                name = tokens[k][1]
-                if name.lower() == "default" and k >= 1 and tokens[k - 1][1] == ",":  # default=... of a look-up
-                    j = k - 1
-                    continue
-                if not name_kind(name) and text == "=" and k >= 2 and tokens[k - 1][1] == ":" and tokens[k - 2][0] == "name":
-                    return tokens[k - 2][1], encoded  # name: type = value
-                return name, encoded
-            return None, encoded
-        if kind == "name" and text.lower() in ("await", "return", "new", "const", "let", "var"):
-            j -= 1
-            continue
-        return None, encoded
-    return None, encoded
+    way: list[tuple[int, bool]] = []  # places walked over, and whether a decoder stands there
+    j, got = i - 1, (None, False)
+    while j >= 0:
+        if j in tokens.found:
+            got = tokens.found[j]
+            break
+        before, decoder, name = _step(tokens, j)
+        way.append((j, decoder))
+        if before is None:
+            got = (name, False)
+            break
+        j = before
+    for j, decoder in reversed(way):
+        got = tokens.found[j] = (got[0], got[1] or decoder)
+    return got
+
+
+def _step(tokens: _Tokens, j: int) -> tuple[int | None, bool, str | None]:
+    """From the token before a value: (where to go on, or None; a decoder; the name found)."""
+    kind, text = tokens[j][0], tokens[j][1]
+    if text in ("(", "[", "{"):
+        if text == "(" and j >= 1 and tokens[j - 1][0] == "name":
+            callee = tokens[j - 1][1].lower()
+            return j - 2, "b64decode" in callee or callee.endswith(("atob", "base64.decode")), None
+        return j - 1, False, None
+    if text in ("or", "||", "??"):
+        j -= 1
+        if j >= 0 and tokens[j][1] in (")", "]") and tokens[j][0] == "op":
+            j = tokens.opening[j] - 1
+        return (j - 1 if j >= 0 and tokens[j][0] == "name" else j), False, None
+    if text == "," and j >= 3 and tokens[j - 1][0] == "str" and tokens[j - 2][1] == "(" and tokens[j - 3][0] == "name":
+        if tokens[j - 3][1].lower().split(".")[-1] not in _GETTERS:
+            return None, False, None
+        return (None, False, tokens[j - 1][3]) if name_kind(tokens[j - 1][3]) else (j - 4, False, None)
+    if text in ("=", ":", ":=", "=>"):
+        k = j - 1
+        if k < 0:
+            return None, False, None
+        if tokens[k][1] == "]" and k >= 1 and tokens[k - 1][0] == "str":
+            return None, False, tokens[k - 1][3]
+        if tokens[k][0] == "str":
+            return None, False, tokens[k][3]
+        if tokens[k][0] == "name":
+            name = tokens[k][1]
+            if name.lower() == "default" and k >= 1 and tokens[k - 1][1] == ",":  # default=... of a look-up
+                return k - 1, False, None
+            if not name_kind(name) and text == "=" and k >= 2 and tokens[k - 1][1] == ":" and tokens[k - 2][0] == "name":
+                return None, False, tokens[k - 2][1]  # name: type = value
+            return None, False, name
+        return None, False, None
+    if kind == "name" and text.lower() in ("await", "return", "new", "const", "let", "var"):
+        return j - 1, False, None
+    return None, False, None
 
 
 def _lex(text: str) -> list[tuple]:
@@ -227,8 +257,11 @@ def _lex(text: str) -> list[tuple]:
     return out
 
 
-def _scan(text: str, code: bool, depth: int = 0) -> list[tuple[int, int, str]]:
-    """Spans (start, end, kind) of credentials' contents."""
+def _scan(text: str, code: bool, nested: bool = False) -> list[tuple[int, int, str]]:
+    """Spans (start, end, kind) of credentials' contents.
+
+    Literals are scanned in turn; each level lacks one kind of quote or has
+    fewer escapes, so there are few levels."""
     spans: list[tuple[int, int, str]] = []
     low = text.lower()
     for m in _PEM.finditer(text) if "PRIVATE KEY" in text else ():
@@ -252,7 +285,7 @@ def _scan(text: str, code: bool, depth: int = 0) -> list[tuple[int, int, str]]:
             spans.append((m.start(), m.end(), "issued"))
     # Lexing costs most; it is needed only where a name may bind a literal, or
     # where an issuer's mark starts a literal of several pieces.
-    tokens = _lex(text) if _BINDS.search(low) or _ISSUER.search(text) else []
+    tokens = _Tokens(_lex(text) if _BINDS.search(low) or _ISSUER.search(text) else [])
     i = 0
     while i < len(tokens):
         kind, _, start, body, prefix = tokens[i]
@@ -277,17 +310,17 @@ def _scan(text: str, code: bool, depth: int = 0) -> list[tuple[int, int, str]]:
             spans += [(s, s + len(b), "literal" if n == 0 else "piece") for n, (s, b) in enumerate(pieces)]
         elif len(pieces) > 1 and literal and (m := _TOKEN.match(whole)) and m.end() == len(whole) and _ISSUED_ONLY.match(whole):
             spans += [(s, s + len(b), "literal" if n == 0 else "piece") for n, (s, b) in enumerate(pieces)]
-        elif depth < 2:
+        else:
             for s, b in pieces:
                 if _BINDS.search(b.lower()) or _ISSUER.search(b):
-                    spans += [(s + x, s + y, z) for x, y, z in _scan(b, True, depth + 1) if z in ("literal", "piece")]
+                    spans += [(s + x, s + y, z) for x, y, z in _scan(b, True, True) if z in ("literal", "piece")]
         i = k
     for pattern, kinds, there in ((_ELEMENT, None, "</" in text), (_PROPERTY, None, "<" in text and "value" in low), (_NAMED_PROSE, "token", _PROSE.search(low))):
         for m in pattern.finditer(text) if there else ():
             kind = kinds or name_kind(m.group("name"))
             if kind and is_secret(m.group("value"), kind):
                 spans.append((m.start("value"), m.end("value"), "literal"))
-    if depth == 0 and _BINDS.search(low):
+    if not nested and _BINDS.search(low):
         for m in _BARE.finditer(text):
             kind = name_kind(m.group("name"))
             value = m.group("value").rstrip()

@@ -73,3 +73,35 @@ def test_gates_let_all_through(monkeypatch):
     found = {t for t, spans in zip(texts, gated) if spans}
     assert {'api_key_2 = "Ab3_xY9!kQ27mmZp0s"', 'password_1: "Ab3_xY9!kQ27mmZp0s"', *texts[-9:-2]} - found == set()
     assert not {'get_password("prod-db1")', '"""Text."""', 'label = "Ab3_xY9!kQ27mmZp0s"'} & found
+
+
+def test_no_bound_on_lengths_and_depth():
+    path = "/".join(["part"] * 500) + "/key.pem"
+    assert scan_text(f'secret = "{path}"')[0] == [] == scan_text(f'secret = "{path[:700]}/k.pem"')[0]
+    assert scan_text('token = "' + "lab/" + "model-1-" + "-".join(["code"] * 20) + '"')[0] == []
+    assert scan_text(f'token = "kb-1-{HEX}"')[0] == [(1, "literal")]
+    deep = "(" * 60 + f'"{HEX}"' + ")" * 60
+    assert scan_text(f"token = {deep}")[0] == [(1, "literal")]
+    chain = " or ".join(f'get("v{i}")' for i in range(40))
+    assert scan_text(f'token = {chain} or "{HEX}"')[0] == [(1, "literal")]
+    scheme = "x" + "+a" * 40
+    assert scan_text(f'u = "{scheme}://bob:hunt3rPw@host"')[0] == [(1, "url_login")]
+    flag = "--" + "very-" * 30 + "password"
+    assert scan_text(f"run {flag} Zk8!pq4Wb")[0] == [(1, "command_login")]
+    nested = f"token = '{HEX}'"
+    for _ in range(3):
+        nested = '"' + nested.replace("\\", "\\\\").replace('"', '\\"') + '"'
+    assert scan_text(f"x = {nested}")[0]
+
+
+def test_pass_phrases():
+    assert scan_text('password = "Zk8! pq4Wb"')[0] == [(1, "literal")] and scan_text('password = "at least 8 characters!"')[0] == [] == scan_text('token = "Zk8! pq4Wb"')[0]
+
+
+def test_long_chains_take_linear_time():
+    import time
+
+    for text in ("token = " + " or ".join(f'f("a{i}b")' for i in range(20_000)), "token = " + "(" * 50_000 + '"x"', "token = [" + ", ".join('"abc1"' for _ in range(40_000)) + "]"):
+        began = time.process_time()
+        scan_text(text)
+        assert time.process_time() - began < 10
