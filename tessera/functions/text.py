@@ -6,8 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Path words that mark a role, in the order in which they count.
-EXAMPLE_WORDS = ("example", "examples", "demo", "demos", "sample", "samples", "tutorial", "tutorials")
-THIRD_PARTY_WORDS = ("vendor", "vendors", "third", "thirdparty", "third_party", "node_modules", "site-packages", "external", "extern", "_vendor")
+EXAMPLE_WORDS = ("example", "examples", "demo", "demos", "tutorial", "tutorials", "sample", "samples")
+THIRD_PARTY_WORDS = (".venv", "venv", "env", "envs", "environment", "environments", "site-packages", "dist-packages", "vendor", "vendored", "third_party", "third-party")
+# Fixed value: a word that marks a role as a directory only.
+DIRECTORY_ONLY = "sample"
 
 
 def words(c: Column) -> Column:
@@ -32,19 +34,22 @@ def module_name(path: Column) -> Column:
     return F.regexp_replace(bare, "/", ".")
 
 
-def path_words(path: Column) -> Column:
-    """Whole components and their words, lower case, directories and file name."""
-    parts = F.split(F.lower(path), "/")
-    split = F.flatten(F.transform(parts, lambda p: F.split(p, r"[_\-.]")))
-    return F.array_distinct(F.concat(parts, split))
+def path_words(part: Column) -> Column:
+    """A component of a path and its words, lower case."""
+    low = F.lower(part)
+    return F.concat(F.array(low), F.split(low, r"[_\-.]"))
 
 
 def path_signal(path: Column) -> Column:
-    """``example_or_demo_code``, ``third_party_code`` or null by path words."""
-    found = path_words(path)
-    return F.when(F.arrays_overlap(found, F.array(*map(F.lit, EXAMPLE_WORDS))), F.lit("example_or_demo_code")).when(
-        F.arrays_overlap(found, F.array(*map(F.lit, THIRD_PARTY_WORDS))), F.lit("third_party_code")
-    )
+    """``example_or_demo_code``, ``third_party_or_vendored_code`` or null by path words."""
+    parts = F.split(path, "/")
+    folders = F.flatten(F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), path_words))
+    name = path_words(F.element_at(parts, -1))
+    of = lambda words: F.array(*map(F.lit, words))
+    named = tuple(w for w in EXAMPLE_WORDS if w != DIRECTORY_ONLY)
+    example = F.arrays_overlap(folders, of(EXAMPLE_WORDS)) | F.arrays_overlap(name, of(named))
+    foreign = F.arrays_overlap(F.concat(folders, name), of(THIRD_PARTY_WORDS))
+    return F.when(example, F.lit("example_or_demo_code")).when(foreign, F.lit("third_party_or_vendored_code"))
 
 
 def tag_category(tag: Column) -> Column:
@@ -103,7 +108,7 @@ def keyword_hits(c: Column, keywords: tuple[str, ...]) -> Column:
     return F.filter(F.array(*[F.when(low.rlike(rf"(?<![a-z0-9]){k}(?![a-z0-9])"), F.lit(k)) for k in keywords]), lambda x: x.isNotNull())
 
 
-def overlapping_count(c: Column, needle: str) -> Column:
+def overlapping_count(c: Column, needle: Column | str) -> Column:
     """How often a needle occurs, overlapping occurrences included."""
-    pattern = "".join(f"[{ch}]" if ch not in "^\\]" else f"\\{ch}" for ch in needle)
-    return F.regexp_count(c, F.lit(f"(?={pattern})"))
+    quoted = F.regexp_replace(F.lit(needle) if isinstance(needle, str) else needle, r"([^A-Za-z0-9_])", r"\\$1")
+    return F.regexp_count(c, F.concat(F.lit("(?="), quoted, F.lit(")")))

@@ -84,6 +84,21 @@ def suffix_join(chains: DataFrame, rules: DataFrame, chain: str, suffix: str) ->
     return direct.unionByName(fallback)
 
 
+def suffix_counts(chains: DataFrame, rules: DataFrame, chain: str, suffix: str) -> DataFrame:
+    """``rule, by, n_chains``: how many chains ``suffix_join`` gives each rule.
+
+    Chains that fall back are counted per last component before they meet the
+    rules, so no pair of a chain and a rule of one component is built.
+    """
+    one = chains.select(chain).where(F.col(chain).isNotNull()).distinct()
+    keyed = rules.select(F.col(suffix).alias("rule")).distinct()
+    direct = one.select(chain, F.explode(suffixes(F.col(chain))).alias("rule")).join(keyed, "rule")
+    last = lambda c: F.element_at(F.split(F.col(c), "[.]"), -1)
+    rest = one.join(direct.select(chain).distinct(), chain, "left_anti").groupBy(last(chain).alias("__last")).agg(F.count(F.lit(1)).alias("n_chains"))
+    fallback = rest.join(keyed.withColumn("__last", last("rule")), "__last").select("rule", F.lit("terminal").alias("by"), "n_chains")
+    return direct.groupBy("rule", F.lit("suffix").alias("by")).agg(F.count(F.lit(1)).alias("n_chains")).unionByName(fallback)
+
+
 def unique_suffixes(names: DataFrame, keys: list[str], name: str) -> DataFrame:
     """``keys, alias, name``: suffixes that belong to exactly one name of their keys."""
     spread = names.select(*keys, name).distinct().select(*keys, name, F.explode(suffixes(F.col(name))).alias("alias"))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.skew import fragment_replicate_join
+from tessera.sources.tables import cut_lineage
 
 #: Orphan keys may be broadcast below this many bytes, by their counted size.
 BROADCAST_BYTES = 8 << 20
@@ -58,6 +59,7 @@ def orphan_rows(children: DataFrame, keys: DataFrame) -> DataFrame:
     join fragments heavy keys, as one missing parent may have a third of all
     children.
     """
+    keys = cut_lineage(keys)  # measured, then joined
     size = keys.agg(F.sum(F.length("key") + F.length("relation") + 24)).first()[0] or 0
     hit = keys.select("relation", "key")
     if size <= BROADCAST_BYTES:

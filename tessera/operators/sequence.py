@@ -1,4 +1,4 @@
-"""Next row of a sequence without one task per sequence."""
+"""Windows over sequences without one task per sequence."""
 
 from __future__ import annotations
 
@@ -53,3 +53,31 @@ def carry_forward(df: DataFrame, keys: list[str], order: list[str], value: str,
     for k in keys:
         cond = cond & F.col(f"i.{k}").eqNullSafe(F.col(f"s.{k}"))
     return inside.alias("i").join(spans.alias("s"), cond, "left").select(*[F.col(f"i.{c}") for c in df.columns], F.coalesce("i.__in", "s.__before").alias(out))
+
+
+def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, *, partitions: int | None = None) -> DataFrame:
+    """``df`` with ``out``: the sum of ``value`` over the rows before and with a row.
+
+    Partitioned by range like ``next_in_sequence``: sums run within (partition,
+    key), and each piece of a key starts from the total of the pieces before it.
+    ``order`` should be unique within a key; null values add nothing.  Without
+    keys the whole table is one sequence.
+    """
+    n = partitions or max(4, df.sparkSession.sparkContext.defaultParallelism)
+    # Written once: sampled range borders may differ from one evaluation to the next.
+    ranged = cut_lineage(df.repartitionByRange(n, *keys, *order).withColumn("__part", F.spark_partition_id()))
+    inside = ranged.withColumn("__in", F.sum(value).over(Window.partitionBy("__part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    totals = ranged.groupBy("__part", *keys).agg(F.sum(value).alias("__t"))
+    # Pieces number at most partitions plus keys.
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    spans = totals.withColumn("__before", F.sum("__t").over(before)).drop("__t")
+    cond = F.col("i.__part") == F.col("s.__part")
+    for k in keys:
+        cond = cond & F.col(f"i.{k}").eqNullSafe(F.col(f"s.{k}"))
+    return inside.alias("i").join(spans.alias("s"), cond, "left").select(*[F.col(f"i.{c}") for c in df.columns], (F.coalesce("i.__in", F.lit(0)) + F.coalesce("s.__before", F.lit(0))).alias(out))
+
+
+def with_ordinal(df: DataFrame, order: list[str], out: str, pattern: str) -> DataFrame:
+    """``df`` with ids made by ``pattern`` (``item_%05d``) from 1 in ``order``, which should be unique."""
+    counted = running_sum(df.withColumn("__one", F.lit(1).cast("long")), [], order, "__one", "__n")
+    return counted.drop("__one").withColumn(out, F.format_string(pattern, "__n")).drop("__n")

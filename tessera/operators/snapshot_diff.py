@@ -12,7 +12,7 @@ from tessera.sources.tables import cut_lineage
 
 #: Snapshot roles may be broadcast below this many bytes, by their counted rows.
 BROADCAST_BYTES = 32 << 20
-_ROLE_BYTES = 64
+_ROLE_BYTES = 192
 
 
 def file_rows(files: DataFrame) -> DataFrame:

@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.functions.keys import author_key, canonical_path, snapshot_key, stripped
 from tessera.operators.delimited import split_values
-from tessera.operators.flow_allocation import allocate_replacements
+from tessera.operators.flow_allocation import allocate_units
 from tessera.operators.graph import connected_components, distances, shortest_paths, spread_sets
-from tessera.operators.joins import innermost_interval, latest_before, nearest_join, presence, quoted_tokens, set_differences, suffix_join, unique_suffixes
+from tessera.operators.joins import innermost_interval, latest_before, nearest_join, presence, quoted_tokens, set_differences, suffix_counts, unique_suffixes
 from tessera.operators.matching import conservation, staged_matches, turnover_groups, unmatched
-from tessera.operators.scores import any_per, cluster_weights, confusion, runtime_summary
+from tessera.operators.scores import any_per, confusion, paired_gains, runtime_summary
 from tessera.operators.sequence import next_in_sequence
 from tessera.operators.skew import fragment_replicate_join
 from tessera.operators.snapshot_diff import snapshot_changes
 from tessera.operators.summary import frequencies, group_summary, joined_sets, labelled_counts, share_within, spine_counts
 from tessera.operators.value_flow import classify_positions, syntax_facts, trace_literals
-from tessera.sources.tables import cut_lineage, spread, table
+from tessera.sources.tables import cut_lineage, distinct_texts, spread, table
 
 
 def _interfaces(spark: SparkSession, d: str) -> DataFrame:
@@ -55,14 +55,13 @@ def locality_labels(spark, d):
 
 def integration_scalars(spark, d):
     rows = _interfaces(spark, d)
-    families = rows.select("repository_id", "family_id").where("repository_id is not null")
-    both = families.where("family_id = 'F01'").select("repository_id").intersect(families.where("family_id = 'F02'").select("repository_id"))
+    families = rows.where("repository_id is not null").groupBy("repository_id").agg(F.countDistinct("family_id").alias("n"))
     return rows.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.countDistinct("repository_id").alias("n_repositories"),
         F.countDistinct(F.when(F.col("non_local_binding_count") > 0, F.col("repository_id"))).alias("n_with_non_local"),
         F.sum("binding_count").cast("long").alias("n_bindings"),
-    ).withColumn("n_both", both.agg(F.count(F.lit(1))).scalar())
+    ).withColumn("n_several_families", families.agg(F.count_if(F.col("n") > 1)).scalar())
 
 
 def context_counts(spark, d):
@@ -142,7 +141,7 @@ def module_rules(spark, d):
     listed = table(spark, d, "files").where(F.col("path").endswith(".py")).select(X.module_name(canonical_path("path")).alias("chain"))
     parts = F.split("module", "[.]")
     rules = _modules(spark, d).where(F.size(parts) >= 2).select(F.array_join(F.slice(parts, -2, 2), ".").alias("rule")).distinct()
-    return suffix_join(listed, rules, "chain", "rule").groupBy("rule", F.col("by").alias("met_by")).agg(F.count(F.lit(1)).alias("n_chains"))
+    return suffix_counts(listed, rules, "chain", "rule").withColumnRenamed("by", "met_by")
 
 
 def _events(spark, d):
@@ -177,7 +176,7 @@ def needle_lines(spark, d):
     """Quoted model ids on source lines, met by equality with the vocabulary."""
     ids = table(spark, d, "model_id_occurrences").select(F.col("canonical_model_id").alias("model_id")).where("model_id is not null").distinct()
     needles = ids.select("model_id", F.explode(F.array(F.struct(F.col("model_id").alias("needle"), F.lit("full").alias("form")), F.struct(F.element_at(F.split("model_id", "/"), -1).alias("needle"), F.lit("namespace_free").alias("form")))).alias("n")).select("model_id", "n.*").distinct()
-    files = table(spark, d, "source_files").select("file_id", "text").where("file_id is not null and text is not null").distinct()
+    files = distinct_texts(table(spark, d, "source_files").where("file_id is not null and text is not null"), ["file_id"], "text", ["file_id", "text"])
     lines = files.select("file_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.col("line").rlike("[\"']"))
     tokens = lines.select("file_id", (F.col("at") + 1).alias("line_number"), F.explode(quoted_tokens(F.col("line"))).alias("needle"))
     # A few models are named on most lines: broadcast the counted vocabulary, or spread them.
@@ -242,7 +241,7 @@ def user_ranking(spark, d):
 
 def line_offsets(spark, d):
     """Character offset at which each line of a source file starts."""
-    files = table(spark, d, "source_files").select("file_id", "text").where("file_id is not null and text is not null").distinct()
+    files = distinct_texts(table(spark, d, "source_files").where("file_id is not null and text is not null"), ["file_id"], "text", ["file_id", "text"])
     # Only lengths are shuffled; a window holds the lines of one file.
     lengths = files.select("file_id", F.posexplode(F.transform(F.split("text", "\n"), lambda x: F.length(x) + 1)).alias("at", "n"))
     before = Window.partitionBy("file_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
@@ -309,20 +308,19 @@ def rename_conservation(spark, d):
 
 
 def replaced_extensions(spark, d):
-    """Renames per pair taken as replacements of one kind of file by another:
-    how many fit into the units that each kind lost and gained."""
+    """Renames per pair taken as replacements of one kind of file by another
+    directory's: how many fit into the units that each directory lost and gained."""
     old, new = _rename_sides(spark, d)
-    kind = lambda c: F.regexp_extract(c, r"(\.[^./]*)$", 1)
-    tops = lambda c: F.split(c, "/")[0]
-    o = old.select("pair", "path", tops("path").alias("id")).withColumn("n_old", F.lit(1)).withColumn("n_new", F.lit(0))
-    n = new.select("pair", "path", tops("path").alias("id")).withColumn("n_old", F.lit(0)).withColumn("n_new", F.lit(1))
-    counts = o.unionByName(n).groupBy("pair", "id").agg(F.sum("n_old").alias("n_old"), F.sum("n_new").alias("n_new"))
-    left = old.select("pair", F.col("path").alias("a"), kind("path").alias("k"))
-    right = new.select(F.col("pair").alias("to_pair"), F.col("path").alias("b"), kind("path").alias("to_k"))
-    pairs = left.join(right, (F.col("pair") == F.col("to_pair")) & (F.col("k") == F.col("to_k")))
-    events = pairs.select("pair", F.concat_ws(">", "a", "b").alias("event"), tops("a").alias("old_id"), tops("b").alias("new_id")).where("old_id <> new_id")
-    out = allocate_replacements(events, counts, "pair")
-    return out.groupBy("pair").agg(F.count(F.lit(1)).alias("n_events"), F.count_if("allocated").alias("n_allocated"))
+    kind = F.regexp_extract("path", r"(\.[^./]*)$", 1).alias("k")
+    top = F.split("path", "/")[0].alias("id")
+    of = lambda df, n: df.groupBy("pair", kind, top).agg(F.count(F.lit(1)).alias(n))
+    o, n = cut_lineage(of(old, "n_old")), cut_lineage(of(new, "n_new"))
+    zero = lambda c: F.lit(0).cast("long").alias(c)
+    counts = o.select("pair", "id", "n_old", zero("n_new")).unionByName(n.select("pair", "id", zero("n_old"), "n_new")).groupBy("pair", "id").agg(F.sum("n_old").alias("n_old"), F.sum("n_new").alias("n_new"))
+    # Files are counted per directory first, so two directories of a kind make one edge.
+    edges = o.withColumnRenamed("id", "old_id").join(n.withColumnRenamed("id", "new_id"), ["pair", "k"]).where("old_id <> new_id")
+    out = allocate_units(edges.select("pair", "old_id", "new_id", (F.col("n_old") * F.col("n_new")).alias("capacity")), counts, "pair")
+    return out.groupBy("pair").agg(F.sum("capacity").alias("n_events"), F.sum("units").alias("n_allocated"))
 
 
 def shared_commits(spark, d):
@@ -342,7 +340,7 @@ def _tree(spark, d):
 def tree_depths(spark, d):
     edges = _tree(spark, d)
     roots = edges.select(F.split("up", "/")[0].alias("node")).distinct()
-    return distances(edges, roots, "up", "down", "node", max_depth=40).groupBy("depth").agg(F.count(F.lit(1)).alias("n_nodes"))
+    return distances(edges, roots, "up", "down", "node").groupBy("depth").agg(F.count(F.lit(1)).alias("n_nodes"))
 
 
 def model_directories(spark, d):
@@ -363,14 +361,16 @@ def signal_scores(spark, d):
 
 
 def resampled_shares(spark, d):
-    """Spread of the share of flagged occurrences over resampled repositories."""
-    occ = table(spark, d, "model_id_occurrences").select("occurrence_id", "file_id", "excluded_from_main_queue").distinct()
+    """How much better path words agree with the decisions than the recorded flag,
+    over 10,000 resamples of repositories."""
+    occ = table(spark, d, "model_id_occurrences").select("occurrence_id", "file_id", "file_path", "excluded_from_main_queue", "occurrence_decision").distinct()
     files = table(spark, d, "source_files").select("file_id", "repository_id").distinct()
-    per = occ.join(files, "file_id").groupBy("repository_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("excluded_from_main_queue").alias("k"))
-    draws = cluster_weights(per, "repository_id", 200).join(per, "repository_id")
-    shares = draws.groupBy("draw").agg((F.sum(F.col("k") * F.col("weight")) / F.sum(F.col("n") * F.col("weight"))).alias("s"))
-    q = F.percentile("s", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q")
-    return shares.agg(F.count(F.lit(1)).alias("n_draws"), q).select("n_draws", F.round(F.col("q")[0], 6).alias("low"), F.round(F.col("q")[1], 6).alias("middle"), F.round(F.col("q")[2], 6).alias("high"))
+    gold = F.coalesce(F.col("occurrence_decision") == "exclude", F.lit(False))
+    words, flag = X.path_signal(canonical_path("file_path")).isNotNull(), F.coalesce("excluded_from_main_queue", F.lit(False))
+    per = occ.join(files, "file_id").groupBy("repository_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(words == gold).alias("a"), F.count_if(flag == gold).alias("b"))
+    gains = paired_gains(per, "repository_id", "n", "a", "b", draws=10_000)
+    q = F.percentile("gain", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q")
+    return gains.agg(F.count(F.lit(1)).alias("n_draws"), q).select("n_draws", F.round(F.col("q")[0], 6).alias("low"), F.round(F.col("q")[1], 6).alias("middle"), F.round(F.col("q")[2], 6).alias("high"))
 
 
 def event_runtimes(spark, d):
@@ -393,14 +393,18 @@ def path_breadth(spark, d):
     return sets.withColumn("surface", kind)
 
 
+def _python_texts(spark, d):
+    return distinct_texts(table(spark, d, "source_files").where(F.col("rel_path").endswith(".py")), ["file_id"], "text", ["file_id", "text"])
+
+
 def fact_counts(spark, d):
     """Syntax facts of the collected Python files."""
-    files = spread(table(spark, d, "source_files").where(F.col("rel_path").endswith(".py")).select("file_id", "text")).distinct()
+    files = spread(_python_texts(spark, d))
     return syntax_facts(files).groupBy("kind").agg(F.count(F.lit(1)).alias("n_facts"), F.countDistinct("file_id").alias("n_files"))
 
 
 def import_counts(spark, d):
-    files = spread(table(spark, d, "source_files").where(F.col("rel_path").endswith(".py")).select("file_id", "text")).distinct()
+    files = spread(_python_texts(spark, d))
     return syntax_facts(files).where("kind = 'import'").groupBy("name").agg(F.count(F.lit(1)).alias("n_imports"))
 
 
@@ -423,7 +427,7 @@ def tree_paths(spark, d):
     """Fewest-edges paths from repositories to entries, by length and edge kinds."""
     edges = _tree(spark, d).withColumn("kind", F.when(F.col("down").rlike(r"[.][^./]*$"), "file").otherwise("folder"))
     roots = edges.select(F.split("up", "/")[0].alias("node")).distinct()
-    paths = shortest_paths(edges, roots, "up", "down", "node", "kind", max_depth=40)
+    paths = shortest_paths(edges, roots, "up", "down", "node", "kind")
     return paths.groupBy(F.size("path").alias("length"), F.exists("kinds", lambda k: k == "file").alias("to_file")).agg(F.count(F.lit(1)).alias("n_nodes"))
 
 
@@ -433,24 +437,26 @@ def topic_frequencies(spark, d):
     return frequencies(topics, "record_id", "item_value")
 
 
-KEYWORDS = ("model", "token", "agent", "queue", "release")
-
-
 def document_keywords(spark, d):
-    docs = table(spark, d, "documents").select("doc_kind", F.explode(X.keyword_hits(F.col("text"), KEYWORDS)).alias("keyword"))
-    return docs.groupBy("doc_kind", "keyword").agg(F.count(F.lit(1)).alias("n_documents"))
+    """Documents of each kind that name a model author, as whole words."""
+    authors = table(spark, d, "author_interfaces").select(author_key("model_author").alias("keyword")).where("keyword is not null").distinct()
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9][a-z0-9-]*)"), F.lit(1)))
+    docs = table(spark, d, "documents").select("doc_id", "doc_kind", F.explode(words).alias("keyword"))
+    met = docs.join(F.broadcast(authors), "keyword") if authors.count() * 96 <= 32 << 20 else fragment_replicate_join(docs, authors, "keyword")
+    return met.groupBy("doc_kind", "keyword").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
 def literal_counts(spark, d):
-    """Occurrences of a text in documents, overlapping ones included."""
-    docs = table(spark, d, "documents").where("doc_id is not null and text is not null")
-    return docs.select("doc_id", X.overlapping_count(F.col("text"), "ee").alias("n_ee"), X.overlapping_count(F.col("text"), "the").alias("n_the"))
+    """How often a document holds its repository's bare name, overlapping ones included."""
+    docs = table(spark, d, "documents").where("doc_id is not null and text is not null and source is not null")
+    needle = F.element_at(F.split("source", "/"), -1)
+    return docs.select("doc_id", X.overlapping_count(F.col("text"), needle).alias("n_hits"))
 
 
 def occurrence_contexts(spark, d):
     """Recorded and found context of model occurrences in Python files."""
     occ = table(spark, d, "model_id_occurrences").select("occurrence_id", "file_id", F.col("line_number").alias("line"), F.col("column_start").alias("column"), "source_context").distinct()
-    files = table(spark, d, "source_files").where(F.col("rel_path").endswith(".py")).select("file_id", "text").distinct()
+    files = _python_texts(spark, d)
     found = classify_positions(files, occ.join(files.select("file_id"), "file_id", "left_semi"))
     return found.groupBy("source_context", "context").agg(F.count(F.lit(1)).alias("n_occurrences"))
 

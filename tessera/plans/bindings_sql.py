@@ -4,19 +4,25 @@ Queries without an entry run Python per file or a fix-point over keys; tests
 compare those with brute force.
 """
 
+from math import factorial
+
 from tessera.plans.problems_sql import _P3_VALUES
 
 _AUTHOR = "lower(trim(regexp_replace(trim({c}), '^~+', '')))"
 _SID = "lower(trim(snapshot_id))"
 _PATH = r"regexp_replace(regexp_replace(replace({c}, '\', '/'), '/{{2,}}', '/', 'g'), '^(\./|/)+', '')"
 _MODULE = r"replace(regexp_replace(regexp_replace({c}, '^(src|lib|python)/', ''), '(/__init__)?\.py$', ''), '/', '.')"
-_SIGNAL = r"""CASE
-  WHEN len(list_intersect(list_concat(string_split(lower({c}), '/'), string_split_regex(lower({c}), '[_\-./]')),
-    ['example','examples','demo','demos','sample','samples','tutorial','tutorials'])) > 0 THEN 'example_or_demo_code'
-  WHEN len(list_intersect(list_concat(string_split(lower({c}), '/'), string_split_regex(lower({c}), '[_\-./]')),
-    ['vendor','vendors','third','thirdparty','third_party','node_modules','site-packages','external','extern','_vendor'])) > 0 THEN 'third_party_code' END"""
+_FOLDERS = r"flatten(list_transform(string_split({c}, '/')[:-2], lambda x: list_concat([lower(x)], string_split_regex(lower(x), '[_\-.]'))))"
+_FILE = r"list_concat([lower(string_split({c}, '/')[-1])], string_split_regex(lower(string_split({c}, '/')[-1]), '[_\-.]'))"
+_SIGNAL = rf"""CASE
+  WHEN list_has_any({_FOLDERS}, ['example','examples','demo','demos','tutorial','tutorials','sample','samples']) OR list_has_any({_FILE}, ['example','examples','demo','demos','tutorial','tutorials','samples'])
+    THEN 'example_or_demo_code'
+  WHEN list_has_any(list_concat({_FOLDERS}, {_FILE}), ['.venv','venv','env','envs','environment','environments','site-packages','dist-packages','vendor','vendored','third_party','third-party'])
+    THEN 'third_party_or_vendored_code' END"""
 _TIME = "coalesce(try_strptime(trim(published_at), '%Y-%m-%dT%H:%M:%SZ'), try_strptime(trim(published_at), '%Y-%m-%d'))"
 _A = f"SELECT DISTINCT *, {_AUTHOR.format(c='model_author')} AS author FROM author_interfaces"
+#: Shares of Poisson(1) numbers up to 0, 1, 2, ...
+_POISSON = [sum(0.36787944117144233 / factorial(i) for i in range(k + 1)) for k in range(9)]
 _WEEK = "strftime(date_trunc('week', ts), '%Y-%m-%d')"
 
 _CHANGES = rf"""
@@ -80,7 +86,7 @@ ORACLES = {
         UNION ALL SELECT 'any_non_local', count(*) FILTER (o) FROM f""",
     "integration_scalars": f"""WITH a AS ({_A}), f AS (SELECT DISTINCT repository_id, family_id FROM a WHERE repository_id IS NOT NULL)
         SELECT count(*) AS n_rows, count(DISTINCT repository_id) AS n_repositories, count(DISTINCT CASE WHEN non_local_binding_count > 0 THEN repository_id END) AS n_with_non_local,
-        CAST(sum(binding_count) AS BIGINT) AS n_bindings, (SELECT count(*) FROM f x JOIN f y USING (repository_id) WHERE x.family_id = 'F01' AND y.family_id = 'F02') AS n_both FROM a""",
+        CAST(sum(binding_count) AS BIGINT) AS n_bindings, (SELECT count(*) FROM (SELECT repository_id FROM f WHERE family_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1)) AS n_several_families FROM a""",
     "context_counts": "SELECT coalesce(source_context, '') AS value, count(*) AS n_rows FROM (SELECT DISTINCT * FROM model_id_occurrences) GROUP BY 1",
     "check_states": """WITH c AS (SELECT DISTINCT * FROM snapshot_checks), s(source_snapshot_status) AS (VALUES ('matches_source_snapshot'), ('source_snapshot_mismatch'), ('source_snapshot_missing'))
         SELECT s.source_snapshot_status, count(*) FILTER (latest_snapshot_status = 'matches_latest_snapshot') AS matches_latest_snapshot,
@@ -180,10 +186,18 @@ ORACLES = {
         t AS (SELECT count(DISTINCT record_id) AS n FROM r), c AS (SELECT item_value AS k, count(*) AS m FROM r GROUP BY 1),
         g AS (SELECT record_id, CASE WHEN m < 0.1 * t.n THEN 'Other' ELSE item_value END AS item_value FROM r JOIN c ON c.k = r.item_value CROSS JOIN t)
         SELECT item_value, count(DISTINCT record_id) AS n_cases, round(count(DISTINCT record_id) / (SELECT n FROM t), 6) AS share FROM g GROUP BY item_value""",
-    "document_keywords": """SELECT doc_kind, k AS keyword, count(*) AS n_documents FROM documents CROSS JOIN (VALUES ('model'), ('token'), ('agent'), ('queue'), ('release')) v(k)
-        WHERE regexp_matches(lower(text), '(^|[^a-z0-9])' || k || '($|[^a-z0-9])') GROUP BY ALL""",
-    "literal_counts": """SELECT doc_id, CAST(len(list_filter(range(1, length(text)), lambda i: text[i:i + 1] = 'ee')) AS INTEGER) AS n_ee,
-        CAST((length(text) - length(replace(text, 'the', ''))) // 3 AS INTEGER) AS n_the FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL""",
+    "document_keywords": f"""WITH k AS (SELECT DISTINCT {_AUTHOR.format(c='model_author')} AS keyword FROM author_interfaces WHERE model_author IS NOT NULL),
+        w AS (SELECT doc_id, doc_kind, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9-]*'))) AS keyword FROM documents)
+        SELECT doc_kind, keyword, count(*) AS n_documents FROM w JOIN k USING (keyword) GROUP BY ALL""",
+    "literal_counts": """SELECT doc_id, CAST((length(text) - length(replace(text, string_split(source, '/')[-1], ''))) // length(string_split(source, '/')[-1]) AS INTEGER) AS n_hits
+        FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL AND source IS NOT NULL""",
+    "resampled_shares": f"""WITH r AS (SELECT f.repository_id, {_SIGNAL.format(c=_PATH.format(c='file_path'))} IS NOT NULL AS a, coalesce(excluded_from_main_queue, false) AS b, coalesce(occurrence_decision = 'exclude', false) AS g
+          FROM (SELECT DISTINCT occurrence_id, file_id, file_path, excluded_from_main_queue, occurrence_decision FROM model_id_occurrences) JOIN (SELECT DISTINCT file_id, repository_id FROM source_files) f USING (file_id)),
+        p AS (SELECT repository_id, count(*) AS n, count(*) FILTER (a = g) AS a, count(*) FILTER (b = g) AS b FROM r GROUP BY 1),
+        u AS (SELECT *, CAST(('0x' || md5(concat_ws(':', draw, repository_id))[1:8]) AS BIGINT) / 4294967296.0 AS u FROM p, (SELECT unnest(range(10000)) AS draw)),
+        w AS (SELECT *, {' + '.join(f'(u >= {s!r})::INT' for s in _POISSON)} AS w FROM u),
+        g AS (SELECT draw, sum(w * (a - b)) / sum(w * n) AS gain FROM w WHERE w > 0 GROUP BY draw)
+        SELECT count(*) AS n_draws, round(quantile_cont(gain, 0.025), 6) AS low, round(quantile_cont(gain, 0.5), 6) AS middle, round(quantile_cont(gain, 0.975), 6) AS high FROM g""",
     "shared_commits": f"WITH RECURSIVE {_COMPONENTS} SELECT node, min(other) AS component FROM reach GROUP BY node",
     "tree_depths": f"""WITH p AS (SELECT DISTINCT string_split(concat(CAST(repository_id AS VARCHAR), '/', {_PATH.format(c='rel_path')}), '/') AS parts FROM source_files WHERE repository_id IS NOT NULL),
         n AS (SELECT DISTINCT array_to_string(parts[1:i], '/') AS node, i - 1 AS depth FROM (SELECT parts, unnest(range(1, len(parts) + 1)) AS i FROM p))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Directories that hold no source of the project.
-SKIPPED_DIRS = (".git", ".hg", ".svn", ".tox", ".nox", ".venv", "venv", "__pycache__", "node_modules", "build", "dist", ".mypy_cache", ".pytest_cache")
+SKIPPED_DIRS = (".git", ".hg", ".svn", ".mypy_cache", ".pytest_cache", ".ruff_cache", "__pycache__", ".venv", "venv", "env", "envs", "site-packages", "dist-packages")
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str], *, missing_ok: bool = False) -> DataFrame:

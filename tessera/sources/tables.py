@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -34,6 +36,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows to drop may be broadcast up to this many (24 bytes each).
+BROADCAST_ROWS = 1_000_000
+
+
+def distinct_texts(scan: DataFrame, keys: list[str], text: str, columns: list[str]) -> DataFrame:
+    """``columns`` of a table scan, one row for each (``keys``, ``text``).
+
+    Rows are told apart by their place in their file, which stays when a task
+    runs again.  Only keys, hashes and places are shuffled; texts stay where they
+    are scanned while the rows to drop are few enough to broadcast.
+    """
+    place = F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")
+    ids = [*keys, "__h", "__n"]
+    known = scan.select(*keys, F.xxhash64(text).alias("__h"), F.length(text).alias("__n"), *place)
+    twice = known.groupBy(*ids).agg(F.min(F.struct("__file", "__row")).alias("__kept"), F.count(F.lit(1)).alias("__c")).where("__c > 1")
+    same = [F.col(f"k.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ids]
+    dropped = known.alias("k").join(twice.alias("t"), reduce(lambda a, b: a & b, same)).where(F.struct("k.__file", "k.__row") != F.col("t.__kept")).select("k.__file", "k.__row")
+    dropped = cut_lineage(dropped)
+    rows = scan.select(*columns, *place)
+    few = dropped.count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(dropped) if few else dropped, ["__file", "__row"], "left_anti").drop("__file", "__row")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many parts as the session has cores.
 

@@ -5,12 +5,14 @@ from tessera.operators.graph import shortest_paths
 from tessera.operators.matching import turnover_groups
 from tessera.operators.summary import frequencies, joined_sets
 from tessera.operators.value_flow import classify_positions, context_spans
-from tessera.sources.tables import spread
+from tessera.operators.graph import connected_components, distances
+from tessera.sources import tables
+from tessera.sources.tables import distinct_texts, spread
 
 
 def test_shortest_paths_with_ties_and_cycles(spark, rows):
     e = spark.createDataFrame([("a", "b", "x"), ("a", "c", "y"), ("b", "d", "z"), ("c", "d", "w"), ("d", "a", "v"), ("q", "r", "u"), (None, "a", "n")], "s string, t string, k string")
-    got = shortest_paths(e, spark.createDataFrame([("a",), (None,)], "n string"), "s", "t", "n", "k", max_depth=9)
+    got = shortest_paths(e, spark.createDataFrame([("a",), (None,)], "n string"), "s", "t", "n", "k")
     assert [(r.node, r.path, r.kinds) for r in got.orderBy("node").collect()] == [("a", ["a"], []), ("b", ["a", "b"], ["x"]), ("c", ["a", "c"], ["y"]), ("d", ["a", "b", "d"], ["x", "z"])]
 
 
@@ -50,3 +52,29 @@ def test_spread(spark):
     assert spread(one).rdd.getNumPartitions() >= 4 and spread(one).count() == 100
     wide = spark.range(100).repartition(9)
     assert spread(wide) is wide
+
+
+def test_distinct_texts(spark, rows, tmp_path, monkeypatch):
+    data = [(1, "a", "x.py"), (1, "a", "x.py"), (1, "b", "x.py"), (2, "a", "y.py"), (None, "a", "z.py"), (None, "a", "z.py"), (3, None, "q.py"), (3, None, "q.py")] * 2
+    spark.createDataFrame(data, "i long, t string, p string").repartition(3).write.parquet(f"{tmp_path}/t.parquet")
+    scan = spark.read.parquet(f"{tmp_path}/t.parquet")
+    for limit in (1_000_000, 0):
+        monkeypatch.setattr(tables, "BROADCAST_ROWS", limit)
+        assert rows(distinct_texts(scan, ["i"], "t", ["i", "t"])) == rows(scan.select("i", "t").distinct())
+        assert rows(distinct_texts(scan.where("p = 'x.py'"), ["i"], "t", ["i", "t"])) == [(1, "a"), (1, "b")]
+    assert distinct_texts(scan.where("false"), ["i"], "t", ["i"]).count() == 0
+
+
+def test_long_chains_have_no_bound(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(12)], "a long, b long")
+    s = spark.createDataFrame([(0,)], "n long")
+    assert distances(e, s, "a", "b", "n").count() == 13 and distances(e, s, "a", "b", "n", max_depth=3).count() == 4
+
+
+def test_hub_components(spark, monkeypatch):
+    from tessera.operators import graph
+
+    monkeypatch.setattr(graph, "BROADCAST_BYTES", -1)
+    e = spark.createDataFrame([(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(5)] + [(200, 200), (None, 1)], "a long, b long")
+    got = {r.node: r.component for r in connected_components(e, "a", "b").collect()}
+    assert got == {**{i: 0 for i in range(60)}, **{100 + i: 100 for i in range(6)}, 200: 200}

@@ -3,11 +3,11 @@ import itertools
 
 from pyspark.sql import functions as F
 
-from tessera.operators.flow_allocation import allocate_replacements, max_flow_events
+from tessera.operators.flow_allocation import allocate_replacements, allocate_units, max_flow_events, max_flow_units
 from tessera.operators.graph import connected_components, distances, spread_sets
-from tessera.operators.joins import innermost_interval, latest_before, nearest_join, presence, set_differences, suffix_join, unique_suffixes
+from tessera.operators.joins import innermost_interval, latest_before, nearest_join, presence, set_differences, suffix_counts, suffix_join, unique_suffixes
 from tessera.operators.matching import conservation, staged_matches, unmatched
-from tessera.operators.scores import cluster_weights, confusion
+from tessera.operators.scores import confusion, exact_quantile, paired_gains, poisson_weight
 from tessera.operators.summary import group_summary, labelled_counts, share_within, spine_counts
 
 
@@ -122,10 +122,52 @@ def test_scores_and_summaries(spark, rows):
     assert rows(share_within(t, ["k"], ["e"]), "k", "e", "share") == [("a", 1, 0.5), ("a", 2, 0.5), (None, 1, 1.0)]
 
 
-def test_cluster_weights_are_poisson(spark):
-    c = spark.createDataFrame([(i,) for i in range(50)], "k long")
-    w = cluster_weights(c, "k", 100)
-    assert abs(w.agg(F.sum("weight")).first()[0] / 5000 - 1) < 0.06
+def test_draws_are_poisson_and_paired(spark):
+    w = spark.range(50).crossJoin(spark.range(100).toDF("draw")).select(poisson_weight(F.col("draw"), F.col("id")).alias("w"))
+    n, total, squares = w.agg(F.count("w"), F.sum("w"), F.sum(F.col("w") * F.col("w"))).first()
+    assert abs(total / n - 1) < 0.06 and abs(squares / n - 2) < 0.2
+    per = spark.createDataFrame([(i, 10, 6 + i % 3, 5) for i in range(30)] + [(99, 0, 0, 0)], "k long, n long, a long, b long")
+    gains = [r.gain for r in paired_gains(per, "k", "n", "a", "b", draws=400).collect()]
+    assert len(gains) == 400 and abs(sum(gains) / 400 - 0.2) < 0.01 and min(gains) >= 0.1 and max(gains) <= 0.3
+    assert paired_gains(per.limit(0), "k", "n", "a", "b", draws=9).count() == 0
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    r = random.Random(8)
+    data = [(r.choice(["a", "a", "a", "b", None]), r.choice([None, *map(float, range(40))])) for _ in range(800)] + [("one", 7.0), ("none", None)]
+    df = spark.createDataFrame(data, "k string, v double").repartition(5)
+    for q in (0.0, 0.25, 0.5, 0.9, 1.0):
+        got = {x.k: x.quantile for x in exact_quantile(df, "k", "v", q).collect()}
+        want = {k: float(np.quantile([v for j, v in data if j == k and v is not None], q)) for k in ("a", "b", None, "one")}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_units_against_events():
+    r = random.Random(6)
+    for _ in range(200):
+        edges = [(o, n, r.randint(0, 3)) for o in "abc" for n in "xyz" if r.random() < 0.6]
+        down, up = {o: r.randint(0, 4) for o in "abc"}, {n: r.randint(0, 4) for n in "xyz"}
+        events = [(f"{o}{n}{i}", o, n) for o, n, c in edges for i in range(c)]
+        got = max_flow_units(edges, down, up)
+        assert sum(got.values()) == len(max_flow_events(events, down, up))
+        room = {(o, n): c for o, n, c in edges}
+        assert all(0 < f <= room[e] for e, f in got.items())
+        assert all(sum(f for (o, _), f in got.items() if o == i) <= down[i] for i in down) and all(sum(f for (_, n), f in got.items() if n == i) <= up[i] for i in up)
+
+
+def test_units_per_pair(spark, rows):
+    edges = spark.createDataFrame([("p", "a", "x", 5), ("p", "a", "y", 2), ("p", "a", "y", 1), ("q", "a", "x", 1)], "pair string, old_id string, new_id string, capacity long")
+    counts = spark.createDataFrame([("p", "a", 4, 0), ("p", "x", 0, 1), ("p", "y", 0, 9)], "pair string, id string, n_old long, n_new long")
+    assert rows(allocate_units(edges, counts, "pair")) == [("p", "a", "x", 5, 1), ("p", "a", "y", 3, 3), ("q", "a", "x", 1, 0)]
+
+
+def test_suffix_counts_equal_pairs(spark, rows):
+    chains = spark.createDataFrame([("a.b.c",), ("x.c",), ("y.c",), ("q",), (None,), ("x.c",)], "chain string")
+    rules = spark.createDataFrame([("b.c",), ("z.c",), ("w.c",), ("k",)], "rule string")
+    pairs = suffix_join(chains, rules, "chain", "rule").groupBy("rule", "by").agg(F.count(F.lit(1)).alias("n"))
+    assert rows(pairs) == rows(suffix_counts(chains, rules, "chain", "rule"))
 
 
 def test_quoted_tokens_after_an_unpaired_quote(spark):

@@ -1,6 +1,6 @@
 from collections import Counter
 
-from tessera.operators.sequence import carry_forward, next_in_sequence
+from tessera.operators.sequence import carry_forward, next_in_sequence, running_sum, with_ordinal
 from tessera.operators.skew import balanced_aggregate, dominating_keys, fragment, fragment_replicate_join, plan_loads, task_loads
 
 
@@ -99,3 +99,16 @@ def test_rows_are_added_up_where_they_are_placed(spark):
     plan = balanced_aggregate(_skewed(spark), "k", {"n": None}, tasks=6)._jdf.queryExecution().executedPlan().toString()
     assert "directpassthrough" in plan.lower() or "shufflepartitionid" in plan.lower(), plan
     assert plan.count("Exchange") - plan.count("BroadcastExchange") <= 4, plan
+
+
+def test_running_sums_and_ordinals(spark):
+    data = [(i % 2 if i % 5 else None, i, i % 7 if i % 3 else None) for i in range(300)]
+    df = spark.createDataFrame(data, "g long, o long, v long").repartition(3)
+    got = {(r.g, r.o): r.s for r in running_sum(df, ["g"], ["o"], "v", "s", partitions=9).collect()}
+    for g in (0, 1, None):
+        total = 0
+        for _, o, v in [x for x in data if x[0] == g]:
+            total += v or 0
+            assert got[g, o] == total
+    ids = {r.o: r.id for r in with_ordinal(df, ["o"], "id", "item_%05d").collect()}
+    assert ids == {i: f"item_{i + 1:05d}" for i in range(300)} and with_ordinal(df.limit(0), ["o"], "id", "%d").count() == 0

@@ -24,7 +24,7 @@ def test_text_functions(spark):
     assert one(spark, X.words, "parseHTTPReply_v2") == ["parse", "httpreply", "v2"]
     assert one(spark, X.terms, "a-B/a.c") == ["a", "b", "c"]
     assert one(spark, X.module_name, "src/a/b/__init__.py") == "a.b"
-    assert one(spark, X.path_signal, "lib/vendor/x.py") == "third_party_code" and one(spark, X.path_signal, "my_demo/x.py") == "example_or_demo_code" and one(spark, X.path_signal, "a/b.py") is None
+    assert one(spark, X.path_signal, "lib/vendor/x.py") == "third_party_or_vendored_code" and one(spark, X.path_signal, "my_demo/x.py") == "example_or_demo_code" and one(spark, X.path_signal, "a/b.py") is None
     assert [one(spark, X.tag_category, t) for t in ("v1.2.3", "release-1.2", "nightly")] == ["strict", "lenient", "other"]
     assert one(spark, X.human_number, "12.5K tokens") == 12500.0 and one(spark, X.human_number, "none") is None
     assert one(spark, X.unquote, "'a'b'") == "a'b" and one(spark, X.unquote, "'a\"") == "'a\""
@@ -51,9 +51,9 @@ def test_json_sources_and_keys(spark, tmp_path, rows):
     (tmp_path / "a.jsonl").write_text('{"k": 1}\n\n{"k": "x"\n')
     got = read_json_lines(spark, str(tmp_path / "a.jsonl"), T.StructType([T.StructField("k", T.LongType())]))
     assert sorted(r.k is None for r in got.collect()) == [False, True]
-    (tmp_path / "r" / "node_modules").mkdir(parents=True)
+    (tmp_path / "r" / "site-packages").mkdir(parents=True)
     (tmp_path / "r" / "a.py").write_bytes(b"x = 1\n")
-    (tmp_path / "r" / "node_modules" / "b.py").write_bytes(b"y")
+    (tmp_path / "r" / "site-packages" / "b.py").write_bytes(b"y")
     src = read_sources(spark, str(tmp_path / "r")).collect()
     assert [(r.size_bytes, r.text) for r in src] == [(6, "x = 1\n")]
     import hashlib
