@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.sequence import running_sum
+
 
 def range_join(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str, *, cell: int) -> DataFrame:
     """Every pair of a point and an interval [start, end] of the same keys that holds it.
@@ -28,17 +30,18 @@ def ranked_within(left: DataFrame, right: DataFrame, keys: list[str], at: str, r
 
     Cells as wide as the tolerance are met by equality.  Ties go to the smaller
     position, then the smaller value; equal (position, value) count once.
-    ``exact_last`` puts hits at distance 0 last.  A left row's partners are few,
-    as the tolerance bounds them; ranks come from one sorted list per left row.
+    ``exact_last`` puts hits at distance 0 last.  Ranks are running sums over
+    range partitions, so a left row may have any number of partners.
     """
     cell = lambda c: F.floor(F.col(c) / F.lit(tolerance))
     l = left.select("row_id", *keys, F.col(at).alias("__at"), F.explode(F.array(cell(at) - 1, cell(at), cell(at) + 1)).alias("__cell"))
-    r = right.select(*keys, F.col(right_at).alias("__to"), F.col(value).alias("__value"), cell(right_at).alias("__cell")).distinct()
+    r = right.select(*keys, F.col(right_at).alias("__to"), F.col(value).alias("value"), cell(right_at).alias("__cell")).distinct()
     d = F.abs(F.col("__at") - F.col("__to"))
+    near = l.join(r, [*keys, "__cell"]).where(d <= tolerance)
     late = (d == 0) if exact_last else F.lit(False)
-    near = l.join(r, [*keys, "__cell"] if keys else ["__cell"]).where(d <= tolerance)
-    sets = near.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct(late.alias("late"), d.alias("distance"), F.col("__to").alias("to"), F.col("__value").alias("value")))).alias("l"))
-    return sets.select("row_id", F.posexplode("l").alias("at", "x")).select("row_id", (F.col("at") + 1).alias("rank"), F.col("x.value").alias("value"), F.col("x.distance").alias("distance"))
+    near = near.select("row_id", late.alias("__late"), d.alias("distance"), F.col("__to"), "value", F.lit(1).cast("long").alias("__one"))
+    ranked = running_sum(near, ["row_id"], ["__late", "distance", "__to", "value"], "__one", "rank")
+    return ranked.select("row_id", "rank", "value", "distance")
 
 
 def longest_prefix(names: DataFrame, prefixes: DataFrame, keys: list[str], name: str, prefix: str, value: str, *, mark: str) -> DataFrame:
@@ -79,8 +82,6 @@ def greedy_units(events: DataFrame, capacity: DataFrame, keys: list[str], order:
 
     ``capacity`` has ``keys, units``.  A key without units gives none.
     """
-    from tessera.operators.sequence import running_sum
-
     counted = running_sum(events.withColumn("__one", F.lit(1).cast("long")), keys, order, "__one", "__n").drop("__one")
     room = capacity.groupBy(*keys).agg(F.sum("units").alias("__u"))
     return counted.join(room, keys, "left").withColumn("taken", F.coalesce(F.col("__n") <= F.col("__u"), F.lit(False))).drop("__n", "__u")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import bindings, bindings_sql, problems, problems_sql, streams
+from tessera.plans import bindings, bindings_sql, evidence, evidence_sql, problems, problems_sql, streams
 
-_MODULES = ((problems, problems_sql), (bindings, bindings_sql), (streams, streams))
+_MODULES = ((problems, problems_sql), (bindings, bindings_sql), (evidence, evidence_sql), (streams, streams))
 
 
 def queries():
