@@ -121,3 +121,23 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, a: str, b: str, node: s
             break
         seen = seen.unionByName(frontier)
     return seen
+
+
+def paths_per_source(edges: DataFrame, sources: DataFrame, a: str, b: str, kind: str, node: str, *, max_rounds: int = 200) -> DataFrame:
+    """``source, node, path, kinds``: a fewest-edges path from every source to each node it reaches.
+
+    Of equally long paths the smallest (predecessor path, kind) counts.  Raises
+    if paths are longer than ``max_rounds``.
+    """
+    e = edges.select(F.col(a).alias("__a"), F.col(b).alias("__b"), F.col(kind).cast("string").alias("__k")).where(F.col("__a").isNotNull() & F.col("__b").isNotNull()).distinct()
+    start = sources.select(F.col(node).alias("node")).where(F.col("node").isNotNull()).distinct()
+    seen = cut_lineage(start.select(F.col("node").alias("source"), "node", F.array("node").alias("path"), F.array().cast("array<string>").alias("kinds")))
+    frontier = seen
+    for _ in range(max_rounds):
+        step = frontier.join(e, F.col("node") == F.col("__a")).select("source", F.col("__b").alias("node"), "path", "kinds", "__k")
+        best = step.join(seen.select("source", "node"), ["source", "node"], "left_anti").groupBy("source", "node").agg(F.min(F.struct("path", "__k", "kinds")).alias("m"))
+        frontier = cut_lineage(best.select("source", "node", F.concat("m.path", F.array("node")).alias("path"), F.concat("m.kinds", F.array("m.__k")).alias("kinds")))
+        if frontier.limit(1).count() == 0:
+            return seen
+        seen = seen.unionByName(frontier)
+    raise RuntimeError("paths did not settle")

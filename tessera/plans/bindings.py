@@ -17,7 +17,7 @@ from tessera.operators.sequence import next_in_sequence
 from tessera.operators.skew import fragment_replicate_join
 from tessera.operators.snapshot_diff import snapshot_changes
 from tessera.operators.summary import frequencies, group_summary, joined_sets, labelled_counts, share_within, spine_counts
-from tessera.operators.value_flow import classify_positions, syntax_facts, trace_literals
+from tessera.operators.value_flow import classify_positions, loader_candidates, syntax_facts, trace_literals, trace_paths
 from tessera.sources.tables import cut_lineage, distinct_texts, spread, table
 
 
@@ -408,12 +408,39 @@ def import_counts(spark, d):
     return syntax_facts(files).where("kind = 'import'").groupBy("name").agg(F.count(F.lit(1)).alias("n_imports"))
 
 
-def traced_bindings(spark, d):
-    """Model literals followed to the calls that use them."""
+def _project_files(spark, d):
     files = table(spark, d, "source_files").where(F.col("rel_path").endswith(".py"))
     files = files.select("file_id", F.concat_ws("@", F.col("repository_id").cast("string"), snapshot_key("snapshot_id")).alias("project"), canonical_path("rel_path").alias("rel_path"), "text")
     ids = table(spark, d, "model_id_occurrences").select(F.col("canonical_model_id").alias("model_id")).where("model_id is not null").distinct()
-    return trace_literals(files, ids)
+    return files, ids
+
+
+def traced_bindings(spark, d):
+    """Model literals followed to the calls that use them."""
+    return trace_literals(*_project_files(spark, d))
+
+
+def traced_paths(spark, d):
+    """The way of each model literal to each call that uses it."""
+    return trace_paths(*_project_files(spark, d))
+
+
+def traced_primary(spark, d):
+    """The nearest call of each model literal, by what lies on the way."""
+    out = trace_paths(*_project_files(spark, d), mode="shortest")
+    return out.groupBy("locality", "interprocedural", F.size("kinds").alias("n_edges")).agg(F.count(F.lit(1)).alias("n_traces"))
+
+
+def trace_steps(spark, d):
+    """Edges on the ways of model literals, by kind and place on the way."""
+    steps = trace_paths(*_project_files(spark, d)).select("trace_id", F.posexplode("kinds").alias("at", "edge_type"))
+    return steps.groupBy((F.col("at") + 1).alias("step"), "edge_type").agg(F.count(F.lit(1)).alias("n_traces"))
+
+
+def candidate_calls(spark, d):
+    """Calls on imports of known interfaces that take a model."""
+    rules = table(spark, d, "author_interfaces").select(F.col("interface_origin").alias("import_origin"))
+    return loader_candidates(cut_lineage(syntax_facts(spread(_python_texts(spark, d)))), rules)
 
 
 def rename_turnover(spark, d):
@@ -493,6 +520,6 @@ QUERIES = {
         binding_records, confirmed_repositories, discovered_authors, listing_differences, module_aliases, module_rules, nearest_views, latest_views, innermost_priority,
         needle_lines, release_gaps, tag_kinds, adjacent_snapshots, latest_commits, weekly_shares, user_ranking, line_offsets, saturating_changes, path_signals,
         identifier_words, snapshot_fingerprints, renamed_files, rename_conservation, replaced_extensions, shared_commits, tree_depths, model_directories, signal_scores,
-        resampled_shares, event_runtimes, cutoff_counts, path_breadth, fact_counts, import_counts, traced_bindings, rename_turnover, tree_paths, topic_frequencies, document_keywords, literal_counts, occurrence_contexts, pricing_summary, nation_revenue, repository_states,
+        resampled_shares, event_runtimes, cutoff_counts, path_breadth, fact_counts, import_counts, traced_bindings, traced_paths, traced_primary, trace_steps, candidate_calls, rename_turnover, tree_paths, topic_frequencies, document_keywords, literal_counts, occurrence_contexts, pricing_summary, nation_revenue, repository_states,
     )
 }
