@@ -714,45 +714,3 @@ def loader_candidates(facts: DataFrame, rules: DataFrame) -> DataFrame:
     met = found.withColumn("rule_origin", F.split("value_found", "[.]")[0]).join(origins, "rule_origin")
     out = met.select("file_id", "line", "chain", F.col("value_found").alias("origin"), "rule_origin", "binds", "row_id")
     return with_ordinal(out, ["file_id", "line", "chain", "row_id"], "candidate_id", "loader_candidate_%05d").drop("row_id")
-
-
-def context_spans(file_id: int, text: str) -> list[tuple]:
-    """(file_id, line, context, seq) of every line that a comment or a docstring
-    covers; comments come first, as they win."""
-    import io
-    import tokenize
-
-    rows: list[tuple] = []
-    try:
-        for t in tokenize.generate_tokens(io.StringIO(text).readline):
-            if t.type == tokenize.COMMENT:
-                rows.append((file_id, t.start[0], "comment", t.start[1], 10**6, len(rows)))
-    except (tokenize.TokenError, SyntaxError, ValueError):
-        pass  # the comments before the damage stay
-    tree, _ = _parse(text)
-    for node in ast.walk(tree) if tree else ():
-        if isinstance(node, (ast.Module, ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)) and node.body:
-            first = node.body[0]
-            if isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant) and isinstance(first.value.value, str):
-                for line in range(first.lineno, (first.end_lineno or first.lineno) + 1):
-                    rows.append((file_id, line, "docstring", 0, 10**6, len(rows)))
-    return rows
-
-
-def classify_positions(files: DataFrame, points: DataFrame) -> DataFrame:
-    """``points`` with ``context``: comment, docstring or code.
-
-    ``points`` has ``file_id, line, column`` (column from 1).  Spans are one row
-    per line, so a point meets its spans by equality on (file, line).
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [r for i, t in zip(b["file_id"], b["text"]) for r in context_spans(i, t)]
-            yield pd.DataFrame(rows, columns=["file_id", "line", "span", "start", "end", "seq"])
-
-    texts = files.select("file_id", "text").where(F.col("file_id").isNotNull() & F.col("text").isNotNull())
-    spans = texts.mapInPandas(run, "file_id long, line int, span string, start int, end int, seq int")
-    first = spans.groupBy("file_id", "line").agg(F.min(F.struct("seq", "start", "span")).alias("s"))
-    inside = F.col("s.span").isNotNull() & (F.col("column") - 1 >= F.col("s.start"))
-    return points.join(first, ["file_id", "line"], "left").withColumn("context", F.when(inside, F.col("s.span")).otherwise("code")).drop("s")

@@ -17,7 +17,8 @@ from tessera.operators.sequence import next_in_sequence
 from tessera.operators.skew import fragment_replicate_join
 from tessera.operators.snapshot_diff import snapshot_changes
 from tessera.operators.summary import frequencies, group_summary, joined_sets, labelled_counts, share_within, spine_counts
-from tessera.operators.value_flow import classify_positions, loader_candidates, syntax_facts, trace_literals, trace_paths
+from tessera.operators.syntax_context import classify_positions, literal_roles
+from tessera.operators.value_flow import call_origins, loader_candidates, syntax_facts, trace_literals, trace_paths
 from tessera.sources.tables import cut_lineage, distinct_texts, spread, table
 
 
@@ -488,6 +489,23 @@ def occurrence_contexts(spark, d):
     return found.groupBy("source_context", "context").agg(F.count(F.lit(1)).alias("n_occurrences"))
 
 
+def model_literals(spark, d):
+    """Literals that are model ids, by what holds them."""
+    ids = table(spark, d, "model_id_occurrences").select(F.col("canonical_model_id").alias("m")).where("m is not null").distinct()
+    names = ids.select(F.explode(F.array("m", F.element_at(F.split("m", "/"), -1))).alias("literal")).distinct()
+    rows = literal_roles(spread(_python_texts(spark, d)))
+    met = rows.join(F.broadcast(names), "literal", "left_semi") if names.count() * 96 <= 32 << 20 else fragment_replicate_join(rows, names, "literal", how="left_semi")
+    return met.groupBy("role", "name").agg(F.count(F.lit(1)).alias("n_literals"), F.countDistinct("file_id").alias("n_files"))
+
+
+def interface_names(spark, d):
+    """Names of files that stand for known interfaces, by interface."""
+    origins = call_origins(cut_lineage(syntax_facts(spread(_python_texts(spark, d)))))
+    rules = table(spark, d, "author_interfaces").select(F.col("interface_origin").alias("root")).distinct()
+    met = origins.withColumn("root", F.split("origin", "[.]")[0]).join(rules, "root", "left_semi")
+    return met.groupBy("root").agg(F.countDistinct("file_id").alias("n_files"), F.count(F.lit(1)).alias("n_names"))
+
+
 def pricing_summary(spark, d):
     l = table(spark, d, "lineitem")
     price = F.col("l_extendedprice") * (1 - F.col("l_discount"))
@@ -520,6 +538,6 @@ QUERIES = {
         binding_records, confirmed_repositories, discovered_authors, listing_differences, module_aliases, module_rules, nearest_views, latest_views, innermost_priority,
         needle_lines, release_gaps, tag_kinds, adjacent_snapshots, latest_commits, weekly_shares, user_ranking, line_offsets, saturating_changes, path_signals,
         identifier_words, snapshot_fingerprints, renamed_files, rename_conservation, replaced_extensions, shared_commits, tree_depths, model_directories, signal_scores,
-        resampled_shares, event_runtimes, cutoff_counts, path_breadth, fact_counts, import_counts, traced_bindings, traced_paths, traced_primary, trace_steps, candidate_calls, rename_turnover, tree_paths, topic_frequencies, document_keywords, literal_counts, occurrence_contexts, pricing_summary, nation_revenue, repository_states,
+        resampled_shares, event_runtimes, cutoff_counts, path_breadth, fact_counts, import_counts, traced_bindings, traced_paths, traced_primary, trace_steps, candidate_calls, model_literals, interface_names, rename_turnover, tree_paths, topic_frequencies, document_keywords, literal_counts, occurrence_contexts, pricing_summary, nation_revenue, repository_states,
     )
 }

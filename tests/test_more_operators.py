@@ -4,7 +4,7 @@ from tessera.functions import text as X
 from tessera.operators.graph import shortest_paths
 from tessera.operators.matching import turnover_groups
 from tessera.operators.summary import frequencies, joined_sets
-from tessera.operators.value_flow import classify_positions, context_spans
+from tessera.operators.syntax_context import annotated_literals, classify_positions, context_spans, literal_roles
 from tessera.operators.graph import connected_components, distances
 from tessera.sources import tables
 from tessera.sources.tables import distinct_texts, spread
@@ -37,14 +37,26 @@ def test_keywords_and_counts(spark, rows):
 
 
 def test_contexts(spark, rows):
-    text = '"""Doc\nmore."""\nx = 1  # note\n\ndef f():\n    "inner"\n    return "# no"\n'
-    assert [(r[1], r[2]) for r in context_spans(1, text)] == [(3, "comment"), (1, "docstring"), (2, "docstring"), (6, "docstring")]
-    files = spark.createDataFrame([(1, text), (2, "def (:\n# c\n"), (3, None)], "file_id long, text string")
-    points = spark.createDataFrame([(1, 2, 1), (1, 3, 1), (1, 3, 12), (1, 7, 13), (2, 2, 3), (3, 1, 1), (None, 1, 1)], "file_id long, line int, column int")
-    assert rows(classify_positions(files, points), "file_id", "line", "column", "context") == sorted(
-        [(1, 2, 1, "docstring"), (1, 3, 1, "code"), (1, 3, 12, "comment"), (1, 7, 13, "code"), (2, 2, 3, "comment"), (3, 1, 1, "code"), (None, 1, 1, "code")],
-        key=lambda t: tuple((x is None, str(x)) for x in t),
-    )
+    text = '"""Doc\nmore."""\nx = 1  # note\n\ndef f():\n    "inner"\n    return "# no", f"a{x}b"\n'
+    last = 10**9
+    spans = context_spans(text)
+    assert spans[3] == [(7, 13, 1)] and (0, last, 0) in spans[1] and (0, last, 0) in spans[2] and (0, last, 0) in spans[6] and spans[7][0] == (11, 17, 2)
+    files = spark.createDataFrame([(1, text), (2, "# c\nx = 'a'\ndef (:\n  '''open\n"), (3, None)], "file_id long, text string")
+    points = spark.createDataFrame([(1, 2, 1), (1, 3, 1), (1, 3, 12), (1, 7, 13), (1, 7, 5), (2, 1, 3), (2, 2, 6), (2, 4, 9), (3, 1, 1), (None, 1, 1)], "file_id long, line int, column int")
+    want = ["docstring", "code_or_unknown", "comment", "string_literal", "code_or_unknown", "comment", "string_literal", "code_or_unknown", "code_or_unknown", "code_or_unknown"]
+    got = {(r.file_id, r.line, r.column): r.context for r in classify_positions(files, points).collect()}
+    assert [got[tuple(p)] for p in points.collect()] == want
+
+
+def test_roles_of_literals(spark):
+    text = 'a = "assign"\nb = ["item"]\nf("pos", k="kw")\nd = {"key": "val"}\ndef g(x="dflt"):\n    return "ret"\nassert a != "cmp"\nd["sub"]\n"alone"\n'
+    files = spark.createDataFrame([(1, text), (2, "def (:"), (None, "x"), (3, None)], "file_id long, text string")
+    got = {r.literal: (r.role, r.name) for r in literal_roles(files).collect()}
+    assert got == {
+        "assign": ("assignment", "a"), "item": ("collection_item", "b"), "pos": ("positional_argument", "f"), "kw": ("keyword_argument", "k"), "key": ("mapping_key", None), "val": ("mapping_value", "key"),
+        "dflt": ("parameter_default", None), "ret": ("return", None), "cmp": ("comparison", "a"), "sub": ("subscript", "d"), "alone": ("standalone", None),
+    }
+    assert annotated_literals("Optional[Literal['a', 'b'] | t.Literal['c']]") == ["a", "b", "c"] and annotated_literals("x[") == [] == annotated_literals("int")
 
 
 def test_spread(spark):
