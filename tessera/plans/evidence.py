@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import forms as W
 from tessera.functions import text as X
 from tessera.functions.keys import author_key, canonical_path, snapshot_key, stripped
+from tessera.operators.graph import connected_components
 from tessera.operators.joins import latest_before
 from tessera.operators.ranges import first_by_state, greedy_units, longest_prefix, range_join, ranked_within, replace_rows
 from tessera.operators.scores import exact_quantile
@@ -328,11 +329,26 @@ def occurrence_exclusions(spark, d):
     return rows.groupBy(F.coalesce(out, F.lit(False)).alias("excluded"), F.col("excluded_from_main_queue").alias("recorded")).agg(F.count(F.lit(1)).alias("n_occurrences"))
 
 
+def candidate_components(spark, d):
+    """Removed and added files of a pair that hang together by content, name or folder.
+
+    Files and what they share are nodes, so no pair of files is built."""
+    old, new = _rename_sides(spark, d)
+    name, folder = F.element_at(F.split("path", "/"), -1), F.regexp_replace("path", "[^/]*$", "")
+    relation = lambda n, v: F.struct(F.lit(n).alias("relation"), v.alias("v"))
+    rows = old.withColumn("side", F.lit("old")).unionByName(new.withColumn("side", F.lit("new"))).withColumn("node", F.concat_ws("|", "pair", "side", "path"))
+    keys = rows.select("pair", "side", "node", F.explode(F.array(relation("content", F.col("c")), relation("name", name), relation("folder", folder))).alias("k")).where("k.v is not null")
+    edges = cut_lineage(keys.select("pair", "side", "node", F.concat_ws("|", F.lit("="), "pair", "k.relation", "k.v").alias("key")))
+    comp = connected_components(edges, "node", "key")
+    met = edges.select("pair", "side", "node").distinct().join(comp, "node").groupBy("pair", "component").agg(F.count_if(F.col("side") == "old").alias("n_old"), F.count_if(F.col("side") == "new").alias("n_new"))
+    return met.where("n_old > 0 and n_new > 0").groupBy("pair", "n_old", "n_new").agg(F.count(F.lit(1)).alias("n_components"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         search_queries, root_ranges, vocabulary_ids, first_last_paths, file_addresses, argument_matches, listed_values, setting_keys, author_terms, repository_slugs, ranked_captures,
         nearest_folders, earlier_assignments, seed_ladder, verified_contents, pair_counts, location_unions, breadth_summary, collection_funnel, retrieval_scores, evidence_matches,
-        selected_checks, case_results, change_events, location_order, replaced_signals, seed_rows, greedy_additions, different_contents, block_occurrences, line_predicates, occurrence_exclusions,
+        selected_checks, case_results, change_events, location_order, replaced_signals, seed_rows, greedy_additions, different_contents, block_occurrences, line_predicates, occurrence_exclusions, candidate_components,
     )
 }

@@ -123,4 +123,11 @@ ORACLES = {
         SELECT local_value, foreign_path, call_line, count(*) AS n_occurrences FROM f GROUP BY ALL""",
     "occurrence_exclusions": f"""SELECT coalesce({_SIGNAL.format(c=_PATH.format(c='file_path'))} IS NOT NULL OR source_context IN ('comment', 'docstring'), false) AS excluded, excluded_from_main_queue AS recorded, count(*) AS n_occurrences
         FROM {_occurrences('file_path, source_context, excluded_from_main_queue')} GROUP BY 1, 2""",
+    "candidate_components": f"""WITH RECURSIVE {_RENAMES}, it AS (SELECT *, concat_ws('|', pair, side, path) AS node FROM r1),
+        ke AS (SELECT node, concat_ws('|', '=', pair, 'content', c) AS v FROM it WHERE c IS NOT NULL UNION SELECT node, concat_ws('|', '=', pair, 'name', name) FROM it UNION SELECT node, concat_ws('|', '=', pair, 'folder', regexp_replace(path, '[^/]*$', '')) FROM it),
+        ne AS (SELECT DISTINCT a.node AS a, b.node AS b FROM ke a JOIN ke b USING (v)),
+        re(a, b) AS (SELECT a, b FROM ne UNION SELECT re.a, ne.b FROM re JOIN ne ON ne.a = re.b),
+        la AS (SELECT a AS node, min(b) AS component FROM re GROUP BY a),
+        co AS (SELECT pair, component, count(*) FILTER (side = 'old') AS n_old, count(*) FILTER (side = 'new') AS n_new FROM it JOIN la USING (node) GROUP BY 1, 2)
+        SELECT pair, n_old, n_new, count(*) AS n_components FROM co WHERE n_old > 0 AND n_new > 0 GROUP BY 1, 2, 3""",
 }

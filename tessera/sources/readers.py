@@ -65,3 +65,18 @@ def lenient_long(c: Column | str) -> Column:
     """The number that a text holds, cut to an integer; 0 for anything else."""
     c = F.col(c) if isinstance(c, str) else c
     return F.coalesce(F.trim(c).try_cast("double").try_cast("long"), F.lit(0).cast("long"))
+
+
+def rule_rows(rules: DataFrame, required: list[str], *, loader: str, arguments: str) -> DataFrame:
+    """Rules with ``argument_names``: blank loaders are left out, the rest is trimmed
+    and distinct, arguments are split at commas, semicolons, bars and blanks, their
+    defaults (``name=value``) dropped.
+
+    Columns that are missing are an error.
+    """
+    missing = [c for c in required if c not in rules.columns]
+    if missing:
+        raise ValueError(f"columns that rules lack: {missing}")
+    rows = rules.select(*[F.trim(F.col(f"`{c}`")).alias(c) for c in required]).where(F.coalesce(F.col(f"`{loader}`"), F.lit("")) != "").distinct()
+    names = F.transform(F.split(F.coalesce(F.col(f"`{arguments}`"), F.lit("")), r"[,;|\s]+"), lambda x: F.substring_index(x, "=", 1))
+    return rows.withColumn("argument_names", F.array_distinct(F.filter(names, lambda x: x != "")))

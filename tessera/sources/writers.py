@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def clean_cells(df: DataFrame) -> DataFrame:
@@ -41,7 +42,7 @@ def write_parts(df: DataFrame, folder: str, by: list[str]) -> None:
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(8)))
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(8)))
     old = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
@@ -55,3 +56,26 @@ def summary_row(**frames: DataFrame) -> DataFrame:
     names = sorted(frames)
     counts = [frames[n].agg(F.count(F.lit(1))).scalar().alias(n) for n in names]
     return frames[names[0]].sparkSession.range(1).select(F.to_json(F.struct(*counts)).alias("summary"))
+
+
+def with_header(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """``df`` with exactly the columns of ``schema``, in its order and types.
+
+    Columns that it lacks are null, others are refused.
+    """
+    extra = set(df.columns) - set(schema.names)
+    if extra:
+        raise ValueError(f"columns without a place: {sorted(extra)}")
+    return df.select(*[(F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def write_run(frames: dict[str, DataFrame], folder: str, *, repository: str, commit: str) -> None:
+    """Each frame under its name, in the folder of one repository and commit; other runs' stay."""
+    for name, df in frames.items():
+        write_parts(df.withColumn("repository", F.lit(repository)).withColumn("commit", F.lit(commit)), f"{folder}/{name}", ["repository", "commit"])
+
+
+def write_transitions(rows: DataFrame, folder: str) -> None:
+    """Distinct (old, new, category) rows as sorted CSV."""
+    columns = ["old", "new", "category"]
+    write_csv(rows.select(*columns).distinct(), folder, order=columns)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,17 +53,41 @@ def run_to_end(spark: SparkSession, stream: DataFrame, keys: list[str]) -> DataF
     return last.select(*keys, "r.*")
 
 
-def maintain_counts(deltas: DataFrame, state_folder: str, log_folder: str) -> StreamingQuery:
+def read_counts(spark: SparkSession, folder: str, *, upto: int | None = None) -> DataFrame:
+    """The counts that ``maintain_counts`` keeps in ``folder``, after batch ``upto`` or the last."""
+
+    def part(name: str, number: str) -> DataFrame | None:
+        try:
+            rows = spark.read.parquet(f"{folder}/{name}")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" in str(e):
+                return None
+            raise
+        return rows if upto is None else rows.where(F.col(number) <= upto)
+
+    base, deltas = part("base", "compacted"), part("deltas", "batch")
+    last = base.agg(F.max("compacted")).first()[0] if base is not None else None
+    if last is None:
+        return apply_deltas(None, deltas.drop("batch"))
+    kept = base.where(F.col("compacted") == last).drop("compacted")
+    return apply_deltas(kept, deltas.where(F.col("batch") > last).drop("batch")) if deltas is not None else kept
+
+
+def maintain_counts(deltas: DataFrame, folder: str, log_folder: str, *, compact_every: int = 16) -> StreamingQuery:
     """Keep the reference and existence counts of ``operators.orphans`` up to date.
 
-    ``deltas`` streams (relation, key, refs, lives).  Batch n adds its deltas to
-    state n-1 and writes state n beside it, so a batch run twice gives the same
-    state and readers always find a whole one.
+    ``deltas`` streams (relation, key, refs, lives).  A batch writes the sums of
+    its own deltas under its number, so its cost follows the batch and not the
+    state; every ``compact_every`` batches all sums are added up into a new base.
+    A batch run twice writes the same rows again.  ``read_counts`` reads the state.
     """
     spark = deltas.sparkSession
 
     def add(batch: DataFrame, number: int) -> None:
-        state = spark.read.parquet(f"{state_folder}/{number - 1}") if number else None
-        apply_deltas(state, batch).write.mode("overwrite").parquet(f"{state_folder}/{number}")
+        apply_deltas(None, batch).write.mode("overwrite").parquet(f"{folder}/deltas/batch={number}")
+        if (number + 1) % compact_every == 0:
+            # Up to the batch before this one and with it; a repeated run gives the same base.
+            before = read_counts(spark, folder, upto=number)
+            before.write.mode("overwrite").parquet(f"{folder}/base/compacted={number}")
 
     return deltas.writeStream.foreachBatch(add).option("checkpointLocation", log_folder).trigger(availableNow=True).start()

@@ -6,7 +6,7 @@ from tessera.functions import text as X
 from tessera.functions.keys import author_key, canonical_path, snapshot_key
 from tessera.sources.readers import duplicate_keys, lenient_long, read_csv, read_json_lines, read_sources, truthy
 from tessera.sources.writers import clean_cells, summary_row, union_all, write_csv, write_parts
-from tessera.streaming.incremental import maintain_counts
+from tessera.streaming.incremental import maintain_counts, read_counts
 
 
 def one(spark, column, value, kind="string"):
@@ -75,10 +75,15 @@ def test_writers(spark, tmp_path, rows):
 
 def test_streamed_counts(spark, tmp_path, rows):
     schema = "relation string, key string, refs long, lives long"
-    src = str(tmp_path / "deltas")
-    spark.createDataFrame([("r", "k", 1, 0), ("r", "l", 1, 0)], schema).coalesce(1).write.parquet(src)
-    stream = lambda: spark.readStream.schema(schema).parquet(src)
-    maintain_counts(stream(), str(tmp_path / "state"), str(tmp_path / "log")).awaitTermination()
-    spark.createDataFrame([("r", "k", 0, 1)], schema).coalesce(1).write.mode("append").parquet(src)
-    maintain_counts(stream(), str(tmp_path / "state"), str(tmp_path / "log")).awaitTermination()
-    assert rows(spark.read.parquet(str(tmp_path / "state" / "1"))) == [("r", "k", 1, 1), ("r", "l", 1, 0)]
+    src, state, log = (str(tmp_path / n) for n in ("deltas", "state", "log"))
+    deltas = [[("r", "k", 1, 0), ("r", "l", 1, 0)], [("r", "k", 0, 1)], [("r", "m", 2, 0)], [("r", "l", -1, 0)], [("r", "k", 1, 0)]]
+    for n, some in enumerate(deltas):
+        spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(src)
+        maintain_counts(spark.readStream.schema(schema).parquet(src), state, log, compact_every=2).awaitTermination()
+        want = {}
+        for _, k, refs, lives in (d for part in deltas[: n + 1] for d in part):
+            a, b = want.get(k, (0, 0))
+            want[k] = (a + refs, b + lives)
+        assert rows(read_counts(spark, state)) == sorted(("r", k, *v) for k, v in want.items() if v != (0, 0))
+    assert rows(read_counts(spark, state, upto=1)) == [("r", "k", 1, 1), ("r", "l", 1, 0)]
+    assert sorted(p.name for p in (tmp_path / "state" / "base").iterdir()) == ["compacted=1", "compacted=3"]
