@@ -20,7 +20,7 @@ from tessera.functions.text import module_name
 from tessera.operators.graph import paths_per_source, spread_sets
 from tessera.operators.ranges import longest_prefix
 from tessera.operators.sequence import with_ordinal
-from tessera.sources.tables import cut_lineage
+from tessera.sources.tables import cut_lineage, spread
 
 # Names of arguments that take a model identifier.
 MODEL_ARGS = {"model", "model_name", "model_id", "deployment", "deployment_id", "deployment_name", "engine", "llm", "chat_model", "embedding_model", "small_model"}
@@ -118,6 +118,7 @@ class _Flow(ast.NodeVisitor):
         self.functions: dict[str, list[str]] = {}
         self.classes: dict[str, list[str]] = {}
         self.types: dict[str, str] = {}
+        self.bound: dict[ast.AST, set[str]] = {}
         self.imported: set[str] = set()
         self.rows: list[tuple] = []
 
@@ -244,13 +245,30 @@ class _Flow(ast.NodeVisitor):
                 self.emit("edge", x, f"pay:{base}", "mapping_subscript_model_payload" if edge != "mapping_literal_item" else "dict_model_payload", line)
         self.carry(v, base, "mapping_subscript_nested_model_payload", line)
 
+    def assigned(self, node: ast.AST) -> set[str]:
+        """Names that a function binds itself; those of functions within it are theirs."""
+        if node in self.bound:
+            return self.bound[node]
+        out, foreign, todo = set(), set(), list(ast.iter_child_nodes(node))
+        while todo:
+            x = todo.pop()
+            if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+                out.add(x.name)
+                continue
+            if isinstance(x, ast.Name) and isinstance(x.ctx, ast.Store):
+                out.add(x.id)
+            elif isinstance(x, (ast.Global, ast.Nonlocal)):
+                foreign |= set(x.names)
+            todo += ast.iter_child_nodes(x)
+        self.bound[node] = out - foreign
+        return self.bound[node]
+
     def visit_FunctionDef(self, node):
         args = [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs]
         names = [a.arg for a in args]
         defaults = dict(zip([a.arg for a in [*node.args.posonlyargs, *node.args.args]][::-1], node.args.defaults[::-1]))
         defaults |= {a.arg: d for a, d in zip(node.args.kwonlyargs, node.args.kw_defaults) if d is not None}
-        assigned = {t.id for n in ast.walk(node) for t in ast.walk(n) if isinstance(t, ast.Name) and isinstance(t.ctx, ast.Store)}
-        assigned -= {n for x in ast.walk(node) if isinstance(x, (ast.Global, ast.Nonlocal)) for n in x.names}
+        assigned = self.assigned(node)
         symbol = ".".join([*self.scope, node.name])
         plain = [n for n in names if n not in ("self", "cls")]
         self.functions[symbol] = plain
@@ -621,7 +639,7 @@ def _sources_and_sinks(files: DataFrame, vocabulary: DataFrame) -> tuple[DataFra
     rows = files.where(F.col("file_id").isNotNull() & F.col("text").isNotNull()).withColumn("__h", F.xxhash64("text", "rel_path", "project"))
     one = rows.select("file_id", "__h").groupBy("file_id").agg(F.max("__h").alias("__h"))
     kept = rows.join(one, ["file_id", "__h"])
-    flows = cut_lineage(value_flows(kept).distinct())
+    flows = cut_lineage(value_flows(spread(kept)).distinct())
     names = vocabulary.select(F.explode(F.array("model_id", F.element_at(F.split("model_id", "/"), -1))).alias("name")).distinct()
     literals = flows.where(F.col("kind") == "literal").join(names, "name", "left_semi").select(F.col("src").alias("node"), "file_id", "line", F.col("name").alias("literal")).distinct()
     places = rows.join(one, ["file_id", "__h"]).select("file_id", "project", "rel_path").distinct()
