@@ -109,6 +109,10 @@ def with_shortest(items: DataFrame, n_words: int) -> DataFrame:
     return items.where(n >= n_words).withColumn("least", F.array_min(spans))
 
 
+def _kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
 def item_qgrams(items: DataFrame, q: int) -> DataFrame:
     """``h, item_id, ipos`` of every q-gram of the items."""
 
@@ -116,9 +120,9 @@ def item_qgrams(items: DataFrame, q: int) -> DataFrame:
         for b in batches:
             for i, t in zip(b["item_id"], b["item_words"]):
                 h = qgram_hashes(t, q)
-                yield pd.DataFrame({"h": h, "item_id": np.full(len(h), i), "ipos": np.arange(len(h), dtype=np.int32)})
+                yield pd.DataFrame({"h": h, "item_id": [i] * len(h), "ipos": np.arange(len(h), dtype=np.int32)})
 
-    return items.select("item_id", "item_words").mapInPandas(run, "h long, item_id long, ipos int")
+    return items.select("item_id", "item_words").mapInPandas(run, f"h long, item_id {_kind(items, 'item_id')}, ipos int")
 
 
 class ItemIndex:
@@ -194,7 +198,8 @@ def best_match(doc: str, item: str, least: int, diagonals: list[int], passages:
     return score, exact
 
 
-PAIRS = "doc_id long, item_id long, score int, exact boolean"
+def _pair_schema(docs: DataFrame, items: DataFrame) -> str:
+    return f"doc_id {_kind(docs, 'doc_id')}, item_id {_kind(items, 'item_id')}, score int, exact boolean"
 
 
 def _pairs_by_broadcast(docs: DataFrame, items: DataFrame, passages: Passages) -> DataFrame:
@@ -220,7 +225,7 @@ def _pairs_by_broadcast(docs: DataFrame, items: DataFrame, passages: Passages) -
                         rows.append((doc_id, ids[k], score, exact))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "exact"])
 
-    return docs.mapInPandas(run, PAIRS)
+    return docs.mapInPandas(run, _pair_schema(docs, items))
 
 
 def _bit(h: Column) -> Column:
@@ -251,9 +256,9 @@ def _document_qgrams(docs: DataFrame, bitmap: np.ndarray, q: int) -> DataFrame:
                 low = h & np.int64(bits - 1)
                 pos = np.flatnonzero(sent.value[low >> 3] >> (low & 7).astype(np.uint8) & 1)
                 if len(pos):
-                    yield pd.DataFrame({"h": h[pos], "doc_id": np.full(len(pos), doc_id), "dpos": pos.astype(np.int32)})
+                    yield pd.DataFrame({"h": h[pos], "doc_id": [doc_id] * len(pos), "dpos": pos.astype(np.int32)})
 
-    return docs.mapInPandas(run, "h long, doc_id long, dpos int")
+    return docs.mapInPandas(run, f"h long, doc_id {_kind(docs, 'doc_id')}, dpos int")
 
 
 def _pairs_by_join(docs: DataFrame, items: DataFrame, grams: DataFrame, passages: Passages) -> DataFrame:
@@ -279,7 +284,7 @@ def _pairs_by_join(docs: DataFrame, items: DataFrame, grams: DataFrame, passages
                     rows.append((doc_id, item_id, score, exact))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "exact"])
 
-    return found.select("doc_id", "item_id", "item_words", "least", "lows", "text").mapInPandas(verify, PAIRS)
+    return found.select("doc_id", "item_id", "item_words", "least", "lows", "text").mapInPandas(verify, _pair_schema(docs, items))
 
 
 def aligned_chars(doc: str, item: str, low: int, high: int, edits: int, need: int) -> int:
@@ -344,15 +349,15 @@ def leaked_passages(docs: DataFrame, items: DataFrame, *, min_words: int = 13, e
     least ``min_words`` words with at most ``edits`` edits; ``exact`` says that
     ``min_words`` consecutive words agree.  ``score`` is the number
     of the item's characters that match.  Null ids and null or empty texts give no pair, items of
-    fewer words neither; repeated rows count once.
+    fewer words neither; repeated rows count once.  Ids keep their types.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
-    items = canonical_items(items.select(F.col("item_id").cast("long").alias("item_id"), "text"), "item_id", "text")
+    docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
+    items = canonical_items(items.select("item_id", "text"), "item_id", "text")
     items = cut_lineage(with_shortest(items, min_words))
     seen = items.agg(F.min("least").alias("least"), F.sum(F.length("item_words")).alias("chars")).first()
     passages = Passages(min_words, seen["least"] or min_words * 2 - 1, edits)
     if (seen["chars"] or 0) <= BROADCAST_QGRAMS:  # there are fewer q-grams than characters
-        pairs = _pairs_by_broadcast(docs, items, passages) if seen["chars"] else docs.where(F.lit(False)).selectExpr("doc_id", "0L AS item_id", "0 AS score", "false AS exact")
+        pairs = _pairs_by_broadcast(docs, items, passages) if seen["chars"] else docs.where(F.lit(False)).select("doc_id", F.lit(None).cast(_kind(items, "item_id")).alias("item_id"), F.lit(0).alias("score"), F.lit(False).alias("exact"))
     else:
         pairs = _pairs_by_join(docs, items, item_qgrams(items, passages.q), passages)
     return pairs.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("exact").alias("exact"))

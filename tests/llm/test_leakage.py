@@ -92,3 +92,12 @@ def test_entries_in_parts(monkeypatch):
     whole = [index.bands(d) for d in docs]
     monkeypatch.setattr(leakage, "_ENTRIES", 50)
     assert whole == [index.bands(d) for d in docs] and all(whole)
+
+
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_ids_of_any_type(spark, rows, monkeypatch, limit):
+    monkeypatch.setattr(leakage, "BROADCAST_QGRAMS", limit)
+    monkeypatch.setattr(leakage, "BITMAP_BITS", 1 << 16)
+    item = " ".join(WORDS[:14])
+    docs = spark.createDataFrame([("d/1", item), ("d/2", "none"), (None, item)], "doc_id string, text string")
+    assert rows(leaked_passages(docs, spark.createDataFrame([("i-1", item)], "item_id string, text string")), "doc_id", "item_id") == [("d/1", "i-1")]
