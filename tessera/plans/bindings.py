@@ -423,7 +423,8 @@ def traced_bindings(spark, d):
 
 def traced_paths(spark, d):
     """The way of each model literal to each call that uses it."""
-    return trace_paths(*_project_files(spark, d))
+    out = trace_paths(*_project_files(spark, d))
+    return out.withColumn("steps", F.array_join("steps", " > ")).withColumn("kinds", F.array_join("kinds", " > "))
 
 
 def traced_primary(spark, d):
