@@ -169,8 +169,10 @@ class ItemIndex:
             k, c = np.unique(np.concatenate([item + b, item + b - 1]), return_counts=True)
             keys.append(k)
             counts.append(c)
-        key, where = np.unique(np.concatenate(keys), return_inverse=True)
-        shared = np.bincount(where, weights=np.concatenate(counts)).astype(np.int64)
+        key, shared = keys[0], counts[0]
+        if len(keys) > 1:
+            key, where = np.unique(np.concatenate(keys), return_inverse=True)
+            shared = np.bincount(where, weights=np.concatenate(counts)).astype(np.int64)
         good = key[shared >= self.bound[key >> 40]]
         return [(int(k >> 40), int(((k & (1 << 40) - 1) - _OFFSET) * self.passages.band)) for k in good]
 
