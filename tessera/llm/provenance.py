@@ -49,6 +49,8 @@ _COPIED = re.compile(
 )
 _RANDOM = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}|(?:\\x[0-9a-fA-F]{2}){8,}")
 _DIGITS = re.compile(r"\d+")
+_LOCK = re.compile(r"lock_?file|\"(?:packages|dependencies)\"|\[\[package\]\]", re.I)
+_LOCK_WORDS = ("lockfile", "lock_file", '"packages"', '"dependencies"', "[[package]]")
 _HASH_LINE = re.compile(r"\"?(?:integrity|checksum|hash|resolved|sha256|sha512)\"?\s*[:=]\s*\"?", re.I)
 # Lexical tokens by family of languages; all that is no token of the others is a mark.
 _QUOTED = r"\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'"
@@ -65,6 +67,18 @@ _FAMILIES = {
     "dash": {"sql", "lua", "hs", "elm"}, "markup": {"xml", "html", "htm", "svg", "vue", "md"}, "none": {"json", "csv", "txt"},
 }
 _FAMILY_OF = {e: f for f, es in _FAMILIES.items() for e in es}
+# What a text must hold before lexical tokens can make it more than hand-written: starts of
+# tokens that go over lines, beyond strings and comments that have their lines for themselves,
+# seven numbers in a list, a random string's start, a serial name.
+_OWN_LINES = {
+    "hash": re.compile(r"^[ \t]*+(?:\"\"\"[^\"\\]*+\"\"\"|'''[^'\\]*+''')[ \t]*+$", re.M),
+    "slash": re.compile(r"^[ \t]*+/\*(?:[^*]|\*(?!/))*+\*/[ \t]*+$", re.M),
+    "markup": re.compile(r"^[ \t]*+<!--(?:[^-]|-(?!->))*+-->[ \t]*+$", re.M),
+}
+_OVER_LINES = {"hash": ('"""', "'''"), "slash": ("`", "/*"), "markup": ("<!--",)}
+_NUMBERS = re.compile(r"\d(?<!\w\d)\w*+(?:\.\w*+)?[\s,+-]++(?:\d\w*+(?:\.\w*+)?[\s,+-]++){5}\d")
+_RANDOM_START = re.compile(r"[\"'`](?:[A-Za-z0-9+/_-]{32,}+|\\x)")
+_SERIAL = re.compile(r"\d\d\d(?<=[^\W\d]\d\d\d)")
 
 
 def _block(lines: list[str]) -> list[str]:
@@ -197,6 +211,36 @@ class Composition:
         self.covered = sum(c for _, c in shapes.most_common(6))
 
 
+def _names_lock(text: str) -> bool:
+    if text.isascii():
+        low = text.lower()
+        return any(w in low for w in _LOCK_WORDS)
+    return _LOCK.search(text) is not None
+
+
+def _hand_written(text: str, lines: list[str], family: str, dense_share: float, least_lines: int, numbered_share: float) -> bool:
+    """Whether bounds on what ``Composition`` would count rule out every origin.
+
+    The bounds hold where lines of tokens are lines of text and all digits are
+    ASCII; strings and comments of whole lines add nothing.  False says nothing.
+    """
+    size, n_lines, starts = len(text), len(lines), _OVER_LINES.get(family, ())
+    if any(x in text for x in starts):
+        text = _OWN_LINES[family].sub("", text)
+        lines = [x for x in text.split("\n") if x and not x.isspace()]
+        if any(x in text for x in starts):
+            return False
+    if "\\\n" in text or not (text.isascii() or all(c < "\x80" or not c.isdigit() for c in set(text))):
+        return False
+    if sum(n for x in lines if (n := len(x)) >= 200) >= dense_share * size:
+        return False
+    if n_lines >= least_lines and len(_SERIAL.findall(text)) >= numbered_share * len(lines):
+        return False
+    drawn = _RANDOM_START.findall(text)
+    # A random string has its closing quote and at most two signs of padding besides.
+    return not any(x[1] == "\\" for x in drawn) and sum(len(x) + 3 for x in drawn) < 0.6 * size and _NUMBERS.search(text) is None
+
+
 def composition_origin(path: str, text: str) -> str | None:
     """``data``, ``minified``, ``generated`` or ``lock`` by what a text consists of."""
     name = path.replace("\\", "/").rsplit("/", 1)[-1].lower()
@@ -204,17 +248,21 @@ def composition_origin(path: str, text: str) -> str | None:
     lines = [x for x in text.split("\n") if x and not x.isspace()]
     if not lines:
         return None
-    if sum(bool(_HASH_LINE.search(x)) for x in lines) >= max(3, 0.15 * len(lines)) and re.search(r"lock_?file|\"(?:packages|dependencies)\"|\[\[package\]\]", text, re.I):
+    if _names_lock(text) and sum(bool(_HASH_LINE.search(x)) for x in lines) >= max(3, 0.15 * len(lines)):
         return "lock"
     if extension in _DATA_EXTENSIONS or name.startswith(".env"):
         return None
-    made, size = Composition(text, _FAMILY_OF.get(extension, "hash")), len(text)
+    family, size, short = _FAMILY_OF.get(extension, "hash"), len(text), bool(_MINIFIED_NAME.search(name))
+    low = bool(_GENERATED_NAME.search(name)) or any(p in ("_gen", "generated", "__generated__") for p in path.replace("\\", "/").lower().split("/")[:-1])
+    least_lines, numbered_share, covered_share = (4, 0.2, 0.5) if low else (8, 0.3, 0.7)
+    if _hand_written(text, lines, family, 0.2 if short else 0.5, least_lines, numbered_share):
+        return None
+    made = Composition(text, family)
     if made.literal >= 0.6 * size:
         return "data"
-    if made.dense >= 0.5 * size or (_MINIFIED_NAME.search(name) and made.dense >= 0.2 * size):
+    if made.dense >= 0.5 * size or (short and made.dense >= 0.2 * size):
         return "minified"
-    low = bool(_GENERATED_NAME.search(name)) or any(p in ("_gen", "generated", "__generated__") for p in path.replace("\\", "/").lower().split("/")[:-1])
-    if made.lines >= (4 if low else 8) and made.numbered >= (0.2 if low else 0.3) * made.lines and made.covered >= (0.5 if low else 0.7) * made.lines:
+    if made.lines >= least_lines and made.numbered >= numbered_share * made.lines and made.covered >= covered_share * made.lines:
         return "generated"
     return None
 

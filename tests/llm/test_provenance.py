@@ -144,3 +144,29 @@ def test_hot_holder_and_boilerplate(spark, rows, monkeypatch):
         bound = {r.file for r in copies_elsewhere(hashed, rare_files=59).collect()}
         assert not bound & {300 + i for i in range(60)}
     assert want <= {r.file_id for r in file_origins(df).collect()}
+
+
+def test_hand_written_texts_are_not_lexed(monkeypatch):
+    def refuse(*_):
+        raise AssertionError("lexed")
+
+    monkeypatch.setattr(provenance, "Composition", refuse)
+    long_doc = 'def f(a):\n    """Add up.\n\n    Item a1234 has 1 2 3 4 5 6 7 8 parts.\n    """\n    return a\n'
+    for text in (HAND * 3, HAND + long_doc, HAND + "KEY = 'aB3+" + "q" * 40 + "'\n", HAND + f"x = [{', '.join('abcdefghij')}]  # {'long ' * 50}\n" + HAND * 4, HAND + "model0412 = 1\n", ""):
+        assert composition_origin("a.py", text) is None
+    assert composition_origin("a.js", "/**\n * Use `this`.\n */\nfunction f(a) {\n  return a;\n}\n") is None and composition_origin("a.html", "<p>\n<!-- one\n two -->\n</p>\n") is None
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_bounds_rule_out_nothing_that_tokens_show(monkeypatch, seed):
+    parts = ["0x1f, ", "12 ", "1.5 + ", "-3,", "7\n", "1e-5 ", "a123 ", "name0123 = 1\n", "x²12\n", "٣٤٥ ", "0x1٣,", "1 2 3 4 5 6 7 ", '"""', "'''", '"', "'", "`", "/*", "*/", "//", "#", "--", "<!--", "-->", "\\", "\\\n", "\n", "    ", "\r\n", "\x1c"]
+    parts += ["return x\n", '    """Go over\n lines 12 a123\n"""  \n', "\n/* one\n * `two` */\n", " <!-- a\n b -->\n", "'" + "aB3+" * 9 + "'", '"' + "q1/_" * 12 + '=="', "'" + "\\x1f" * 9 + "'", "if(a){b();}else{c?d:e}" * 9, "x=1;" * 60]
+    r = random.Random(seed)
+    texts = []
+    for _ in range(3000):
+        few = r.sample(parts, r.choice((2, 3, 5)))
+        path = r.choice(("a/", "generated/")) + "f." + r.choice(("py", "js", "sql", "html", "min.js", "pb.go", "x"))
+        texts.append((path, "".join(r.choice(few if r.random() < 0.9 else parts) for _ in range(r.randint(1, 40)))))
+    bound = [composition_origin(*t) for t in texts]
+    monkeypatch.setattr(provenance, "_hand_written", lambda *_: False)
+    assert bound == [composition_origin(*t) for t in texts] and {*bound} == {None, "data", "minified", "generated"}
