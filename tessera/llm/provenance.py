@@ -71,11 +71,12 @@ _FAMILY_OF = {e: f for f, es in _FAMILIES.items() for e in es}
 # tokens that go over lines, beyond strings and comments that have their lines for themselves,
 # seven numbers in a list, a random string's start, a serial name.
 _OWN_LINES = {
-    "hash": re.compile(r"^[ \t]*+(?:\"\"\"[^\"\\]*+\"\"\"|'''[^'\\]*+''')[ \t]*+$", re.M),
-    "slash": re.compile(r"^[ \t]*+/\*(?:[^*]|\*(?!/))*+\*/[ \t]*+$", re.M),
-    "markup": re.compile(r"^[ \t]*+<!--(?:[^-]|-(?!->))*+-->[ \t]*+$", re.M),
+    "hash": re.compile(r"^[ \t]*+(?:\"\"\"[^\"\\]*+\"\"\"|'''[^'\\]*+''')[ \t]*+([^\n]?)", re.M),
+    "slash": re.compile(r"^[ \t]*+/\*(?:[^*]|\*(?!/))*+\*/[ \t]*+([^\n]?)", re.M),
+    "markup": re.compile(r"^[ \t]*+<!--(?:[^-]|-(?!->))*+-->[ \t]*+([^\n]?)", re.M),
 }
 _OVER_LINES = {"hash": ('"""', "'''"), "slash": ("`", "/*"), "markup": ("<!--",)}
+_CLOSE = {"slash": "*/", "markup": "-->"}
 _NUMBERS = re.compile(r"\d(?<!\w\d)\w*+(?:\.\w*+)?[\s,+-]++(?:\d\w*+(?:\.\w*+)?[\s,+-]++){5}\d")
 _RANDOM_START = re.compile(r"[\"'`](?:[A-Za-z0-9+/_-]{32,}+|\\x)")
 _SERIAL = re.compile(r"\d\d\d(?<=[^\W\d]\d\d\d)")
@@ -226,7 +227,10 @@ def _hand_written(text: str, lines: list[str], family: str, dense_share: float,
     """
     size, n_lines, starts = len(text), len(lines), _OVER_LINES.get(family, ())
     if any(x in text for x in starts):
-        text = _OWN_LINES[family].sub("", text)
+        if text.rfind(starts[-1]) > text.rfind(_CLOSE.get(family, starts[-1])):
+            return False  # and a search for the end from every start would take long
+        # Where code follows on the line, the start is put back.
+        text = _OWN_LINES[family].sub(lambda m: m[1] and starts[-1], text)
         lines = [x for x in text.split("\n") if x and not x.isspace()]
         if any(x in text for x in starts):
             return False

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -157,6 +158,14 @@ def test_hand_written_texts_are_not_lexed(monkeypatch):
     assert composition_origin("a.js", "/**\n * Use `this`.\n */\nfunction f(a) {\n  return a;\n}\n") is None and composition_origin("a.html", "<p>\n<!-- one\n two -->\n</p>\n") is None
 
 
+@pytest.mark.parametrize("text", ["/*\n" * 60_000 + "*/ x", "/*/\n" * 50_000, "<!--\n" * 40_000 + "--> x", '"""\n' * 50_000])
+def test_time_of_comments_over_lines(text):
+    for name in ("a.js", "a.html", "a.py"):
+        began = time.process_time()
+        composition_origin(name, text)
+        assert time.process_time() - began < 20
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_bounds_rule_out_nothing_that_tokens_show(monkeypatch, seed):
     parts = ["0x1f, ", "12 ", "1.5 + ", "-3,", "7\n", "1e-5 ", "a123 ", "name0123 = 1\n", "x²12\n", "٣٤٥ ", "0x1٣,", "1 2 3 4 5 6 7 ", '"""', "'''", '"', "'", "`", "/*", "*/", "//", "#", "--", "<!--", "-->", "\\", "\\\n", "\n", "    ", "\r\n", "\x1c"]
